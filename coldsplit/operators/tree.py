@@ -152,15 +152,15 @@ def branch_stats(ea: DataFrame, cands: DataFrame, cand_bound: int, score_items:
     candidate. Both sides are keyed by (user_id, salt); the candidate side has
     at most K rows per user and is replicated over the user's salt buckets.
     """
-    c = _bcast(cands.select("node", F.col("item_id").alias("cand")), cand_bound)
+    c = _bcast(cands.select(F.col("node").alias("c_node"), F.col("item_id").alias("cand")), cand_bound)
     asked = (
-        ea.join(c, (ea.node == c.node) & (ea.item_id == c.cand))
+        ea.join(c, (F.col("node") == F.col("c_node")) & (F.col("item_id") == F.col("cand")))
         .select(
-            ea.user_id,
-            ea.node,
-            c.cand,
-            attitude_branch(ea.rating).alias("branch"),
-            ea.nsalt,
+            "user_id",
+            "node",
+            "cand",
+            attitude_branch(F.col("rating")).alias("branch"),
+            "nsalt",
         )
         .filter(F.col("branch") != 2)
         .select(
@@ -228,9 +228,9 @@ def partition_nodes(
 
     Users of nodes without a split (leaves) leave the loop.
     """
-    s = _bcast(splits.select("node", F.col("item_id").alias("split_item")), n_splits)
-    answers = ea.join(s, (ea.node == s.node) & (ea.item_id == s.split_item)).select(
-        ea.user_id, ea.rating.alias("answer")
+    s = _bcast(splits.select(F.col("node").alias("s_node"), F.col("item_id").alias("split_item")), n_splits)
+    answers = ea.join(s, (F.col("node") == F.col("s_node")) & (F.col("item_id") == F.col("split_item"))).select(
+        "user_id", F.col("rating").alias("answer")
     )
     live = salted.join(_bcast(splits.select("node"), n_splits), "node", "left_semi")
     return (

@@ -106,7 +106,7 @@ def q_read_delimited(spark, sf):
     return sources.read_ratings_delimited(spark, path).select("user_id", "item_id", "rating")
 
 
-def _write_sectioned(spark, sf, which="part"):
+def _write_sectioned(spark, sf, which="supp"):
     """One folder per item with a file whose first line is '<item>:'."""
     path = scratch_path(spark, "sectioned")
     r = fx.ratings(spark, sf, which)
@@ -122,19 +122,20 @@ def _write_sectioned(spark, sf, which="part"):
         head.unionByName(body)
         .repartition("item_id")
         .sortWithinPartitions("item_id", "ord")
+        .select("item_id", "value")
         .write.partitionBy("item_id")
         .text(path)
     )
     return path
 
 
-@query("read_sectioned_ratings", with_(PART, "SELECT user_id, item_id, rating FROM ratings"))
+@query("read_sectioned_ratings", with_(SUPP, "SELECT user_id, item_id, rating FROM ratings"))
 def q_read_sectioned(spark, sf):
     path = _write_sectioned(spark, sf)
     return sources.read_sectioned_ratings(spark, path, id_pattern=r"item_id=(\d+)").select("user_id", "item_id", "rating")
 
 
-@query("stack_ratings", with_(PART, "SELECT COUNT(*) AS n, COUNT(DISTINCT item_id) AS n_items FROM ratings"))
+@query("stack_ratings", with_(SUPP, "SELECT COUNT(*) AS n, COUNT(DISTINCT item_id) AS n_items FROM ratings"))
 def q_stack(spark, sf):
     path = _write_sectioned(spark, sf)
     r = sources.read_sectioned_ratings(spark, path, id_pattern=r"item_id=(\d+)")

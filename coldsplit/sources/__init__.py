@@ -93,9 +93,9 @@ def read_sectioned_pairs(spark: SparkSession, path: str) -> DataFrame:
     large files upstream).
     """
     files = spark.read.text(path, wholetext=True)
-    sections = files.select(F.explode(F.split("value", r"(?m)^(?=\s*\d+:)")).alias("sec"))
-    sec = sections.filter(F.col("sec").rlike(r"^\s*\d+:")).select(
-        F.regexp_extract("sec", r"^\s*(\d+):", 1).cast("int").alias("item_id"),
+    sections = files.select(F.explode(F.split("value", r"(?m)^(?=\s*-?\d+:)")).alias("sec"))
+    sec = sections.filter(F.col("sec").rlike(r"^\s*-?\d+:")).select(
+        F.regexp_extract("sec", r"^\s*(-?\d+):", 1).cast("int").alias("item_id"),
         F.explode(F.slice(F.split(F.col("sec"), r"\r?\n"), 2, 1 << 30)).alias("line"),
     )
     return sec.filter(F.length(F.trim("line")) > 0).select(
