@@ -32,7 +32,15 @@ class ColdStartModel:
 def pseudo_users(tree: InterviewTree) -> DataFrame:
     """Mean raw rating per (level, node, item), on the salted layout so a heavy
     user's rows are spread over its salt buckets."""
-    j = tree.residuals.join(tree.salted_assignment, ["user_id", "salt"])
+    parts = [
+        tree.residuals.join(a.hint("shuffle_hash"), ["user_id", "salt"]).select(
+            F.lit(lv).alias("level"), "node", "item_id", "rating"
+        )
+        for lv, a in enumerate(tree.salted_by_level)
+    ]
+    j = parts[0]
+    for x in parts[1:]:
+        j = j.unionByName(x)
     return j.groupBy("level", "node", "item_id").agg(F.avg("rating").alias("rating"))
 
 

@@ -40,6 +40,7 @@ from coldsplit.session import (
     ensure_checkpoint_dir,
     materialize,
     shuffle_partitions,
+    write_bucketed,
 )
 
 EPS = 1e-9  # fixed value: denominator guard of the split error
@@ -56,6 +57,7 @@ class InterviewTree:
     bias: DataFrame  # user_id, bias, n, nsalt
     residuals: DataFrame  # user_id, salt, item_id, rating, e, nsalt
     salted_assignment: DataFrame  # level, user_id, salt, node
+    salted_by_level: list  # per level: bucketed (user_id, salt, node)
     mean: float
     levels: int  # number of split levels built (deepest node level)
     params: dict = field(default_factory=dict)
@@ -97,9 +99,8 @@ def prepare_residuals(ratings: DataFrame, lam: float = 7.0, salt_rows: int = DEF
             (F.col("rating") - F.col("bias")).alias("e"),
             "nsalt",
         )
-        .repartition(p, "user_id", "salt")
     )
-    return materialize(e), bias, mean
+    return write_bucketed(e, "residuals", ["user_id", "salt"], p), bias, mean
 
 
 def _salted_root(bias: DataFrame, p: int) -> DataFrame:
@@ -109,7 +110,6 @@ def _salted_root(bias: DataFrame, p: int) -> DataFrame:
             F.explode(F.sequence(F.lit(0), F.col("nsalt") - 1)).alias("salt"),
             F.lit(0).alias("node"),
         )
-        .repartition(p, "user_id", "salt")
     )
 
 
@@ -176,10 +176,13 @@ def branch_stats(ea: DataFrame, cands: DataFrame, cand_bound: int, score_items:
         right = right.join(
             _bcast(cands.select("node", "item_id"), cand_bound), ["node", "item_id"], "left_semi"
         )
+    # a user sits in one node per level, so (user_id, salt) is the whole key;
+    # it equals the bucketing of the right side, which therefore stays put
+    right = right.drop("node")
     like = F.col("branch") == LIKE
     dis = F.col("branch") == DISLIKE
     return (
-        asked.join(right, ["user_id", "salt", "node"])
+        asked.join(right, ["user_id", "salt"])
         .groupBy("node", "cand", "item_id")
         .agg(
             F.sum(F.when(like, F.col("e")).otherwise(0.0)).alias("sL"),
@@ -240,7 +243,6 @@ def partition_nodes(
             "salt",
             (F.col("node") * 3 + attitude_branch(F.col("answer"))).cast("int").alias("node"),
         )
-        .repartition(p, "user_id", "salt")
     )
 
 
@@ -320,7 +322,7 @@ def tree_paths(tree: "InterviewTree", level: int) -> DataFrame | None:
 
 def level_frames(tree: "InterviewTree", level: int) -> dict[str, DataFrame]:
     """Recompute the split-search frames of one level of a built tree."""
-    salted = tree.salted_assignment.filter(F.col("level") == level)
+    salted = tree.salted_by_level[level]
     prm = tree.params
     n_nodes = tree.assignment.filter(F.col("level") == level).select("node").distinct().count()
     return score_level(
@@ -354,7 +356,8 @@ def build_tree(
     spark = ratings.sparkSession
     p = shuffle_partitions(spark)
     e, bias, mean = prepare_residuals(ratings, lam, salt_rows)
-    salted = materialize(_salted_root(bias, p))
+    salted = write_bucketed(_salted_root(bias, p), "assign0", ["user_id", "salt"], p)
+    by_level = [salted]
     salted_levels = [salted.withColumn("level", F.lit(0))]
     split_levels: list[DataFrame] = []
     paths: DataFrame | None = None
@@ -373,7 +376,10 @@ def build_tree(
             break
         split_levels.append(splits)
         built = level + 1
-        salted = materialize(partition_nodes(salted, ea, splits, n_splits, p))
+        salted = write_bucketed(
+            partition_nodes(salted, ea, splits, n_splits, p), f"assign{level + 1}", ["user_id", "salt"], p
+        )
+        by_level.append(salted)
         salted_levels.append(salted.withColumn("level", F.lit(level + 1)))
         paths = materialize(_next_paths(paths, splits, n_splits))
         nodes_bound = 3 * n_splits
@@ -396,6 +402,7 @@ def build_tree(
         bias=bias,
         residuals=e,
         salted_assignment=salted_all,
+        salted_by_level=by_level,
         mean=mean,
         levels=built,
         params=dict(depth=depth, lam=lam, k=k, order=order, score_items=score_items, salt_rows=salt_rows),

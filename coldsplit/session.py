@@ -55,6 +55,30 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint into the shared folder."""
+    """Cut lineage with a reliable checkpoint into the shared folder.
+
+    The frame is persisted first so the checkpoint write does not recompute
+    it (a reliable RDD checkpoint otherwise runs the plan twice).
+    """
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    df = df.persist()
+    out = df.checkpoint(eager=True)
+    df.unpersist()
+    return out
+
+
+def write_bucketed(df: DataFrame, name: str, cols: list[str], buckets: int) -> DataFrame:
+    """Write ``df`` as a table bucketed by ``cols`` under the shared checkpoint
+    folder and read it back. Joins on exactly ``cols`` against another frame
+    hash-partitioned the same way need no shuffle of this side, and the files
+    outlive any executor."""
+    spark = df.sparkSession
+    table = f"coldsplit_{name}_{uuid.uuid4().hex[:12]}"
+    path = scratch_path(spark, table)
+    (
+        df.repartition(buckets, *cols)
+        .write.bucketBy(buckets, *cols)
+        .option("path", path)
+        .saveAsTable(table)
+    )
+    return spark.table(table)
