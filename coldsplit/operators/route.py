@@ -45,7 +45,16 @@ def route_users(
     A user stops where the node has no question or the child has no training
     users.
     """
-    state = split_answers(tree, ratings).select(
+    return route_answers(tree, split_answers(tree, ratings), max_questions)
+
+
+def route_answers(tree: InterviewTree, answers: DataFrame, max_questions: int | None = None) -> DataFrame:
+    """Walk users given as (user_id, answers map<int,double>) down the tree.
+
+    Only static, node-bounded tables are joined (broadcast), so ``answers``
+    may also be a streaming DataFrame (one row per user).
+    """
+    state = answers.select(
         "user_id",
         "answers",
         F.lit(0).alias("level"),
