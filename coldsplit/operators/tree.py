@@ -72,7 +72,15 @@ def _bcast(df: DataFrame, rows_bound: int) -> DataFrame:
 
 
 def prepare_residuals(ratings: DataFrame, lam: float = 7.0, salt_rows: int = DEFAULT_SALT_ROWS):
-    """Bias per user and salted residuals, materialised once."""
+    """Bias per user and salted residuals, materialised once.
+
+    One pass over the source builds the per-user sums (partial aggregation,
+    so a heavy user costs nothing extra); the global mean comes from that
+    small table. The residual join keys on (user_id, salt): heavy users (at
+    most rows / salt_rows of them, counted before any broadcast) get their
+    salt from a broadcast lookup, every other user has salt 0, so even a user
+    holding a third of the rows is spread over many tasks.
+    """
     spark = ratings.sparkSession
     ensure_checkpoint_dir(spark)
     p = shuffle_partitions(spark)
@@ -81,26 +89,41 @@ def prepare_residuals(ratings: DataFrame, lam: float = 7.0, salt_rows: int = DEF
         F.col("item_id").cast("int").alias("item_id"),
         F.col("rating").cast("double").alias("rating"),
     ).filter(F.col("rating") != 0)
-    mean = r.agg(F.avg("rating")).first()[0]
-    if mean is None:
+    per_user = materialize(
+        r.groupBy("user_id").agg(F.sum("rating").alias("s"), F.count(F.lit(1)).alias("n"))
+    )
+    tot = per_user.agg(F.sum("s"), F.sum("n")).first()
+    if not tot[1]:
         raise ValueError("no ratings")
-    bias = r.groupBy("user_id").agg(
-        ((F.sum("rating") + F.lit(lam * mean)) / (F.lit(lam) + F.count(F.lit(1)))).alias("bias"),
-        F.count(F.lit(1)).alias("n"),
-    ).withColumn("nsalt", F.greatest(F.lit(1), F.ceil(F.col("n") / F.lit(salt_rows))).cast("int"))
-    bias = materialize(bias)
-    e = (
-        r.join(bias, "user_id")
-        .select(
+    mean = tot[0] / tot[1]
+    bias = materialize(
+        per_user.select(
             "user_id",
-            F.pmod(F.xxhash64("item_id"), F.col("nsalt")).cast("int").alias("salt"),
-            "item_id",
-            "rating",
-            (F.col("rating") - F.col("bias")).alias("e"),
-            "nsalt",
+            ((F.col("s") + F.lit(lam * mean)) / (F.lit(lam) + F.col("n"))).alias("bias"),
+            "n",
+            F.greatest(F.lit(1), F.ceil(F.col("n") / F.lit(salt_rows))).cast("int").alias("nsalt"),
         )
     )
-    return write_bucketed(e, "residuals", ["user_id", "salt"], p), bias, mean
+    heavy = bias.filter(F.col("nsalt") > 1).select("user_id", F.col("nsalt").alias("hs"))
+    n_heavy = heavy.count()
+    salted_r = r.join(_bcast(heavy, n_heavy), "user_id", "left").select(
+        "user_id",
+        "item_id",
+        "rating",
+        F.pmod(F.xxhash64("item_id"), F.coalesce(F.col("hs"), F.lit(1))).cast("int").alias("salt"),
+    )
+    bias_salted = bias.select(
+        "user_id", "bias", "nsalt", F.explode(F.sequence(F.lit(0), F.col("nsalt") - 1)).alias("salt")
+    )
+    e = salted_r.join(bias_salted, ["user_id", "salt"]).select(
+        "user_id",
+        "salt",
+        "item_id",
+        "rating",
+        (F.col("rating") - F.col("bias")).alias("e"),
+        "nsalt",
+    )
+    return write_bucketed(e, "residuals", ["user_id", "salt"], p, prepartitioned=True), bias, mean
 
 
 def _salted_root(bias: DataFrame, p: int) -> DataFrame:
@@ -182,7 +205,7 @@ def branch_stats(ea: DataFrame, cands: DataFrame, cand_bound: int, score_items:
     like = F.col("branch") == LIKE
     dis = F.col("branch") == DISLIKE
     return (
-        asked.join(right, ["user_id", "salt"])
+        asked.hint("shuffle_hash").join(right, ["user_id", "salt"])
         .groupBy("node", "cand", "item_id")
         .agg(
             F.sum(F.when(like, F.col("e")).otherwise(0.0)).alias("sL"),
@@ -287,10 +310,11 @@ def score_level(
     else:
         base_src = totals
     sizes = salted.filter(F.col("salt") == 0).groupBy("node").agg(F.count(F.lit(1)).alias("n_users"))
+    node_bound = max(1, cand_bound // max(k, 1))  # nodes in this level
     scored = (
         split_gain(branches, totals)
-        .join(cands.withColumnRenamed("item_id", "cand"), ["node", "cand"])
-        .join(node_base(base_src), "node")
+        .join(_bcast(cands.withColumnRenamed("item_id", "cand"), cand_bound), ["node", "cand"])
+        .join(_bcast(node_base(base_src), node_bound), "node")
         .select(
             "node",
             F.col("cand").alias("item_id"),
@@ -299,7 +323,7 @@ def score_level(
             "popularity",
         )
     )
-    best = best_split(scored, order).join(sizes, "node")
+    best = best_split(scored, order).join(_bcast(sizes, node_bound), "node")
     return dict(ea=ea, totals=totals, cands=cands, branches=branches, scored=scored, best=best, sizes=sizes)
 
 

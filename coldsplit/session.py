@@ -67,7 +67,9 @@ def materialize(df: DataFrame) -> DataFrame:
     return out
 
 
-def write_bucketed(df: DataFrame, name: str, cols: list[str], buckets: int) -> DataFrame:
+def write_bucketed(
+    df: DataFrame, name: str, cols: list[str], buckets: int, prepartitioned: bool = False
+) -> DataFrame:
     """Write ``df`` as a table bucketed by ``cols`` under the shared checkpoint
     folder and read it back. Joins on exactly ``cols`` against another frame
     hash-partitioned the same way need no shuffle of this side, and the files
@@ -75,9 +77,11 @@ def write_bucketed(df: DataFrame, name: str, cols: list[str], buckets: int) -> D
     spark = df.sparkSession
     table = f"coldsplit_{name}_{uuid.uuid4().hex[:12]}"
     path = scratch_path(spark, table)
+    # a frame already hash-partitioned by ``cols`` (e.g. a join on them)
+    # writes one file per bucket without another shuffle
+    src = df if prepartitioned else df.repartition(buckets, *cols)
     (
-        df.repartition(buckets, *cols)
-        .write.bucketBy(buckets, *cols)
+        src.write.bucketBy(buckets, *cols)
         .option("path", path)
         .saveAsTable(table)
     )
