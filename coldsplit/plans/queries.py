@@ -697,3 +697,48 @@ def q_random_split(spark, sf):
     return a.select(F.lit("train").alias("part"), "user_id", "item_id").unionByName(
         b.select(F.lit("test").alias("part"), "user_id", "item_id")
     )
+
+
+@query("save_model")
+def q_save_model(spark, sf):
+    from coldsplit import sources
+
+    nf, itf = _als_model(spark, sf)
+    path = scratch_path(spark, "model")
+    sources.save_tables({"node_factors": nf, "item_factors": itf}, path)
+    back = sources.load_table(spark, path, "node_factors")
+    return back.groupBy("level").agg(F.count(F.lit(1)).alias("n_nodes"), F.max(F.size("features")).alias("rank"))
+
+
+@query("load_model")
+def q_load_model(spark, sf):
+    from coldsplit import sources
+
+    nf, itf = _als_model(spark, sf)
+    path = scratch_path(spark, "model")
+    sources.save_tables({"node_factors": nf, "item_factors": itf}, path)
+    lv = sources.load_table(spark, path, "item_factors", levels=[1])  # level pruning
+    return lv.select("level", "item_id", F.size("features").alias("rank"))
+
+
+@query(
+    "factor_lookup",
+    with_(
+        ROUTE + [_EMB, "ne AS (SELECT COUNT(*) AS n FROM emb)"],
+        "SELECT p.user_id, p.item_id, p.level, p.node, len(a.v) AS rank_u, len(b.v) AS rank_v FROM pairs p"
+        " JOIN emb a ON a.vec_id = p.node % (SELECT n FROM ne) JOIN emb b ON b.vec_id = p.item_id % (SELECT n FROM ne)",
+    ),
+)
+def q_factor_lookup(spark, sf):
+    t, train, test = tree_for(spark, sf)
+    emb, n = _emb(spark, sf)
+    pairs = evaluation_pairs(route_users(t, test), test, prepare.rated_items(train))
+    nodes = t.assignment.select("level", "node").distinct()
+    node_f = nodes.join(F.broadcast(emb), (F.col("node") % n) == F.col("vec_id")).select("level", "node", F.col("v").alias("u"))
+    item_f = (
+        prepare.rated_items(train)
+        .join(F.broadcast(emb), (F.col("item_id") % n) == F.col("vec_id"))
+        .select(F.explode(F.sequence(F.lit(0), F.lit(t.levels))).alias("level"), "item_id", F.col("v").alias("w"))
+    )
+    j = pairs.join(F.broadcast(node_f), ["level", "node"]).join(item_f, ["level", "item_id"])
+    return j.select("user_id", "item_id", "level", "node", F.size("u").alias("rank_u"), F.size("w").alias("rank_v"))

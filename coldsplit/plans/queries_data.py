@@ -521,3 +521,44 @@ def q_matvec(spark, sf):
 @query("elementwise_square", with_(PART, "SELECT user_id, item_id, rating * rating AS rating FROM ratings"))
 def q_square(spark, sf):
     return sparse.elementwise_square(fx.ratings(spark, sf, "part"), "rating")
+
+
+@query("load_ratings", with_(PART, "SELECT user_id, item_id, rating FROM ratings"))
+def q_load_ratings(spark, sf):
+    path = scratch_path(spark, "coo")
+    sources.save_ratings(fx.ratings(spark, sf, "part"), path)
+    return sources.load_ratings(spark, path)
+
+
+@query(
+    "save_user_shards",
+    with_(SUPP, "SELECT CAST(FLOOR(user_id / 24) AS INT) AS shard, COUNT(*) AS n FROM ratings GROUP BY 1"),
+)
+def q_save_shards(spark, sf):
+    path = scratch_path(spark, "shards")
+    sources.save_user_shards(fx.ratings(spark, sf, "supp"), path, 24)
+    return spark.read.parquet(path).groupBy("shard").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "matrix_matmul",
+    with_(
+        PART + ["emb AS (SELECT CAST(vec_id AS INT) AS vec_id, embedding AS v FROM embeddings)",
+                "b AS (SELECT e.vec_id, CAST(u.i AS INT) - 1 AS dim, CAST(e.v[u.i] AS DOUBLE) AS value"
+                " FROM emb e, UNNEST(range(1, len(e.v) + 1)) AS u(i))"],
+        "SELECT r.user_id, b.dim, ROUND(SUM(r.rating * b.value), 6) AS value FROM ratings r"
+        " JOIN b ON b.vec_id = r.item_id % (SELECT COUNT(*) FROM emb) GROUP BY r.user_id, b.dim",
+    ),
+)
+def q_matmul(spark, sf):
+    """ratings (user x part) times an item-feature matrix (part x dim) taken
+    from ``embeddings`` (vec_id = part id modulo the table size)."""
+    r = fx.ratings(spark, sf, "part")
+    emb = fx.table(spark, sf, "embeddings")
+    n = emb.count()
+    b = emb.select(F.col("vec_id").cast("int").alias("vec_id"), F.posexplode("embedding").alias("dim", "value")).select(
+        "vec_id", F.col("dim").cast("int").alias("dim"), F.col("value").cast("double").alias("value")
+    )
+    a = r.select("user_id", (F.col("item_id") % n).cast("int").alias("vec_id"), F.col("rating").alias("value"))
+    out = sparse.matrix_matmul(a, b, "user_id", "vec_id", "dim")
+    return out.select("user_id", "dim", r6(F.col("value")).alias("value"))
