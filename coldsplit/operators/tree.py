@@ -269,21 +269,6 @@ def partition_nodes(
     )
 
 
-def _next_paths(paths: DataFrame | None, splits: DataFrame, n_splits: int) -> DataFrame:
-    """Items asked on the path to every child of a split node."""
-    s = splits.select(F.col("node").alias("parent"), "item_id")
-    own = s
-    if paths is not None:
-        inherited = paths.join(
-            _bcast(splits.select(F.col("node").alias("parent")), n_splits),
-            paths.node == F.col("parent"),
-        ).select("parent", "item_id")
-        own = own.unionByName(inherited)
-    return own.select("parent", "item_id", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("b")).select(
-        (F.col("parent") * 3 + F.col("b")).cast("int").alias("node"), "item_id"
-    )
-
-
 def score_level(
     e: DataFrame,
     salted: DataFrame,
@@ -301,7 +286,8 @@ def score_level(
         totals = totals.persist()
     cands = exclude_chosen(topk_candidates(totals, k, order), paths)
     if persist:
-        cands = materialize(cands)
+        # small (<= k rows per node); recomputable from persisted totals
+        cands = cands.persist()
     branches = branch_stats(ea, cands, cand_bound, score_items)
     if score_items == "candidates":
         base_src = totals.join(
@@ -360,6 +346,25 @@ def level_frames(tree: "InterviewTree", level: int) -> dict[str, DataFrame]:
     )
 
 
+def _paths_below(split_levels: list[DataFrame], counts: list[int], level: int) -> DataFrame:
+    """(node, item_id) asked on the path to every child node at ``level``,
+    derived from the (checkpointed) split tables of the levels above: the
+    ancestor at level l of node n is floor(n / 3^(level - l))."""
+    parent = split_levels[level - 1].select("node")
+    children = parent.select(
+        F.col("node").alias("p"), F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("b")
+    ).select((F.col("p") * 3 + F.col("b")).cast("int").alias("node"))
+    out = None
+    for anc_level, sp in enumerate(split_levels[:level]):
+        part = children.withColumn(
+            "anc", F.floor(F.col("node") / F.lit(3 ** (level - anc_level))).cast("int")
+        ).join(_bcast(sp.select(F.col("node").alias("anc"), "item_id"), counts[anc_level]), "anc").select(
+            "node", "item_id"
+        )
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def build_tree(
     ratings: DataFrame,
     depth: int = 6,
@@ -384,6 +389,7 @@ def build_tree(
     by_level = [salted]
     salted_levels = [salted.withColumn("level", F.lit(0))]
     split_levels: list[DataFrame] = []
+    split_counts: list[int] = []
     paths: DataFrame | None = None
     nodes_bound = 1
     built = 0
@@ -395,6 +401,7 @@ def build_tree(
         )
         splits = materialize(splits)
         frames["totals"].unpersist()
+        frames["cands"].unpersist()
         n_splits = splits.count()
         if n_splits == 0:
             break
@@ -405,7 +412,8 @@ def build_tree(
         )
         by_level.append(salted)
         salted_levels.append(salted.withColumn("level", F.lit(level + 1)))
-        paths = materialize(_next_paths(paths, splits, n_splits))
+        split_counts.append(n_splits)
+        paths = _paths_below(split_levels, split_counts, level + 1)
         nodes_bound = 3 * n_splits
 
     schema = "level int, node int, item_id int, error double, gain double, n_users bigint, popularity bigint"
