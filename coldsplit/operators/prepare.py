@@ -85,9 +85,26 @@ def rated_items(df: DataFrame) -> DataFrame:
     return df.select("item_id").distinct()
 
 
-def user_rating_map(df: DataFrame) -> DataFrame:
-    """user -> map(item -> rating); a view, bounded by the user's ratings."""
-    return df.groupBy("user_id").agg(
+def user_rating_map(df: DataFrame, bucket_rows: int = 200_000) -> DataFrame:
+    """user -> map(item -> rating), one map per (user, bucket).
+
+    A user with more than ``bucket_rows`` ratings gets ceil(n / bucket_rows)
+    buckets (by item hash), so no single map - and no single task - holds an
+    unbounded group. Heavy users are at most rows / bucket_rows, counted
+    before they are broadcast.
+    """
+    from coldsplit.session import BROADCAST_ROW_LIMIT
+
+    counts = df.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
+    heavy = counts.filter(F.col("n") > bucket_rows).select(
+        "user_id", F.ceil(F.col("n") / F.lit(bucket_rows)).cast("int").alias("nb")
+    )
+    n_heavy = heavy.count()
+    h = F.broadcast(heavy) if n_heavy <= BROADCAST_ROW_LIMIT else heavy
+    b = df.join(h, "user_id", "left").withColumn(
+        "bucket", F.pmod(F.xxhash64("item_id"), F.coalesce(F.col("nb"), F.lit(1))).cast("int")
+    )
+    return b.groupBy("user_id", "bucket").agg(
         F.map_from_entries(F.collect_list(F.struct("item_id", "rating"))).alias("ratings")
     )
 
@@ -141,8 +158,11 @@ def encode_reviews(reviews: DataFrame) -> DataFrame:
 
 def restrict_items_to_rated(items: DataFrame, item_index: DataFrame) -> DataFrame:
     """First metadata row per code for rated codes, code replaced by its index."""
-    w = Window.partitionBy("asin").orderBy("title", "description", "price")
-    first = items.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") == 1).drop("rn")
+    # min over a struct = first row in (title, description, price) order;
+    # an aggregate, so a code with very many rows is combined map-side
+    first = items.groupBy("asin").agg(
+        F.min(F.struct("title", "description", "price")).alias("m")
+    ).select("asin", "m.title", "m.description", "m.price")
     return first.join(item_index, "asin").select(
         F.col("item_id").alias("asin"), "description", "title", "price"
     )

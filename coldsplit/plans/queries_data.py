@@ -336,13 +336,15 @@ def q_rated_items(spark, sf):
 
 @query(
     "user_rating_map",
-    with_(SUPP, "SELECT user_id, string_agg(CAST(item_id AS VARCHAR) || ':' || CAST(CAST(rating AS INT) AS VARCHAR), ',' ORDER BY item_id) AS ratings FROM ratings GROUP BY user_id"),
+    # no user of the stand-in tables exceeds one bucket (200k ratings)
+    with_(SUPP, "SELECT user_id, 0 AS bucket, string_agg(CAST(item_id AS VARCHAR) || ':' || CAST(CAST(rating AS INT) AS VARCHAR), ',' ORDER BY item_id) AS ratings FROM ratings GROUP BY user_id"),
 )
 def q_user_map(spark, sf):
     m = prepare.user_rating_map(fx.ratings(spark, sf, "supp"))
     entries = F.array_sort(F.map_entries("ratings"))
     return m.select(
         "user_id",
+        "bucket",
         F.array_join(F.transform(entries, lambda e: F.concat(e.key.cast("string"), F.lit(":"), e.value.cast("int").cast("string"))), ",").alias("ratings"),
     )
 

@@ -17,11 +17,21 @@ from coldsplit.operators.tree import InterviewTree
 ANSWERS_SCHEMA = "user_id int, item_id int, rating double"
 
 
-def answers_from_rows(rows: DataFrame) -> DataFrame:
-    """(user_id, item_id, rating) rows of one micro-batch -> one row per user."""
-    return rows.groupBy("user_id").agg(
+def answers_from_rows(tree: InterviewTree, rows: DataFrame) -> DataFrame:
+    """(user_id, item_id, rating) rows of one micro-batch -> one row per user.
+
+    Only answers to split items are kept (broadcast of the distinct split
+    items, bounded by the node count), so each map is bounded by the tree
+    size, not by how much a user rated."""
+    items = tree.splits.select("item_id").distinct()
+    kept = rows.join(F.broadcast(items), "item_id")  # <= one row per tree node
+    answers = kept.groupBy("user_id").agg(
         F.map_from_entries(F.collect_list(F.struct("item_id", "rating"))).alias("answers")
     )
+    users = rows.select("user_id").distinct()
+    return users.join(answers, "user_id", "left").select(
+        "user_id", F.coalesce("answers", F.create_map().cast("map<int,double>")).alias("answers")
+    )
 
 
 def route_stream(tree: InterviewTree, answers: DataFrame, max_questions: int | None = None) -> DataFrame:
@@ -45,7 +55,7 @@ def start_routing(tree: InterviewTree, source_dir: str, sink, checkpoint_dir: st
     rows = spark.readStream.schema(ANSWERS_SCHEMA).parquet(source_dir)
 
     def _batch(df, batch_id):
-        sink(route_stream(tree, answers_from_rows(df), max_questions), batch_id)
+        sink(route_stream(tree, answers_from_rows(tree, df), max_questions), batch_id)
 
     return (
         rows.writeStream.foreachBatch(_batch)
