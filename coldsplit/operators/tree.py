@@ -31,6 +31,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -89,6 +90,9 @@ def prepare_residuals(ratings: DataFrame, lam: float = 7.0, salt_rows: int = DEF
         F.col("item_id").cast("int").alias("item_id"),
         F.col("rating").cast("double").alias("rating"),
     ).filter(F.col("rating") != 0)
+    # the source is read twice (per-user sums, then the salted residuals);
+    # keep it for the second read instead of recomputing upstream joins
+    r = r.persist(StorageLevel.MEMORY_AND_DISK)
     per_user = materialize(
         r.groupBy("user_id").agg(F.sum("rating").alias("s"), F.count(F.lit(1)).alias("n"))
     )
@@ -123,7 +127,9 @@ def prepare_residuals(ratings: DataFrame, lam: float = 7.0, salt_rows: int = DEF
         (F.col("rating") - F.col("bias")).alias("e"),
         "nsalt",
     )
-    return write_bucketed(e, "residuals", ["user_id", "salt"], p, prepartitioned=True), bias, mean
+    out = write_bucketed(e, "residuals", ["user_id", "salt"], p, prepartitioned=True)
+    r.unpersist()
+    return out, bias, mean
 
 
 def _salted_root(bias: DataFrame, p: int) -> DataFrame:
@@ -222,10 +228,16 @@ def node_base(totals: DataFrame) -> DataFrame:
     )
 
 
-def split_gain(branches: DataFrame, totals: DataFrame) -> DataFrame:
-    """gain(node, cand) = sum over co-rated items of the variance reduction."""
+def split_gain(branches: DataFrame, totals: DataFrame, totals_rows: int | None = None) -> DataFrame:
+    """gain(node, cand) = sum over co-rated items of the variance reduction.
+
+    With a counted, small ``totals`` (one row per rated (node, item)) the
+    join is a broadcast and the branch sums are not shuffled a second time.
+    """
     sq = lambda s, n: s * s / (n + F.lit(EPS))
     t = totals.select("node", "item_id", "ts", "tn")
+    if totals_rows is not None:
+        t = _bcast(t, totals_rows)
     j = branches.join(t, ["node", "item_id"])
     s_u = F.col("ts") - F.col("sL") - F.col("sD")
     n_u = F.col("tn") - F.col("nL") - F.col("nD")
@@ -281,6 +293,11 @@ def score_level(
 ) -> dict[str, DataFrame]:
     """All per-level frames of the split search for the nodes in ``salted``."""
     ea = e.join(salted.select("user_id", "salt", "node").hint("shuffle_hash"), ["user_id", "salt"])
+    if persist:
+        # read four times per level (totals, candidate rows, co-rating side,
+        # answers); the cached plan keeps the (user_id, salt) partitioning,
+        # spills to disk, and is rebuilt from the bucketed tables if lost
+        ea = ea.persist(StorageLevel.MEMORY_AND_DISK)
     totals = node_item_totals(ea)
     if persist:
         totals = totals.persist()
@@ -298,7 +315,7 @@ def score_level(
     sizes = salted.filter(F.col("salt") == 0).groupBy("node").agg(F.count(F.lit(1)).alias("n_users"))
     node_bound = max(1, cand_bound // max(k, 1))  # nodes in this level
     scored = (
-        split_gain(branches, totals)
+        split_gain(branches, totals, totals.count() if persist else None)
         .join(_bcast(cands.withColumnRenamed("item_id", "cand"), cand_bound), ["node", "cand"])
         .join(_bcast(node_base(base_src), node_bound), "node")
         .select(
@@ -404,12 +421,14 @@ def build_tree(
         frames["cands"].unpersist()
         n_splits = splits.count()
         if n_splits == 0:
+            ea.unpersist()
             break
         split_levels.append(splits)
         built = level + 1
         salted = write_bucketed(
             partition_nodes(salted, ea, splits, n_splits, p), f"assign{level + 1}", ["user_id", "salt"], p
         )
+        ea.unpersist()
         by_level.append(salted)
         salted_levels.append(salted.withColumn("level", F.lit(level + 1)))
         split_counts.append(n_splits)
