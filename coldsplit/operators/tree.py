@@ -47,6 +47,7 @@ from coldsplit.session import (
 EPS = 1e-9  # fixed value: denominator guard of the split error
 GAIN_DECIMALS = 6  # ties of the split score are broken after this rounding
 DEFAULT_SALT_ROWS = 200_000
+SPLIT_SCHEMA = "level int, node int, item_id int, error double, gain double, n_users bigint, popularity bigint"
 
 
 @dataclass
@@ -96,20 +97,22 @@ def prepare_residuals(ratings: DataFrame, lam: float = 7.0, salt_rows: int = DEF
     per_user = materialize(
         r.groupBy("user_id").agg(F.sum("rating").alias("s"), F.count(F.lit(1)).alias("n"))
     )
-    tot = per_user.agg(F.sum("s"), F.sum("n")).first()
+    # one small job: global mean and the number of heavy users (the bound
+    # that decides whether their salt table may be broadcast)
+    tot = per_user.agg(
+        F.sum("s"), F.sum("n"), F.count_if(F.col("n") > F.lit(salt_rows))
+    ).first()
     if not tot[1]:
         raise ValueError("no ratings")
     mean = tot[0] / tot[1]
-    bias = materialize(
-        per_user.select(
-            "user_id",
-            ((F.col("s") + F.lit(lam * mean)) / (F.lit(lam) + F.col("n"))).alias("bias"),
-            "n",
-            F.greatest(F.lit(1), F.ceil(F.col("n") / F.lit(salt_rows))).cast("int").alias("nsalt"),
-        )
+    n_heavy = tot[2]
+    bias = per_user.select(
+        "user_id",
+        ((F.col("s") + F.lit(lam * mean)) / (F.lit(lam) + F.col("n"))).alias("bias"),
+        "n",
+        F.greatest(F.lit(1), F.ceil(F.col("n") / F.lit(salt_rows))).cast("int").alias("nsalt"),
     )
     heavy = bias.filter(F.col("nsalt") > 1).select("user_id", F.col("nsalt").alias("hs"))
-    n_heavy = heavy.count()
     salted_r = r.join(_bcast(heavy, n_heavy), "user_id", "left").select(
         "user_id",
         "item_id",
@@ -416,10 +419,13 @@ def build_tree(
         splits = frames["best"].select(
             F.lit(level).alias("level"), "node", "item_id", "error", "gain", "n_users", "popularity"
         )
-        splits = materialize(splits)
+        # at most one row per node: cut lineage by bringing the split table to
+        # the driver and back as a local relation (no checkpoint files)
+        rows = splits.collect()
         frames["totals"].unpersist()
         frames["cands"].unpersist()
-        n_splits = splits.count()
+        n_splits = len(rows)
+        splits = spark.createDataFrame(rows, SPLIT_SCHEMA)
         if n_splits == 0:
             ea.unpersist()
             break
@@ -435,7 +441,7 @@ def build_tree(
         paths = _paths_below(split_levels, split_counts, level + 1)
         nodes_bound = 3 * n_splits
 
-    schema = "level int, node int, item_id int, error double, gain double, n_users bigint, popularity bigint"
+    schema = SPLIT_SCHEMA
     if split_levels:
         all_splits = split_levels[0]
         for s in split_levels[1:]:
