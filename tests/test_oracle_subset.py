@@ -55,7 +55,7 @@ def test_every_query_has_oracle_or_is_random():
     random_or_iterative = {
         "als_baseline", "best_lambda", "evaluate_new_users_als", "factorize", "fit_levels",
         "fit_levels_fixed", "lambda_curve", "random_split", "recommend_items", "recommend_users",
-        "regression_rmse", "sorted_factors", "tune_levels",
+        "regression_rmse", "sorted_factors", "tune_levels", "save_model", "load_model",
     }
     assert no_sql <= random_or_iterative
 
