@@ -17,7 +17,7 @@ from coldsplit.operators.route import (
     route_users,
 )
 from coldsplit.operators.tree import InterviewTree, build_tree
-from coldsplit.session import materialize
+from coldsplit.session import materialize, write_table
 
 
 @dataclass
@@ -78,7 +78,7 @@ def score(model: ColdStartModel, test: DataFrame, train: DataFrame, max_question
     pairs = evaluation_pairs(routed, test, prepare.rated_items(train))
     if model.node_factors is None:
         return predict_node_mean(pairs, model.pseudo)
-    n_nodes = model.tree.assignment.select("level", "node").distinct().count()
+    n_nodes = model.tree.node_bound()
     return predict_pairs(pairs, model.node_factors, model.item_factors, n_nodes)
 
 
@@ -94,6 +94,8 @@ def evaluate_new_users(
     mode='new_item' swaps the roles of users and items first. Users whose
     every test item was asked are skipped (reported as n_skipped)."""
     r = prepare.swap_roles(ratings) if mode == "new_item" else ratings
+    # read by every stage below: write once, then scan with pushed filters
+    r = write_table(r, "eval-ratings")
     train, test = prepare.prefix_split(r, frac)
     model = fit(train, **fit_args)
     preds = score(model, test, train, max_questions)

@@ -21,7 +21,7 @@ ASKED_TYPE = "array<struct<item_id:int,attitude:string>>"
 def split_answers(tree: InterviewTree, ratings: DataFrame) -> DataFrame:
     """(user_id, answers map<int,double>) for every user in ``ratings``."""
     split_items = tree.splits.select("item_id").distinct()
-    n_items = split_items.count()
+    n_items = tree.split_bound()  # distinct split items <= splits
     rated = ratings.join(_bcast(split_items, n_items), "item_id")
     answers = rated.groupBy("user_id").agg(
         F.map_from_entries(F.collect_list(F.struct("item_id", "rating"))).alias("answers")
@@ -69,11 +69,11 @@ def route_answers(tree: InterviewTree, answers: DataFrame, max_questions: int |
         sp = tree.splits.filter(F.col("level") == level).select(
             F.col("node").alias("q_node"), F.col("item_id").alias("q_item")
         )
-        n_sp = sp.count()
+        n_sp = tree.split_bound(level)
         nxt = nodes.filter(F.col("level") == level + 1).select(
             F.col("node").alias("c_node"), F.lit(True).alias("c_exists")
         )
-        n_nxt = nxt.count()
+        n_nxt = 3 * tree.split_bound(level)  # children of this level's splits
         here = F.col("alive") & (F.col("level") == level)
         s = state.join(_bcast(sp, n_sp), (F.col("node") == F.col("q_node")) & here, "left")
         ans = F.try_element_at(F.col("answers"), F.col("q_item"))

@@ -63,6 +63,17 @@ class InterviewTree:
     mean: float
     levels: int  # number of split levels built (deepest node level)
     params: dict = field(default_factory=dict)
+    split_counts: list = field(default_factory=list)  # splits per level (row bounds)
+
+    def node_bound(self) -> int:
+        """Nodes of all levels: the root plus three children per split."""
+        return 1 + 3 * self.split_bound()
+
+    def split_bound(self, level: int | None = None) -> int:
+        """Rows of the split table of ``level`` (all levels if None)."""
+        if not self.split_counts:
+            return self.splits.count()
+        return sum(self.split_counts) if level is None else self.split_counts[level]
 
     def node_levels(self) -> list[int]:
         return list(range(self.levels + 1))
@@ -354,7 +365,7 @@ def level_frames(tree: "InterviewTree", level: int) -> dict[str, DataFrame]:
     """Recompute the split-search frames of one level of a built tree."""
     salted = tree.salted_by_level[level]
     prm = tree.params
-    n_nodes = tree.assignment.filter(F.col("level") == level).select("node").distinct().count()
+    n_nodes = 1 if level == 0 else 3 * tree.split_bound(level - 1)
     return score_level(
         tree.residuals,
         salted,
@@ -462,6 +473,7 @@ def build_tree(
         salted_by_level=by_level,
         mean=mean,
         levels=built,
+        split_counts=list(split_counts),
         params=dict(depth=depth, lam=lam, k=k, order=order, score_items=score_items, salt_rows=salt_rows),
     )
 

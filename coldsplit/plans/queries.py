@@ -27,7 +27,7 @@ from coldsplit.operators.route import (
 from coldsplit.operators.tree import build_tree, level_frames
 from coldsplit.plans import fixtures as fx
 from coldsplit.plans.oracle import base_ctes, route_ctes, tree_ctes, with_, CELLS, RATINGS
-from coldsplit.session import materialize, scratch_path
+from coldsplit.session import materialize, scratch_path, write_table
 
 REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 
@@ -55,8 +55,16 @@ def r4(c):
 _TREES: dict = {}
 
 
+_RATINGS: dict = {}
+
+
 def split_data(spark, sf, which="supp", swap=False):
-    r = fx.ratings(spark, sf, which)
+    """Train/test parts of a stand-in ratings table. The derived table is
+    written once per session (it is read by every stage of the pipeline)."""
+    key = (id(spark.sparkContext._jsc), sf, which)
+    if key not in _RATINGS:
+        _RATINGS[key] = write_table(fx.ratings(spark, sf, which), f"ratings-{which}")
+    r = _RATINGS[key]
     if swap:
         r = prepare.swap_roles(r)
     train, test = prepare.prefix_split(r, fx.TRAIN_FRACTION)
@@ -598,7 +606,7 @@ def q_eval_als(spark, sf):
     nf, itf = _als_model(spark, sf)
     routed = route_users(t, test)
     pairs = evaluation_pairs(routed, test, prepare.rated_items(train))
-    n_nodes = t.assignment.select("level", "node").distinct().count()
+    n_nodes = t.node_bound()
     preds = predict_pairs(pairs, nf, itf, n_nodes)
     return stats.rmse_macro(stats.rmse_per_user(preds))
 
@@ -638,7 +646,7 @@ def q_predict_pairs(spark, sf):
         .join(F.broadcast(emb), (F.col("item_id") % n) == F.col("vec_id"))  # emb: fixed-size table
         .select(F.explode(F.sequence(F.lit(0), F.lit(t.levels))).alias("level"), "item_id", F.col("v").alias("features"))
     )
-    preds = predict_pairs(pairs, node_f, item_f, nodes.count())
+    preds = predict_pairs(pairs, node_f, item_f, t.node_bound())
     return preds.select("user_id", "item_id", r6(F.col("prediction")).alias("prediction"))
 
 

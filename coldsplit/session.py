@@ -86,3 +86,13 @@ def write_bucketed(
         .saveAsTable(table)
     )
     return spark.table(table)
+
+
+def write_table(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` once as Parquet under the shared checkpoint folder and read
+    it back: later reads are plain scans (filters and columns pushed down)
+    instead of re-running the upstream plan, and the files survive executor
+    loss."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
