@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from coldsplit import sources
-from coldsplit.functions import attitude_letter, attitude_branch, dot_product, pad_item_code
-from coldsplit.operators import evaluate, prepare, sparse, stats
+from coldsplit.functions import attitude_branch, attitude_letter, dot_product
+from coldsplit.operators import evaluate, prepare, stats
 from coldsplit.operators.factors import fit_levels, tune_levels
 from coldsplit.operators.recommend import als_baseline, recommend_items, recommend_users
 from coldsplit.operators.route import (
@@ -672,8 +672,6 @@ def _baseline(spark, sf):
 
 @query("als_baseline")
 def q_als_baseline(spark, sf):
-    from coldsplit.operators.recommend import regression_rmse
-
     model, preds = _baseline(spark, sf)
     return preds.select("user_id", "item_id", "rating", r6(F.col("prediction")).alias("prediction"))
 
@@ -683,7 +681,11 @@ def q_regression_rmse(spark, sf):
     from coldsplit.operators.recommend import regression_rmse
 
     model, preds = _baseline(spark, sf)
-    return stats.rmse_micro(preds).select(r6(F.col("rmse")).alias("rmse"), "n")
+    preds = preds.persist()
+    evaluator = regression_rmse(preds)  # RegressionEvaluator: one scalar to the driver
+    return stats.rmse_micro(preds).select(
+        r6(F.col("rmse")).alias("rmse"), "n", F.lit(round(evaluator, 6)).alias("evaluator_rmse")
+    )
 
 
 @query("recommend_items")
