@@ -93,14 +93,14 @@ def user_rating_map(df: DataFrame, bucket_rows: int = 200_000) -> DataFrame:
     unbounded group. Heavy users are at most rows / bucket_rows, counted
     before they are broadcast.
     """
-    from coldsplit.session import BROADCAST_ROW_LIMIT
+    from coldsplit.session import bounded_broadcast
 
     counts = df.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
     heavy = counts.filter(F.col("n") > bucket_rows).select(
         "user_id", F.ceil(F.col("n") / F.lit(bucket_rows)).cast("int").alias("nb")
     )
     n_heavy = heavy.count()
-    h = F.broadcast(heavy) if n_heavy <= BROADCAST_ROW_LIMIT else heavy
+    h = bounded_broadcast(heavy, n_heavy)
     b = df.join(h, "user_id", "left").withColumn(
         "bucket", F.pmod(F.xxhash64("item_id"), F.coalesce(F.col("nb"), F.lit(1))).cast("int")
     )

@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from coldsplit.functions import LIKE, DISLIKE, UNKNOWN, attitude_branch, attitude_letter, dot_product
-from coldsplit.operators.tree import InterviewTree, _bcast
+from coldsplit.operators.tree import InterviewTree
+from coldsplit.session import bounded_broadcast as _bcast
 
 ASKED_TYPE = "array<struct<item_id:int,attitude:string>>"
 

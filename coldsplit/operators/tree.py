@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from coldsplit.functions import DISLIKE, LIKE, attitude_branch
 from coldsplit.session import (
-    BROADCAST_ROW_LIMIT,
+    bounded_broadcast,
     ensure_checkpoint_dir,
     materialize,
     shuffle_partitions,
@@ -79,9 +79,7 @@ class InterviewTree:
         return list(range(self.levels + 1))
 
 
-def _bcast(df: DataFrame, rows_bound: int) -> DataFrame:
-    """Broadcast only a side whose row count was proven small."""
-    return F.broadcast(df) if rows_bound <= BROADCAST_ROW_LIMIT else df
+_bcast = bounded_broadcast
 
 
 def prepare_residuals(ratings: DataFrame, lam: float = 7.0, salt_rows: int = DEFAULT_SALT_ROWS):

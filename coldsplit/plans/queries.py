@@ -25,6 +25,7 @@ from coldsplit.operators.route import (
     route_users,
 )
 from coldsplit.operators.tree import build_tree, level_frames
+from coldsplit.session import bounded_broadcast as _bcast
 from coldsplit.plans import fixtures as fx
 from coldsplit.plans.oracle import base_ctes, route_ctes, tree_ctes, with_, CELLS, RATINGS
 from coldsplit.session import materialize, scratch_path, write_table
@@ -320,7 +321,7 @@ def q_next_question(spark, sf):
     t, _, _ = tree_for(spark, sf)
     routed = _routed(spark, sf)
     s = t.splits.select("level", "node", F.col("item_id").alias("next_item"))
-    return routed.join(F.broadcast(s), ["level", "node"], "left").select("user_id", "level", "node", "next_item")
+    return routed.join(_bcast(s, t.split_bound()), ["level", "node"], "left").select("user_id", "level", "node", "next_item")
 
 
 def _asked_str(col):
@@ -351,7 +352,7 @@ def q_split_lookup(spark, sf):
     t, _, test = tree_for(spark, sf)
     root = t.splits.filter("level = 0").select(F.col("item_id").alias("q"))
     users = test.select("user_id").distinct()
-    ans = test.join(F.broadcast(root), test.item_id == root.q).select("user_id", F.col("rating").alias("answer"))
+    ans = test.join(_bcast(root, 1), test.item_id == root.q).select("user_id", F.col("rating").alias("answer"))
     return users.join(ans, "user_id", "left")
 
 
@@ -458,7 +459,7 @@ def q_pseudo_eps(spark, sf):
 )
 def q_rater_intersection(spark, sf):
     t, train, _ = tree_for(spark, sf)
-    members = t.assignment.join(F.broadcast(t.splits.select("level", "node", "item_id")), ["level", "node"])
+    members = t.assignment.join(_bcast(t.splits.select("level", "node", "item_id"), t.split_bound()), ["level", "node"])
     raters = members.join(train.select("user_id", "item_id"), ["user_id", "item_id"], "left_semi")
     return raters.groupBy("level", "node").agg(F.count(F.lit(1)).alias("n_raters"))
 
@@ -640,10 +641,10 @@ def q_predict_pairs(spark, sf):
     routed = route_users(t, test)
     pairs = evaluation_pairs(routed, test, prepare.rated_items(train))
     nodes = t.assignment.select("level", "node").distinct()
-    node_f = nodes.join(F.broadcast(emb), (F.col("node") % n) == F.col("vec_id")).select("level", "node", F.col("v").alias("features"))
+    node_f = nodes.join(_bcast(emb, n), (F.col("node") % n) == F.col("vec_id")).select("level", "node", F.col("v").alias("features"))
     item_f = (
         prepare.rated_items(train)
-        .join(F.broadcast(emb), (F.col("item_id") % n) == F.col("vec_id"))  # emb: fixed-size table
+        .join(_bcast(emb, n), (F.col("item_id") % n) == F.col("vec_id"))
         .select(F.explode(F.sequence(F.lit(0), F.lit(t.levels))).alias("level"), "item_id", F.col("v").alias("features"))
     )
     preds = predict_pairs(pairs, node_f, item_f, t.node_bound())
@@ -744,11 +745,11 @@ def q_factor_lookup(spark, sf):
     emb, n = _emb(spark, sf)
     pairs = evaluation_pairs(route_users(t, test), test, prepare.rated_items(train))
     nodes = t.assignment.select("level", "node").distinct()
-    node_f = nodes.join(F.broadcast(emb), (F.col("node") % n) == F.col("vec_id")).select("level", "node", F.col("v").alias("u"))
+    node_f = nodes.join(_bcast(emb, n), (F.col("node") % n) == F.col("vec_id")).select("level", "node", F.col("v").alias("u"))
     item_f = (
         prepare.rated_items(train)
-        .join(F.broadcast(emb), (F.col("item_id") % n) == F.col("vec_id"))
+        .join(_bcast(emb, n), (F.col("item_id") % n) == F.col("vec_id"))
         .select(F.explode(F.sequence(F.lit(0), F.lit(t.levels))).alias("level"), "item_id", F.col("v").alias("w"))
     )
-    j = pairs.join(F.broadcast(node_f), ["level", "node"]).join(item_f, ["level", "item_id"])
+    j = pairs.join(_bcast(node_f, t.node_bound()), ["level", "node"]).join(item_f, ["level", "item_id"])
     return j.select("user_id", "item_id", "level", "node", F.size("u").alias("rank_u"), F.size("w").alias("rank_v"))

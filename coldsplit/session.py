@@ -15,6 +15,15 @@ from pyspark.sql import DataFrame, SparkSession
 BROADCAST_ROW_LIMIT = 2_000_000
 
 
+def bounded_broadcast(df: DataFrame, rows_bound: int) -> DataFrame:
+    """Broadcast ``df`` only when its row count - proven by a count we ran or
+    by construction (one row per tree node, per level, ...) - is small;
+    otherwise leave the join to a shuffle."""
+    from pyspark.sql import functions as F
+
+    return F.broadcast(df) if rows_bound <= BROADCAST_ROW_LIMIT else df
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder of the session.
 

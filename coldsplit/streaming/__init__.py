@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from coldsplit.operators.route import route_answers
 from coldsplit.operators.tree import InterviewTree
+from coldsplit.session import bounded_broadcast as _bcast
 
 ANSWERS_SCHEMA = "user_id int, item_id int, rating double"
 
@@ -24,7 +25,7 @@ def answers_from_rows(tree: InterviewTree, rows: DataFrame) -> DataFrame:
     items, bounded by the node count), so each map is bounded by the tree
     size, not by how much a user rated."""
     items = tree.splits.select("item_id").distinct()
-    kept = rows.join(F.broadcast(items), "item_id")  # <= one row per tree node
+    kept = rows.join(_bcast(items, tree.split_bound()), "item_id")  # <= one row per split
     answers = kept.groupBy("user_id").agg(
         F.map_from_entries(F.collect_list(F.struct("item_id", "rating"))).alias("answers")
     )
