@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from coldsplit.functions import LIKE, DISLIKE, UNKNOWN, attitude_branch, attitude_letter, dot_product
+from coldsplit.operators.skew import salted_join
 from coldsplit.operators.tree import InterviewTree
 from coldsplit.session import bounded_broadcast as _bcast
 
@@ -116,7 +117,8 @@ def evaluation_pairs(routed: DataFrame, ratings: DataFrame, known_items: DataFra
     """Test cells to score: known items only, minus the asked-and-answered ones."""
     known = ratings.join(known_items.select("item_id").distinct(), "item_id", "left_semi")
     unasked = known.join(answered_items(routed), ["user_id", "item_id"], "left_anti")
-    return unasked.join(routed.select("user_id", "level", "node"), "user_id")
+    # one routed row per user; a heavy test user is spread by item
+    return salted_join(unasked, routed.select("user_id", "level", "node"), ["user_id"], ["item_id"])
 
 
 def predict_node_mean(pairs: DataFrame, pseudo: DataFrame) -> DataFrame:
@@ -124,24 +126,18 @@ def predict_node_mean(pairs: DataFrame, pseudo: DataFrame) -> DataFrame:
     root mean (always present for a known item)."""
     node = pseudo.select("level", "node", "item_id", F.col("rating").alias("node_mean"))
     root = pseudo.filter(F.col("level") == 0).select("item_id", F.col("rating").alias("root_mean"))
-    return (
-        pairs.join(node, ["level", "node", "item_id"], "left")
-        .join(root, "item_id", "left")
-        .withColumn("prediction", F.coalesce("node_mean", "root_mean"))
-        .drop("node_mean", "root_mean")
-    )
+    # one pseudo row per key; a hot item is spread by user
+    j = salted_join(pairs, node, ["level", "node", "item_id"], ["user_id"], "left")
+    j = salted_join(j, root, ["item_id"], ["user_id"], "left")
+    return j.withColumn("prediction", F.coalesce("node_mean", "root_mean")).drop("node_mean", "root_mean")
 
 
 def predict_pairs(pairs: DataFrame, node_factors: DataFrame, item_factors: DataFrame, n_nodes: int) -> DataFrame:
     """Score (user, item) pairs at their routed (level, node) with factors."""
     nf = _bcast(node_factors.select("level", "node", F.col("features").alias("u")), n_nodes)
     itf = item_factors.select("level", "item_id", F.col("features").alias("v"))
-    return (
-        pairs.join(nf, ["level", "node"])
-        .join(itf, ["level", "item_id"])
-        .withColumn("prediction", dot_product("u", "v"))
-        .drop("u", "v")
-    )
+    j = salted_join(pairs.join(nf, ["level", "node"]), itf, ["level", "item_id"], ["user_id"])
+    return j.withColumn("prediction", dot_product("u", "v")).drop("u", "v")
 
 
 __all__ = [

@@ -73,3 +73,19 @@ def test_item_seen_only_in_test_is_not_scored(spark):
     model = ColdStartModel(t, pseudo_users(t))
     items = {x.item_id for x in score(model, test, train).collect()}
     assert 99 not in items
+
+
+def test_salted_join_spreads_a_hot_key_and_keeps_every_row(spark):
+    from coldsplit.operators.skew import salted_join
+
+    big = spark.createDataFrame(
+        [(1, i) for i in range(500)] + [(2, i) for i in range(3)], "user_id int, item_id int"
+    )
+    small = spark.createDataFrame([(1, "a"), (2, "b")], "user_id int, tag string")
+    out = salted_join(big, small, ["user_id"], ["item_id"], key_rows=100)
+    assert out.count() == 503
+    assert out.filter("user_id = 1 AND tag = 'a'").count() == 500
+    plan = out._jdf.queryExecution().sparkPlan().toString()
+    assert "_salt" in plan
+    left = salted_join(big, small.filter("user_id = 2"), ["user_id"], ["item_id"], "left", key_rows=100)
+    assert left.count() == 503 and left.filter("tag IS NULL").count() == 500
