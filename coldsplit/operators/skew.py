@@ -19,7 +19,7 @@ def salted_join(
     how: str = "inner",
     key_rows: int = DEFAULT_KEY_ROWS,
 ) -> DataFrame:
-    """``big JOIN small ON keys`` where ``small`` has at most one row per key.
+    """``big JOIN small ON keys`` where ``small`` has few rows per key.
 
     Keys with more than ``key_rows`` rows in ``big`` are split into
     ceil(n / key_rows) salt buckets by a hash of ``salt_by`` (deterministic,

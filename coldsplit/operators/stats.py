@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from coldsplit.functions import histogram_bin
+from coldsplit.operators.skew import salted_join
 
 EPS = 1e-9  # fixed value: denominator guard of the split error
 
@@ -25,7 +26,8 @@ def user_bias(ratings: DataFrame, lam: float = 7.0, mean: float | None = None) -
 
 
 def residuals(ratings: DataFrame, bias: DataFrame) -> DataFrame:
-    return ratings.join(bias.select("user_id", "bias"), "user_id").withColumn(
+    """rating - bias of the user; a heavy user's rows are spread by item."""
+    return salted_join(ratings, bias.select("user_id", "bias"), ["user_id"], ["item_id"]).withColumn(
         "e", F.col("rating") - F.col("bias")
     )
 
@@ -42,7 +44,7 @@ def node_item_stats(ratings: DataFrame, bias: DataFrame, assignment: DataFrame)
     """(level, node, item_id, s, s2, n) of residuals for every node of the tree."""
     e = residuals(ratings, bias)
     return (
-        e.join(assignment.select("level", "node", "user_id"), "user_id")
+        salted_join(e, assignment.select("level", "node", "user_id"), ["user_id"], ["item_id"])
         .groupBy("level", "node", "item_id")
         .agg(
             F.sum("e").alias("s"),
@@ -64,7 +66,7 @@ def pseudo_user_ratings(
     ``variant="eps"`` divides by ``n + 1e-9`` and drops exact zeros, as the
     large-matrix scripts do.
     """
-    j = ratings.join(assignment.select("level", "node", "user_id"), "user_id")
+    j = salted_join(ratings, assignment.select("level", "node", "user_id"), ["user_id"], ["item_id"])
     g = j.groupBy("level", "node", "item_id")
     if variant == "eps":
         out = g.agg((F.sum("rating") / (F.count(F.lit(1)) + F.lit(EPS))).alias("rating"))
