@@ -18,6 +18,7 @@ def salted_join(
     salt_by: list[str],
     how: str = "inner",
     key_rows: int = DEFAULT_KEY_ROWS,
+    broadcast_rows: int | None = None,
 ) -> DataFrame:
     """``big JOIN small ON keys`` where ``small`` has few rows per key.
 
@@ -26,8 +27,18 @@ def salted_join(
     so retried tasks see the same rows); ``small`` is replicated over the
     buckets of those keys only. Heavy keys number at most rows / key_rows and
     are counted before their salt table is broadcast. Without heavy keys this
-    is the plain join.
+    is the plain join. When ``small`` itself is small by count, it is simply
+    broadcast: a broadcast join does not move ``big`` and no key can skew it.
     """
+    from pyspark import StorageLevel
+
+    from coldsplit.session import BROADCAST_ROW_LIMIT
+
+    limit = BROADCAST_ROW_LIMIT if broadcast_rows is None else broadcast_rows
+    small = small.persist(StorageLevel.MEMORY_AND_DISK)
+    n_small = small.count()
+    if n_small <= limit and how in ("inner", "left"):
+        return big.join(F.broadcast(small), keys, how)  # n_small rows, counted above
     counts = big.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     heavy = counts.filter(F.col("_n") > key_rows).select(
         *keys, F.ceil(F.col("_n") / F.lit(key_rows)).cast("int").alias("_ns")

@@ -82,10 +82,15 @@ def test_salted_join_spreads_a_hot_key_and_keeps_every_row(spark):
         [(1, i) for i in range(500)] + [(2, i) for i in range(3)], "user_id int, item_id int"
     )
     small = spark.createDataFrame([(1, "a"), (2, "b")], "user_id int, tag string")
-    out = salted_join(big, small, ["user_id"], ["item_id"], key_rows=100)
+    plain = salted_join(big, small, ["user_id"], ["item_id"], key_rows=100)
+    assert "BroadcastHashJoin" in plain._jdf.queryExecution().sparkPlan().toString()
+    assert plain.count() == 503
+    out = salted_join(big, small, ["user_id"], ["item_id"], key_rows=100, broadcast_rows=0)
     assert out.count() == 503
     assert out.filter("user_id = 1 AND tag = 'a'").count() == 500
     plan = out._jdf.queryExecution().sparkPlan().toString()
     assert "_salt" in plan
-    left = salted_join(big, small.filter("user_id = 2"), ["user_id"], ["item_id"], "left", key_rows=100)
+    left = salted_join(
+        big, small.filter("user_id = 2"), ["user_id"], ["item_id"], "left", key_rows=100, broadcast_rows=0
+    )
     assert left.count() == 503 and left.filter("tag IS NULL").count() == 500
