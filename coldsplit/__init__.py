@@ -7,6 +7,6 @@ factorised per level with Spark ML ALS, and unseen users (or items) are routed
 down the tree and scored.
 """
 
-from coldsplit.session import ensure_checkpoint_dir, scratch_path
+from coldsplit.session import drop_scratch_tables, ensure_checkpoint_dir, scratch_path
 
-__all__ = ["ensure_checkpoint_dir", "scratch_path"]
+__all__ = ["drop_scratch_tables", "ensure_checkpoint_dir", "scratch_path"]

@@ -94,9 +94,25 @@ def write_bucketed(
         .option("path", path)
         .saveAsTable(table)
     )
+    _SCRATCH_TABLES.append(table)
     return spark.table(table)
 
 
+_SCRATCH_TABLES: list[str] = []
+
+
+def drop_scratch_tables(spark: SparkSession) -> int:
+    """Drop the catalog entries of the bucketed scratch tables written so far
+    (metadata only: they are external tables whose files live in the
+    checkpoint folder and go with it). Call once the frames are no longer
+    needed."""
+    n = 0
+    while _SCRATCH_TABLES:
+        spark.sql(f"DROP TABLE IF EXISTS {_SCRATCH_TABLES.pop()}")
+        n += 1
+    return n
+
+
 def write_table(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once as Parquet under the shared checkpoint folder and read
     it back: later reads are plain scans (filters and columns pushed down)

@@ -94,3 +94,12 @@ def test_salted_join_spreads_a_hot_key_and_keeps_every_row(spark):
         big, small.filter("user_id = 2"), ["user_id"], ["item_id"], "left", key_rows=100, broadcast_rows=0
     )
     assert left.count() == 503 and left.filter("tag IS NULL").count() == 500
+
+
+def test_scratch_tables_can_be_dropped(spark):
+    from coldsplit.session import drop_scratch_tables, write_bucketed
+
+    df = spark.createDataFrame([(1, 0, 2.0)], SCHEMA).withColumnRenamed("item_id", "salt")
+    t = write_bucketed(df, "probe", ["user_id", "salt"], 2)
+    assert t.count() == 1
+    assert drop_scratch_tables(spark) >= 1
