@@ -38,6 +38,7 @@ from pyspark.sql import functions as F
 from coldsplit.functions import DISLIKE, LIKE, attitude_branch
 from coldsplit.session import (
     bounded_broadcast,
+    bucket_count,
     ensure_checkpoint_dir,
     materialize,
     shuffle_partitions,
@@ -94,7 +95,6 @@ def prepare_residuals(ratings: DataFrame, lam: float = 7.0, salt_rows: int = DEF
     """
     spark = ratings.sparkSession
     ensure_checkpoint_dir(spark)
-    p = shuffle_partitions(spark)
     r = ratings.select(
         F.col("user_id").cast("int").alias("user_id"),
         F.col("item_id").cast("int").alias("item_id"),
@@ -115,6 +115,7 @@ def prepare_residuals(ratings: DataFrame, lam: float = 7.0, salt_rows: int = DEF
         raise ValueError("no ratings")
     mean = tot[0] / tot[1]
     n_heavy = tot[2]
+    p = bucket_count(spark, tot[1])
     bias = per_user.select(
         "user_id",
         ((F.col("s") + F.lit(lam * mean)) / (F.lit(lam) + F.col("n"))).alias("bias"),
@@ -139,9 +140,12 @@ def prepare_residuals(ratings: DataFrame, lam: float = 7.0, salt_rows: int = DEF
         (F.col("rating") - F.col("bias")).alias("e"),
         "nsalt",
     )
-    out = write_bucketed(e, "residuals", ["user_id", "salt"], p, prepartitioned=True)
+    # the join already hash-partitions by (user_id, salt) when its shuffle
+    # has as many partitions as there are buckets
+    same = p == shuffle_partitions(spark)
+    out = write_bucketed(e, "residuals", ["user_id", "salt"], p, prepartitioned=same)
     r.unpersist()
-    return out, bias, mean
+    return out, bias, mean, p
 
 
 def _salted_root(bias: DataFrame, p: int) -> DataFrame:
@@ -412,8 +416,7 @@ def build_tree(
     if score_items not in ("all", "candidates"):
         raise ValueError("score_items must be 'all' or 'candidates'")
     spark = ratings.sparkSession
-    p = shuffle_partitions(spark)
-    e, bias, mean = prepare_residuals(ratings, lam, salt_rows)
+    e, bias, mean, p = prepare_residuals(ratings, lam, salt_rows)
     salted = write_bucketed(_salted_root(bias, p), "assign0", ["user_id", "salt"], p)
     by_level = [salted]
     salted_levels = [salted.withColumn("level", F.lit(0))]

@@ -63,6 +63,17 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+ROWS_PER_BUCKET = 2_000_000
+
+
+def bucket_count(spark: SparkSession, rows: int, rows_per_bucket: int = ROWS_PER_BUCKET) -> int:
+    """Buckets for a table of ``rows`` rows: enough to keep every core busy,
+    about ``rows_per_bucket`` rows each, never more than the session's
+    shuffle partitions (the cluster's sizing of one shuffle)."""
+    want = max(spark.sparkContext.defaultParallelism, -(-rows // rows_per_bucket))
+    return max(1, min(shuffle_partitions(spark), want))
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Cut lineage with a reliable checkpoint into the shared folder.
 
