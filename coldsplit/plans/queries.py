@@ -22,7 +22,9 @@ from coldsplit.operators.route import (
     evaluation_pairs,
     predict_node_mean,
     predict_pairs,
+    route_answers,
     route_users,
+    split_answers,
 )
 from coldsplit.operators.tree import build_tree, level_frames
 from coldsplit.session import bounded_broadcast as _bcast
@@ -97,9 +99,12 @@ def _routed(spark, sf, max_questions=None, **kw):
     return route_users(t, test, max_questions)
 
 
-def _node_mean_preds(spark, sf, max_questions=None, **kw):
+def _node_mean_preds(spark, sf, max_questions=None, answers=None, **kw):
     t, train, test = tree_for(spark, sf, **kw)
-    routed = route_users(t, test, max_questions)
+    if answers is None:
+        routed = route_users(t, test, max_questions)
+    else:
+        routed = route_answers(t, answers, max_questions)
     pairs = evaluation_pairs(routed, test, prepare.rated_items(train))
     return predict_node_mean(pairs, pseudo_for(spark, sf, **kw))
 
@@ -530,9 +535,12 @@ def _interview_sql(lengths):
 
 @query("interview_length_eval", _interview_sql([0, 1, 2, 3]))
 def q_interview(spark, sf):
+    t, _, test = tree_for(spark, sf)
+    # each user's answers to split items, gathered once for every length
+    answers = materialize(split_answers(t, test))
     out = None
     for q in [0, 1, 2, 3]:
-        per_user = stats.rmse_per_user(_node_mean_preds(spark, sf, max_questions=q))
+        per_user = stats.rmse_per_user(_node_mean_preds(spark, sf, max_questions=q, answers=answers))
         row = per_user.agg(r6(F.avg("rmse")).alias("rmse"), F.count(F.lit(1)).alias("n_users")).select(
             F.lit(q).alias("questions"), "rmse", "n_users"
         )
