@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from coldsplit.llm import line_dedup
+from coldsplit.llm import line_dedup, simhash
 
 REGISTRY = {
     "op3_line_dedup": (line_dedup.op3_query, line_dedup.OP3_SQL),
+    "op9_simhash_near_dedup": (simhash.op9_query, None),
 }
