@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from coldsplit.llm import line_dedup, simhash
+from coldsplit.llm import line_dedup, mixing, simhash, toxicity
 
 REGISTRY = {
     "op3_line_dedup": (line_dedup.op3_query, line_dedup.OP3_SQL),
+    "op7_toxicity": (toxicity.op7_query, None),
     "op9_simhash_near_dedup": (simhash.op9_query, None),
+    "op10_mixing": (mixing.op10_query, mixing.OP10_SQL),
 }
