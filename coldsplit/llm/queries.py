@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from coldsplit.llm import line_dedup, mixing, simhash, toxicity
+from coldsplit.llm import line_dedup, mixing, sentencepiece_fst, simhash, toxicity
 
 REGISTRY = {
+    "op1_sentencepiece": (sentencepiece_fst.op1_query, None),
     "op3_line_dedup": (line_dedup.op3_query, line_dedup.OP3_SQL),
     "op7_toxicity": (toxicity.op7_query, None),
     "op9_simhash_near_dedup": (simhash.op9_query, None),
