@@ -13,15 +13,16 @@ the values seen in it, until it holds one value or few bytes. A coordinate is
 32 bits of the metadata, then 15 bits of a hash of the text and 16 bits of a
 hash of text and doc_id: so documents of one metadata value can still be
 divided, and copies of a text stay side by side. The tree (2 * shards numbers)
-becomes array literals in the plan; documents are never moved while it grows.
+becomes array literals in the plan; only coordinates and bytes are rewritten, a
+level at a time, while it grows.
 
 Slots: rows of a shard are numbered by ranges of a hash, each range counted and
 offset, so no shard is sorted in one task.
 
 Only DataFrame functions. Defined results: null or empty text weighs 8 bytes;
 null metadata is a value of its own (coordinate 0); rows equal in metadata, text and
-doc_id stay together; an empty table gives an empty result; extra columns pass
-through, whatever their names.
+doc_id stay together; an empty table gives an empty result; extra columns are
+ignored unless asked for, whatever their names.
 """
 
 from __future__ import annotations
@@ -67,17 +68,12 @@ def _lookup(nodes: list[Node], field: str, at: Column) -> Column:
     return F.get(F.array(*[F.lit(getattr(n, field)).cast("long") for n in nodes]), at.cast("int"))
 
 
-def _descend(points: DataFrame, nodes: list[Node], depth: int) -> DataFrame:
-    """Adds ``node``: where each row is after ``depth`` splits. One column a
-    level, so that no expression is repeated inside the next."""
-    df = points.withColumn("node", F.lit(0).cast("long"))
-    for _ in range(depth):
-        value = F.get("k", F.greatest(_lookup(nodes, "dim", F.col("node")), F.lit(0)).cast("int"))
-        df = df.withColumns({"_v": value, "_cut": _lookup(nodes, "cut", F.col("node")), "_left": _lookup(nodes, "left", F.col("node"))})
-        # children stand side by side; a leaf (left < 0) keeps its rows
-        below = F.when(F.col("_left") < 0, F.col("node")).otherwise(F.col("_left") + (F.col("_v") > F.col("_cut")).cast("long"))
-        df = df.withColumn("node", below).drop("_v", "_cut", "_left")
-    return df
+def _step(points: DataFrame, nodes: list[Node]) -> DataFrame:
+    """Moves ``node`` one split down; a leaf keeps its rows."""
+    value = F.get("k", F.greatest(_lookup(nodes, "dim", F.col("node")), F.lit(0)).cast("int"))
+    df = points.withColumns({"_v": value, "_cut": _lookup(nodes, "cut", F.col("node")), "_left": _lookup(nodes, "left", F.col("node"))})
+    below = F.when(F.col("_left") < 0, F.col("node")).otherwise(F.col("_left") + (F.col("_v") > F.col("_cut")).cast("long"))
+    return df.withColumn("node", below).drop("_v", "_cut", "_left")
 
 
 def _quantiles(points: DataFrame, nodes: list[Node], jobs: dict[int, dict], tolerance: float) -> None:
@@ -104,19 +100,21 @@ def _quantiles(points: DataFrame, nodes: list[Node], jobs: dict[int, dict], tole
             job |= {"used": used, "lo": lo_, "hi": hi_}
             nodes[i].cut = hi_
             if lo_ == hi_ or size_ <= tolerance:
-                if lo_ < hi_ and used + size_ - job["want"] > job["want"] - used:
+                if 0 < used and used + size_ - job["want"] > job["want"] - used:
                     nodes[i].cut = lo_ - 1  # nearer without the last range
                 del open_jobs[i]
 
 
-def build_tree(points: DataFrame, shards: int, dims: int) -> list[Node]:
-    """``points``: k (array of coordinates), bytes."""
+def build_tree(points: DataFrame, shards: int, dims: int) -> tuple[list[Node], DataFrame]:
+    """The tree, and ``points`` (k: array of coordinates, bytes, others) with the
+    leaf ``node`` of each. The points are rewritten a level at a time, so that no
+    plan grows with the depth."""
     nodes = [Node(shards, 0)]
+    at = points.withColumn("node", F.lit(0).cast("long"))
     total = points.agg(F.sum("bytes").alias("b")).first()["b"] or 0
     whole: list[float] = []
-    frontier, depth = [0], 0
+    frontier = [0]
     while frontier and total:
-        at = _descend(points, nodes, depth)
         spread = [f(F.get("k", F.lit(d))).alias(f"{n}{d}") for d in range(dims) for n, f in (("lo", F.min), ("hi", F.max))]
         rows = {r["node"]: r for r in at.groupBy("node").agg(F.sum("bytes").alias("bytes"), *spread).collect()}  # one row a node
         jobs, after = {}, []
@@ -136,22 +134,23 @@ def build_tree(points: DataFrame, shards: int, dims: int) -> list[Node]:
             nodes[i].left = len(nodes)
             nodes += [Node(half, nodes[i].first), Node(nodes[i].leaves - half, nodes[i].first + half)]
             after += [nodes[i].left, nodes[i].left + 1]
-        frontier, depth = after, depth + 1
-    return nodes
+        frontier = after
+        at = write_table(_step(at, nodes), "kd-level")
+    return nodes, at
 
 
-def shard(docs: DataFrame, dims: list[Column] | None = None, shards: int = SHARDS, doc_id: str = "doc_id", text: str = "text", carry: list[str] | None = None) -> DataFrame:
-    """row (struct of the ``carry`` columns, all by default), size, text_crc32, shard, slot."""
+def shard(docs: DataFrame, dims: list[Column] | None = None, shards: int = SHARDS, doc_id: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """row (struct of the ``carry`` columns: small ones, as they are rewritten a
+    level at a time), size, text_crc32, shard, slot."""
     dims = dims or metadata_dims(docs)
     t = text_or_empty(text)
     points = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in carry or docs.columns]).alias("row"), (F.octet_length(t) + 8).cast("long").alias("bytes"), F.crc32(t).alias("text_crc32"),
+        F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row"), (F.octet_length(t) + 8).cast("long").alias("bytes"), F.crc32(t).alias("text_crc32"),
         F.xxhash64(t, F.col(doc_id)).alias("h"), _coordinates(dims, t, F.col(doc_id)).alias("k"),
     )
     points = write_table(points, "kd-points")
-    nodes = build_tree(points.select("k", "bytes"), shards, len(dims))
-    depth = max(1, (shards - 1).bit_length())
-    placed = _descend(points, nodes, depth).withColumn("shard", _lookup(nodes, "first", F.col("node")).cast("int"))
+    nodes, placed = build_tree(points, shards, len(dims))
+    placed = placed.withColumn("shard", _lookup(nodes, "first", F.col("node")).cast("int"))
     # slots: offsets of counted hash ranges, then numbers inside a range
     ranges = max(1, -(-points.count() // (ROWS_PER_RANGE * shards)))
     placed = placed.withColumn("part", F.pmod("h", F.lit(ranges)).cast("int"))
@@ -163,5 +162,5 @@ def shard(docs: DataFrame, dims: list[Column] | None = None, shards: int = SHARD
 
 
 def op8_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = shard(table(spark, sf_dir, "documents"), carry=["doc_id"])
+    out = shard(table(spark, sf_dir, "documents"))
     return out.select("row.doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
