@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from coldsplit.llm import host_rules, kd_sharding, line_dedup, mixing, secrets_scan, sentencepiece_fst, simhash, topk_nra, toxicity
+from coldsplit.llm import host_rules, kd_sharding, line_dedup, mixing, paragraph_dedup, secrets_scan, sentencepiece_fst, simhash, topk_nra, toxicity
 
 REGISTRY = {
     "op1_sentencepiece": (sentencepiece_fst.op1_query, None),
     "op2_topk_nra": (topk_nra.op2_query, topk_nra.OP2_SQL),
     "op3_line_dedup": (line_dedup.op3_query, line_dedup.OP3_SQL),
+    "op4_paragraph_dedup": (paragraph_dedup.op4_query, None),
     "op5_host_rules": (host_rules.op5_query, host_rules.OP5_SQL),
     "op6_secret_scan": (secrets_scan.op6_query, None),
     "op7_toxicity": (toxicity.op7_query, None),
