@@ -5,11 +5,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from coldsplit import sources
 from coldsplit.operators import prepare, stats
-from coldsplit.operators.factors import fit_levels, tune_levels
+from coldsplit.operators.factors import NUM_BLOCKS, fit_levels, tune_levels
 from coldsplit.operators.route import (
     evaluation_pairs,
     predict_node_mean,
@@ -30,18 +31,20 @@ class ColdStartModel:
 
 
 def pseudo_users(tree: InterviewTree) -> DataFrame:
-    """Mean raw rating per (level, node, item), on the salted layout so a heavy
-    user's rows are spread over its salt buckets."""
-    parts = [
-        tree.residuals.join(a.hint("shuffle_hash"), ["user_id", "salt"]).select(
-            F.lit(lv).alias("level"), "node", "item_id", "rating"
-        )
-        for lv, a in enumerate(tree.salted_by_level)
-    ]
-    j = parts[0]
-    for x in parts[1:]:
-        j = j.unionByName(x)
-    return j.groupBy("level", "node", "item_id").agg(F.avg("rating").alias("rating"))
+    """Mean raw rating per (level, node, item). The ratings are scanned once: sums
+    by each user's deepest node, on the salted layout so that a heavy user's rows
+    are spread, then rolled up the tree on that small table (the ancestor of node
+    n, d levels up, is floor(n / 3^d))."""
+    deep = tree.salted_assignment.groupBy("user_id", "salt").agg(F.max(F.struct("level", "node")).alias("d"))
+    sums = (
+        tree.residuals.join(deep.select("user_id", "salt", "d.level", "d.node"), ["user_id", "salt"])
+        .groupBy("level", "node", "item_id")
+        .agg(F.sum("rating").alias("s"), F.count(F.lit(1)).alias("n"))
+    )
+    up = sums.withColumn("l", F.explode(F.sequence(F.lit(0), F.col("level"))))
+    up = up.withColumn("node", F.floor(F.col("node") / F.pow(F.lit(3.0), F.col("level") - F.col("l"))).cast("int"))
+    rolled = up.groupBy(F.col("l").alias("level"), "node", "item_id").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+    return rolled.select("level", "node", "item_id", (F.col("s") / F.col("n")).alias("rating"))
 
 
 def fit(
@@ -53,35 +56,65 @@ def fit(
     predictor: str = "als",
     rank: int = 10,
     max_iter: int = 15,
-    reg: float = 0.01,
+    reg: float | dict = 0.01,
     seed: int = 10,
     validation: DataFrame | None = None,
     lambdas=None,
+    num_blocks: int = NUM_BLOCKS,
 ) -> ColdStartModel:
+    """Tree, pseudo-users and factors. ``validation`` cells (user_id, item_id, rating)
+    are taken out of ``train`` before the tree is built; ``lambdas`` is one grid,
+    or one per level."""
+    if validation is not None:
+        train = write_table(prepare.probe_remove(train, validation), "fit-train")
     tree = build_tree(train, depth=depth, lam=lam, k=k, order=order)
     pseudo = materialize(pseudo_users(tree))
     model = ColdStartModel(tree, pseudo)
     if predictor == "als":
         if validation is not None and lambdas:
-            t, nf, itf = tune_levels(pseudo, tree.levels, validation, tree.assignment, lambdas, rank, max_iter, seed)
+            t, nf, itf = tune_levels(pseudo, tree.levels, validation, tree.assignment, tree.node_bound(), lambdas, rank, max_iter, seed, num_blocks)
             model.level_lambda = t
         else:
-            nf, itf = fit_levels(pseudo, tree.levels, rank, max_iter, reg, seed)
+            nf, itf = fit_levels(pseudo, tree.levels, rank, max_iter, reg, seed, num_blocks)
         model.node_factors, model.item_factors = materialize(nf), materialize(itf)
     return model
 
 
-def score(model: ColdStartModel, test: DataFrame, train: DataFrame, max_questions: int | None = None) -> DataFrame:
+def known_items(model: ColdStartModel) -> DataFrame:
+    """Items with a training rating: those of the root's pseudo-user."""
+    return model.pseudo.filter("level = 0").select("item_id")
+
+
+def score(model: ColdStartModel, test: DataFrame, train: DataFrame | None = None, max_questions: int | None = None, routed: DataFrame | None = None) -> DataFrame:
     """(user_id, item_id, rating, level, node, prediction) for the test cells
-    on known, not-asked items."""
-    routed = route_users(model.tree, test, max_questions)
-    pairs = evaluation_pairs(routed, test, prepare.rated_items(train))
+    on known, not-asked items. Known: rated in ``train``, or in what the model was
+    fitted on."""
+    if routed is None:
+        routed = route_users(model.tree, test, max_questions)
+    pairs = evaluation_pairs(routed, test, known_items(model) if train is None else prepare.rated_items(train))
     if model.node_factors is None:
         return predict_node_mean(pairs, model.pseudo)
     n_nodes = model.tree.node_bound()
     return predict_pairs(pairs, model.node_factors, model.item_factors, n_nodes)
 
 
+def summary(preds: DataFrame, test: DataFrame) -> DataFrame:
+    """rmse_macro, n_users, n_pairs, n_skipped (test users with nothing to score)."""
+    per_user = stats.rmse_per_user(preds)
+    n_test_users = test.select("user_id").distinct().count()
+    return per_user.agg(
+        F.avg("rmse").alias("rmse_macro"),
+        F.count(F.lit(1)).alias("n_users"),
+        F.sum("n").alias("n_pairs"),
+    ).withColumn("n_skipped", F.lit(n_test_users) - F.col("n_users"))
+
+
+def evaluate_model(model: ColdStartModel, test: DataFrame, train: DataFrame | None = None, max_questions: int | None = None) -> DataFrame:
+    """Macro RMSE of unseen users (or items, if the model was fitted on swapped
+    roles). Users whose every test item was asked are skipped and counted."""
+    return summary(score(model, test, train, max_questions), test)
+
+
 def evaluate_new_users(
     ratings: DataFrame,
     frac: float = 0.7,
@@ -89,33 +122,45 @@ def evaluate_new_users(
     max_questions: int | None = None,
     **fit_args,
 ) -> DataFrame:
-    """Macro (mean of per-user) and micro RMSE of unseen users or items.
-
-    mode='new_item' swaps the roles of users and items first. Users whose
-    every test item was asked are skipped (reported as n_skipped)."""
+    """Split by id, fit, evaluate. mode='new_item' swaps the roles of users and
+    items first."""
     r = prepare.swap_roles(ratings) if mode == "new_item" else ratings
     # read by every stage below: write once, then scan with pushed filters
-    r = write_table(r, "eval-ratings")
+    r = write_table(prepare.drop_unrated(r), "eval-ratings")
     train, test = prepare.prefix_split(r, frac)
-    model = fit(train, **fit_args)
-    preds = score(model, test, train, max_questions)
-    per_user = stats.rmse_per_user(preds)
-    n_test_users = test.select("user_id").distinct().count()
-    return per_user.agg(
-        F.avg("rmse").alias("rmse_macro"),
-        F.sqrt(F.sum(F.col("rmse") * F.col("rmse") * F.col("n")) / F.sum("n")).alias("rmse_micro"),
-        F.count(F.lit(1)).alias("n_users"),
-        F.sum("n").alias("n_pairs"),
-    ).withColumn("n_skipped", F.lit(n_test_users) - F.col("n_users"))
+    return evaluate_model(fit(train, **fit_args), test, None, max_questions)
 
 
-def interview_length_eval(model: ColdStartModel, test: DataFrame, train: DataFrame, lengths) -> DataFrame:
-    """Macro RMSE when only the first q questions are asked, for each q."""
+def interview_length_eval(model: ColdStartModel, test: DataFrame, train: DataFrame | None, lengths) -> DataFrame:
+    """Macro RMSE when only the first q questions are asked, for each q. Users walk
+    once: their state after q questions is the start of the full walk."""
+    lengths = list(lengths)
+    routed = write_table(route_users(model.tree, test, max(lengths, default=0)), "routed")
     out = None
     for q in lengths:
-        per_user = stats.rmse_per_user(score(model, test, train, q))
+        # the child a question led to: 3 * node + 0, 1 or 2 (like, dislike, unknown)
+        node = F.aggregate(
+            F.slice("asked", 1, q) if q else F.slice("asked", 1, 0),
+            F.lit(0),
+            lambda n, a: n * 3 + F.when(a["attitude"] == "L", 0).when(a["attitude"] == "D", 1).otherwise(2),
+        )
+        cut = routed.select("user_id", F.least(F.col("level"), F.lit(q)).alias("level"), node.cast("int").alias("node"), F.slice("asked", 1, q).alias("asked"))
+        per_user = stats.rmse_per_user(score(model, test, train, routed=cut))
         row = per_user.agg(F.avg("rmse").alias("rmse"), F.count(F.lit(1)).alias("n_users")).select(
             F.lit(q).alias("questions"), "rmse", "n_users"
         )
         out = row if out is None else out.unionByName(row)
     return out
+
+
+def save_model(model: ColdStartModel, path: str) -> None:
+    """Everything routing, scoring and further fitting need, as Parquet tables."""
+    sources.save_tree(model.tree, f"{path}/tree")
+    tables = {"pseudo": model.pseudo, "node_factors": model.node_factors, "item_factors": model.item_factors, "level_lambda": model.level_lambda}
+    sources.save_tables({k: v for k, v in tables.items() if v is not None}, path)
+
+
+def load_model(spark: SparkSession, path: str) -> ColdStartModel:
+    names = sources.table_names(spark, path)
+    got = {k: sources.load_table(spark, path, k) for k in ("pseudo", "node_factors", "item_factors", "level_lambda") if k in names}
+    return ColdStartModel(tree=sources.load_tree(spark, f"{path}/tree"), **got)

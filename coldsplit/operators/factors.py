@@ -10,12 +10,16 @@ fit per lambda, not one per (level, lambda).
 from __future__ import annotations
 
 from pyspark.ml.recommendation import ALS
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from coldsplit.functions import dot_product
+from coldsplit.operators.prepare import index_codes
+from coldsplit.operators.skew import salted_join
+from coldsplit.session import bounded_broadcast, write_table
 
 INT_MAX = 2**31 - 1
+NUM_BLOCKS = 10  # ALS blocks a side; about the number of cores on a cluster
 
 
 def _node_key(level, node):
@@ -32,7 +36,7 @@ def factorize(
     user_col: str = "user_id",
     item_col: str = "item_id",
     rating_col: str = "rating",
-    num_blocks: int | None = None,
+    num_blocks: int = NUM_BLOCKS,
     cold_start: str = "nan",
 ):
     """Fit ALS; returns (model, user factors (id, features), item factors)."""
@@ -45,26 +49,25 @@ def factorize(
         itemCol=item_col,
         ratingCol=rating_col,
         coldStartStrategy=cold_start,
+        numUserBlocks=num_blocks,
+        numItemBlocks=num_blocks,
     )
-    if num_blocks:
-        als = als.setNumBlocks(num_blocks)
     model = als.fit(ratings)
     return model, model.userFactors, model.itemFactors
 
 
-def _stacked(pseudo: DataFrame, levels: int):
-    max_item = pseudo.agg(F.max("item_id")).first()[0] or 0
-    if (levels + 1) * (max_item + 1) > INT_MAX or (3 ** (levels + 1)) // 2 > INT_MAX:
-        return None, max_item
-    stacked = pseudo.select(
-        "level",
-        "node",
-        "item_id",
-        _node_key(F.col("level"), F.col("node")).cast("int").alias("u"),
-        (F.col("level") * F.lit(max_item + 1) + F.col("item_id")).cast("int").alias("i"),
-        F.col("rating").cast("float").alias("r"),
-    )
-    return stacked, max_item
+def _node_of(key, levels: int):
+    """(level, node) of a breadth-first key, by arithmetic."""
+    level = F.lit(0)
+    for lv in range(1, levels + 1):
+        level = F.when(key >= (3**lv - 1) // 2, F.lit(lv)).otherwise(level)
+    first = ((F.pow(F.lit(3), level).cast("long") - 1) / 2).cast("long")
+    return level.cast("int").alias("level"), (key - first).cast("int").alias("node")
+
+
+def index_pseudo_items(pseudo: DataFrame) -> DataFrame:
+    """(item_id, idx): dense numbers of the rated items, so that ids of any size fit."""
+    return write_table(index_codes(pseudo.select("item_id"), "item_id"), "als-items")
 
 
 def fit_levels(
@@ -72,43 +75,54 @@ def fit_levels(
     levels: int,
     rank: int = 10,
     max_iter: int = 15,
-    reg: float = 0.01,
+    reg: float | dict = 0.01,
     seed: int = 10,
+    num_blocks: int = NUM_BLOCKS,
+    items: DataFrame | None = None,
 ):
-    """Factorise the pseudo-user ratings of every level.
+    """Factorise the pseudo-user ratings of every level in one stacked fit (one
+    per distinct value, if ``reg`` is a dict level -> value).
 
     pseudo: (level, node, item_id, rating). Returns
     (node_factors(level, node, features), item_factors(level, item_id, features)).
     """
-    stacked, max_item = _stacked(pseudo, levels)
-    if stacked is None:  # ids would overflow int: one fit per level
-        nfs, ifs = [], []
-        for lv in range(levels + 1):
-            part = pseudo.filter(F.col("level") == lv)
-            _, uf, itf = factorize(part, rank, max_iter, reg, seed, "node", "item_id")
-            nfs.append(uf.select(F.lit(lv).alias("level"), F.col("id").alias("node"), "features"))
-            ifs.append(itf.select(F.lit(lv).alias("level"), F.col("id").alias("item_id"), "features"))
-        nf, itf_all = nfs[0], ifs[0]
-        for a, b in zip(nfs[1:], ifs[1:]):
-            nf, itf_all = nf.unionByName(a), itf_all.unionByName(b)
-        return nf, itf_all
-    _, uf, itf = factorize(stacked, rank, max_iter, reg, seed, "u", "i", "r")
-    keys_u = stacked.select("level", "node", "u").distinct()
-    keys_i = stacked.select("level", "item_id", "i").distinct()
-    node_factors = uf.join(keys_u, uf.id == keys_u.u).select("level", "node", "features")
-    item_factors = itf.join(keys_i, itf.id == keys_i.i).select("level", "item_id", "features")
+    if isinstance(reg, dict):
+        items = index_pseudo_items(pseudo) if items is None else items
+        nf = itf = None
+        for value in sorted({float(v) for v in reg.values()}):
+            own = [lv for lv, v in reg.items() if float(v) == value]
+            a, b = fit_levels(pseudo.filter(F.col("level").isin(own)), levels, rank, max_iter, value, seed, num_blocks, items)
+            nf, itf = (a, b) if nf is None else (nf.unionByName(a), itf.unionByName(b))
+        return nf, itf
+    items = index_pseudo_items(pseudo) if items is None else items
+    n_items = items.count()
+    if (levels + 1) * n_items > INT_MAX or 3 ** (levels + 1) // 2 > INT_MAX:
+        raise ValueError(f"{levels + 1} levels of {n_items} items do not fit the 32-bit ids of ALS")
+    stacked = salted_join(pseudo, items, ["item_id"], ["level", "node"]).select(
+        _node_key(F.col("level"), F.col("node")).cast("int").alias("u"),
+        (F.col("level") * F.lit(n_items) + F.col("idx")).cast("int").alias("i"),
+        F.col("rating").cast("float").alias("r"),
+    )
+    _, uf, itf = factorize(stacked, rank, max_iter, reg, seed, "u", "i", "r", num_blocks)
+    node_factors = uf.select(*_node_of(F.col("id"), levels), "features")
+    item_factors = (
+        itf.select(F.floor(F.col("id") / F.lit(n_items)).cast("int").alias("level"), (F.col("id") % n_items).cast("int").alias("idx"), "features")
+        .join(items, "idx")
+        .select("level", "item_id", "features")
+    )
     return node_factors, item_factors
 
 
 def validation_rmse(
-    validation: DataFrame, assignment: DataFrame, node_factors: DataFrame, item_factors: DataFrame
+    validation: DataFrame, assignment: DataFrame, node_factors: DataFrame, item_factors: DataFrame, node_bound: int, rank: int = 10
 ) -> DataFrame:
     """Micro RMSE per level of validation cells of training users, each scored
-    at the user's own node of that level."""
-    v = validation.join(assignment.select("level", "node", "user_id"), "user_id")
-    scored = v.join(node_factors.withColumnRenamed("features", "u"), ["level", "node"]).join(
-        item_factors.withColumnRenamed("features", "v"), ["level", "item_id"]
-    )
+    at the user's own node of that level. Node factors (``node_bound`` rows at
+    most) are broadcast; a heavy user is spread by item and a hot item by user."""
+    # a user has one assignment row a level
+    v = salted_join(validation, assignment.select("level", "node", "user_id"), ["user_id"], ["item_id"])
+    v = v.join(bounded_broadcast(node_factors.withColumnRenamed("features", "u"), node_bound, rank), ["level", "node"])
+    scored = salted_join(v, item_factors.withColumnRenamed("features", "v"), ["level", "item_id"], ["user_id"], array_items=rank)
     return scored.groupBy("level").agg(
         F.sqrt(F.avg(F.pow(F.col("rating") - dot_product("u", "v"), 2))).alias("rmse"),
         F.count(F.lit(1)).alias("n"),
@@ -120,36 +134,33 @@ def tune_levels(
     levels: int,
     validation: DataFrame,
     assignment: DataFrame,
+    node_bound: int,
     lambdas=(0.005, 0.01, 0.02, 0.05, 0.1),
     rank: int = 10,
     max_iter: int = 15,
     seed: int = 10,
+    num_blocks: int = NUM_BLOCKS,
 ):
-    """Grid over lambda; per level keep the lambda with the least validation
-    RMSE (first in grid order on ties). Returns (level_lambda, node_factors,
-    item_factors) where the factors are those of each level's best lambda."""
-    from pyspark.sql import Window
-
-    curves, nfs, ifs = None, None, None
-    for lam in lambdas:
-        nf, itf = fit_levels(pseudo, levels, rank, max_iter, lam, seed)
-        nf = nf.withColumn("lambda", F.lit(float(lam)))
-        itf = itf.withColumn("lambda", F.lit(float(lam)))
-        c = validation_rmse(validation, assignment, nf.drop("lambda"), itf.drop("lambda")).withColumn(
-            "lambda", F.lit(float(lam))
-        )
+    """Grid over lambda, the same for all levels or a dict level -> grid; per level
+    keep the lambda with the least validation RMSE (first in grid order on ties).
+    ``validation`` must not be in the training cells behind ``pseudo``. Returns
+    (level_lambda, node_factors, item_factors) where the factors are those of
+    each level's best lambda."""
+    grids = {lv: [float(x) for x in (lambdas[lv] if isinstance(lambdas, dict) else lambdas)] for lv in range(levels + 1)}
+    items = index_pseudo_items(pseudo)
+    curves = nfs = ifs = None
+    for lam in sorted({x for g in grids.values() for x in g}):
+        own = [lv for lv, g in grids.items() if lam in g]
+        nf, itf = fit_levels(pseudo.filter(F.col("level").isin(own)), levels, rank, max_iter, lam, seed, num_blocks, items)
+        nf, itf = write_table(nf, "tune-nodes"), write_table(itf, "tune-items")
+        c = validation_rmse(validation, assignment, nf, itf, node_bound, rank).withColumn("lambda", F.lit(lam))
+        nf, itf = nf.withColumn("lambda", F.lit(lam)), itf.withColumn("lambda", F.lit(lam))
         curves = c if curves is None else curves.unionByName(c)
         nfs = nf if nfs is None else nfs.unionByName(nf)
         ifs = itf if ifs is None else ifs.unionByName(itf)
-    order = {float(l): i for i, l in enumerate(lambdas)}
-    grid_pos = F.create_map(*[x for k, v in order.items() for x in (F.lit(k), F.lit(v))])
-    w = Window.partitionBy("level").orderBy(F.col("rmse").asc(), grid_pos[F.col("lambda")].asc())
-    table = curves.withColumn("best", F.row_number().over(w) == 1).select(
-        "level", "lambda", "rmse", "n", "best"
-    )
-    from coldsplit.session import materialize
-
-    table = materialize(table)
+    place = F.coalesce(*[F.when((F.col("level") == lv) & (F.col("lambda") == lam), n) for lv, g in grids.items() for n, lam in enumerate(g)])
+    w = Window.partitionBy("level").orderBy(F.col("rmse").asc(), place.asc())  # one row a lambda
+    table = write_table(curves.withColumn("best", F.row_number().over(w) == 1).select("level", "lambda", "rmse", "n", "best"), "level-lambda")
     best = table.filter("best").select("level", "lambda")
     node_f = nfs.join(F.broadcast(best), ["level", "lambda"]).drop("lambda")  # <= one row per level
     item_f = ifs.join(F.broadcast(best), ["level", "lambda"]).drop("lambda")

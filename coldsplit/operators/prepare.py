@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from coldsplit.functions import pad_item_code
+from coldsplit.operators.skew import salted_join
+
+MAP_BLOCK_ITEMS = 1000  # item ids per map of user_rating_map
 
 
 def project_columns(df: DataFrame, names: list[str]) -> DataFrame:
@@ -37,8 +40,17 @@ def prefix_split(df: DataFrame, frac: float = 0.7, col: str = "user_id") -> tupl
     return df.filter(F.col(col) < cut), df.filter(F.col(col) >= cut)
 
 
-def random_split(df: DataFrame, weights=(0.8, 0.2), seed: int | None = None):
-    return df.randomSplit(list(weights), seed)
+def random_split(df: DataFrame, weights=(0.8, 0.2), seed: int = 0) -> list[DataFrame]:
+    """Parts by a hash of (seed, user, item): a cell is in exactly one part, however
+    often and in whatever partitions the frame is computed."""
+    key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("user_id").cast("string"), F.col("item_id").cast("string")))
+    u = F.conv(F.substring(key, 1, 8), 16, 10).cast("double") / F.lit(float(2**32))
+    total, low, parts = sum(weights), 0.0, []
+    for n, w in enumerate(weights):
+        high = low + w / total
+        parts.append(df.filter((u >= low) & (u < high) if n + 1 < len(weights) else u >= low))
+        low = high
+    return parts
 
 
 def sub_rectangle(df: DataFrame, n_items: int = 100, n_users: int = 1000) -> DataFrame:
@@ -85,26 +97,12 @@ def rated_items(df: DataFrame) -> DataFrame:
     return df.select("item_id").distinct()
 
 
-def user_rating_map(df: DataFrame, bucket_rows: int = 200_000) -> DataFrame:
-    """user -> map(item -> rating), one map per (user, bucket).
-
-    A user with more than ``bucket_rows`` ratings gets ceil(n / bucket_rows)
-    buckets (by item hash), so no single map - and no single task - holds an
-    unbounded group. Heavy users are at most rows / bucket_rows, counted
-    before they are broadcast.
-    """
-    from coldsplit.session import bounded_broadcast
-
-    counts = df.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
-    heavy = counts.filter(F.col("n") > bucket_rows).select(
-        "user_id", F.ceil(F.col("n") / F.lit(bucket_rows)).cast("int").alias("nb")
-    )
-    n_heavy = heavy.count()
-    h = bounded_broadcast(heavy, n_heavy)
-    b = df.join(h, "user_id", "left").withColumn(
-        "bucket", F.pmod(F.xxhash64("item_id"), F.coalesce(F.col("nb"), F.lit(1))).cast("int")
-    )
-    return b.groupBy("user_id", "bucket").agg(
+def user_rating_map(df: DataFrame, block_items: int = MAP_BLOCK_ITEMS) -> DataFrame:
+    """user -> map(item -> rating), one map per user and block of ``block_items``
+    item ids (block = floor(item_id / block_items)): the same shape at every
+    size, and a map never has more than ``block_items`` entries."""
+    b = df.withColumn("block", F.floor(F.col("item_id") / F.lit(block_items)).cast("int"))
+    return b.groupBy("user_id", "block").agg(
         F.map_from_entries(F.collect_list(F.struct("item_id", "rating"))).alias("ratings")
     )
 
@@ -153,7 +151,8 @@ def encode_reviews(reviews: DataFrame) -> DataFrame:
     users = index_users(reviews)
     items = index_items(reviews)
     r = reviews.select("reviewerID", pad_item_code(F.col("asin")).alias("asin"), F.col("overall").alias("rating"))
-    return r.join(users, "reviewerID").join(items, "asin").select("user_id", "item_id", "rating")
+    r = salted_join(r, users, ["reviewerID"], ["asin"])
+    return salted_join(r, items, ["asin"], ["reviewerID"]).select("user_id", "item_id", "rating")
 
 
 def restrict_items_to_rated(items: DataFrame, item_index: DataFrame) -> DataFrame:
@@ -195,4 +194,5 @@ def validation_restrict(df: DataFrame, frac: float = 0.75, n_ids: int | None = N
 
 
 def known_item_filter(test: DataFrame, train: DataFrame) -> DataFrame:
-    return test.join(train.select("item_id").distinct(), "item_id", "left_semi")
+    # one row per known item; a hot item of the test side is spread by user
+    return salted_join(test, train.select("item_id").distinct(), ["item_id"], ["user_id"], "left_semi").select(*test.columns)

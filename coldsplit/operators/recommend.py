@@ -6,7 +6,8 @@ from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from coldsplit.operators.factors import factorize
+from coldsplit.operators.factors import NUM_BLOCKS, factorize
+from coldsplit.operators.prepare import random_split
 
 
 def als_baseline(
@@ -16,10 +17,11 @@ def als_baseline(
     max_iter: int = 5,
     reg: float = 0.01,
     rank: int = 10,
+    num_blocks: int = NUM_BLOCKS,
 ):
-    """Random split, ALS with cold-start 'drop'; returns (model, predictions)."""
-    train, test = ratings.randomSplit(list(weights), seed)
-    model, _, _ = factorize(train, rank, max_iter, reg, seed, cold_start="drop")
+    """Split by a hash of the cell, ALS with cold-start 'drop'; returns (model, predictions)."""
+    train, test = random_split(ratings, weights, seed)
+    model, _, _ = factorize(train, rank, max_iter, reg, seed, num_blocks=num_blocks, cold_start="drop")
     return model, model.transform(test)
 
 
@@ -28,13 +30,18 @@ def regression_rmse(predictions: DataFrame, label: str = "rating", pred: str = "
     return ev.evaluate(predictions)
 
 
-def recommend_items(model, n: int = 10) -> DataFrame:
-    return model.recommendForAllUsers(n).select(
+def recommend_items(model, n: int = 10, users: DataFrame | None = None) -> DataFrame:
+    """The n best items for each row of ``users`` (user_id). Without ``users``, for
+    every user: that scores all pairs, for small models only."""
+    found = model.recommendForAllUsers(n) if users is None else model.recommendForUserSubset(users.select("user_id").distinct(), n)
+    return found.select(
         "user_id", F.posexplode("recommendations").alias("rank", "r")
     ).select("user_id", (F.col("rank") + 1).alias("rank"), F.col("r.item_id").alias("item_id"), F.col("r.rating").alias("score"))
 
 
-def recommend_users(model, n: int = 10) -> DataFrame:
-    return model.recommendForAllItems(n).select(
+def recommend_users(model, n: int = 10, items: DataFrame | None = None) -> DataFrame:
+    """The n best users for each row of ``items`` (item_id); see recommend_items."""
+    found = model.recommendForAllItems(n) if items is None else model.recommendForItemSubset(items.select("item_id").distinct(), n)
+    return found.select(
         "item_id", F.posexplode("recommendations").alias("rank", "r")
     ).select("item_id", (F.col("rank") + 1).alias("rank"), F.col("r.user_id").alias("user_id"), F.col("r.rating").alias("score"))

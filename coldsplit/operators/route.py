@@ -66,7 +66,7 @@ def route_answers(tree: InterviewTree, answers: DataFrame, max_questions: int |
         F.array().cast("array<string>").alias("trace"),
     )
     levels = tree.levels if max_questions is None else min(tree.levels, max_questions)
-    nodes = tree.assignment.select("level", "node").distinct()
+    nodes = tree.nodes()
     for level in range(levels):
         sp = tree.splits.filter(F.col("level") == level).select(
             F.col("node").alias("q_node"), F.col("item_id").alias("q_item")
@@ -115,7 +115,7 @@ def answered_items(routed: DataFrame) -> DataFrame:
 
 def evaluation_pairs(routed: DataFrame, ratings: DataFrame, known_items: DataFrame) -> DataFrame:
     """Test cells to score: known items only, minus the asked-and-answered ones."""
-    known = ratings.join(known_items.select("item_id").distinct(), "item_id", "left_semi")
+    known = salted_join(ratings, known_items.select("item_id").distinct(), ["item_id"], ["user_id"], "left_semi")
     unasked = known.join(answered_items(routed), ["user_id", "item_id"], "left_anti")
     # one routed row per user; a heavy test user is spread by item
     return salted_join(unasked, routed.select("user_id", "level", "node"), ["user_id"], ["item_id"])
@@ -132,12 +132,26 @@ def predict_node_mean(pairs: DataFrame, pseudo: DataFrame) -> DataFrame:
     return j.withColumn("prediction", F.coalesce("node_mean", "root_mean")).drop("node_mean", "root_mean")
 
 
-def predict_pairs(pairs: DataFrame, node_factors: DataFrame, item_factors: DataFrame, n_nodes: int) -> DataFrame:
-    """Score (user, item) pairs at their routed (level, node) with factors."""
-    nf = _bcast(node_factors.select("level", "node", F.col("features").alias("u")), n_nodes)
-    itf = item_factors.select("level", "item_id", F.col("features").alias("v"))
-    j = salted_join(pairs.join(nf, ["level", "node"]), itf, ["level", "item_id"], ["user_id"])
-    return j.withColumn("prediction", dot_product("u", "v")).drop("u", "v")
+def predict_pairs(pairs: DataFrame, node_factors: DataFrame, item_factors: DataFrame, n_nodes: int, rank: int = 10) -> DataFrame:
+    """Score (user, item) pairs with the factors of the user's own node, or where
+    the item has none at that level (users of a leaf leave the loop, so an item
+    may be rated above only), of the nearest ancestor whose level has the item.
+    An item of the root is known, so no pair is lost."""
+    levels = item_factors.select("item_id", "level")
+    # per (level asked, item): the deepest level at or above it that has the item
+    deepest = levels.agg(F.max("level")).first()[0] or 0
+    have = levels.groupBy("item_id").agg(F.collect_set("level").alias("have"))  # one entry a level
+    best = have.select("item_id", F.explode(F.sequence(F.lit(0), F.lit(deepest))).alias("level"), "have").select(
+        "item_id", "level", F.array_max(F.filter("have", lambda x: x <= F.col("level"))).alias("at")
+    )
+    itf = best.filter("at is not null").join(
+        item_factors.select("item_id", F.col("level").alias("at"), F.col("features").alias("v")), ["item_id", "at"]
+    )
+    nf = _bcast(node_factors.select(F.col("level").alias("at"), F.col("node").alias("at_node"), F.col("features").alias("u")), n_nodes, rank)
+    j = salted_join(pairs, itf, ["level", "item_id"], ["user_id"], array_items=rank)
+    up = F.floor(F.col("node") / F.pow(F.lit(3.0), F.col("level") - F.col("at"))).cast("int")
+    j = j.withColumn("at_node", up).join(nf, ["at", "at_node"])
+    return j.withColumn("prediction", dot_product("u", "v")).drop("u", "v", "at", "at_node")
 
 
 __all__ = [

@@ -6,7 +6,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from coldsplit.session import bounded_broadcast
+from coldsplit.session import (
+    ARRAY_ITEMS,
+    BROADCAST_BYTE_LIMIT,
+    BROADCAST_ROW_LIMIT,
+    bounded_broadcast,
+    row_bytes,
+    write_table,
+)
 
 DEFAULT_KEY_ROWS = 200_000
 
@@ -19,6 +26,7 @@ def salted_join(
     how: str = "inner",
     key_rows: int = DEFAULT_KEY_ROWS,
     broadcast_rows: int | None = None,
+    array_items: int = ARRAY_ITEMS,
 ) -> DataFrame:
     """``big JOIN small ON keys`` where ``small`` has few rows per key.
 
@@ -30,18 +38,16 @@ def salted_join(
     is the plain join. When ``small`` itself is small by count, it is simply
     broadcast: a broadcast join does not move ``big`` and no key can skew it.
     """
-    from pyspark import StorageLevel
-
-    from coldsplit.session import BROADCAST_ROW_LIMIT
-
-    limit = BROADCAST_ROW_LIMIT if broadcast_rows is None else broadcast_rows
-    small = small.persist(StorageLevel.MEMORY_AND_DISK)
+    small = write_table(small, "join-small")  # read back as files: nothing stays cached
     n_small = small.count()
-    if n_small <= limit and how in ("inner", "left"):
+    limit = BROADCAST_ROW_LIMIT if broadcast_rows is None else broadcast_rows
+    fits = n_small <= limit and n_small * row_bytes(small, array_items) <= BROADCAST_BYTE_LIMIT
+    if fits and how in ("inner", "left", "left_semi", "left_anti"):
         return big.join(F.broadcast(small), keys, how)  # n_small rows, counted above
     counts = big.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    heavy = counts.filter(F.col("_n") > key_rows).select(
-        *keys, F.ceil(F.col("_n") / F.lit(key_rows)).cast("int").alias("_ns")
+    heavy = write_table(
+        counts.filter(F.col("_n") > key_rows).select(*keys, F.ceil(F.col("_n") / F.lit(key_rows)).cast("int").alias("_ns")),
+        "join-heavy",
     )
     n_heavy = heavy.count()
     if n_heavy == 0:

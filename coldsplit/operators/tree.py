@@ -31,7 +31,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,12 +40,14 @@ from coldsplit.session import (
     bucket_count,
     ensure_checkpoint_dir,
     materialize,
-    shuffle_partitions,
+    scratch_tables,
+    drop_scratch_tables,
+    write_table,
     write_bucketed,
 )
 
 EPS = 1e-9  # fixed value: denominator guard of the split error
-GAIN_DECIMALS = 6  # ties of the split score are broken after this rounding
+GAIN_FORMAT = "%.8e"  # ties of the split score are broken after rounding to 9 significant digits
 DEFAULT_SALT_ROWS = 200_000
 SPLIT_SCHEMA = "level int, node int, item_id int, error double, gain double, n_users bigint, popularity bigint"
 
@@ -65,6 +66,21 @@ class InterviewTree:
     levels: int  # number of split levels built (deepest node level)
     params: dict = field(default_factory=dict)
     split_counts: list = field(default_factory=list)  # splits per level (row bounds)
+    node_table: DataFrame | None = None  # level, node, n_users: written when first asked for
+    tables: set = field(default_factory=set)  # scratch tables behind the frames above
+
+    def nodes(self) -> DataFrame:
+        """(level, node, n_users): one row per node that has training users."""
+        if self.node_table is None:
+            sizes = self.assignment.groupBy("level", "node").agg(F.count(F.lit(1)).alias("n_users"))
+            self.node_table = write_table(sizes, "tree-nodes")
+        return self.node_table
+
+    def release(self) -> None:
+        """Drop the scratch tables and their files. Splits, and the node table if it
+        was asked for, stay; the other frames can't be read any more."""
+        drop_scratch_tables(self.splits.sparkSession, self.tables)
+        self.tables = set()
 
     def node_bound(self) -> int:
         """Nodes of all levels: the root plus three children per split."""
@@ -100,9 +116,8 @@ def prepare_residuals(ratings: DataFrame, lam: float = 7.0, salt_rows: int = DEF
         F.col("item_id").cast("int").alias("item_id"),
         F.col("rating").cast("double").alias("rating"),
     ).filter(F.col("rating") != 0)
-    # the source is read twice (per-user sums, then the salted residuals);
-    # keep it for the second read instead of recomputing upstream joins
-    r = r.persist(StorageLevel.MEMORY_AND_DISK)
+    # the source is scanned twice (per-user sums, then the salted residuals): pass
+    # a table, not a plan that is dear to repeat
     per_user = materialize(
         r.groupBy("user_id").agg(F.sum("rating").alias("s"), F.count(F.lit(1)).alias("n"))
     )
@@ -140,12 +155,7 @@ def prepare_residuals(ratings: DataFrame, lam: float = 7.0, salt_rows: int = DEF
         (F.col("rating") - F.col("bias")).alias("e"),
         "nsalt",
     )
-    # the join already hash-partitions by (user_id, salt) when its shuffle
-    # has as many partitions as there are buckets
-    same = p == shuffle_partitions(spark)
-    out = write_bucketed(e, "residuals", ["user_id", "salt"], p, prepartitioned=same)
-    r.unpersist()
-    return out, bias, mean, p
+    return write_bucketed(e, "residuals", ["user_id", "salt"], p), bias, mean, p
 
 
 def _salted_root(bias: DataFrame, p: int) -> DataFrame:
@@ -270,7 +280,7 @@ def best_split(scored: DataFrame, order: str = "most") -> DataFrame:
     """Argmin of error per node: rounded gain desc, popularity, item id."""
     pop = F.col("popularity").desc() if order == "most" else F.col("popularity").asc()
     w = Window.partitionBy("node").orderBy(
-        F.round(F.col("gain"), GAIN_DECIMALS).desc(), pop, F.col("item_id").asc()
+        F.format_string(GAIN_FORMAT, F.col("gain")).cast("double").desc(), pop, F.col("item_id").asc()
     )
     return scored.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") == 1).drop("rn")
 
@@ -309,11 +319,8 @@ def score_level(
 ) -> dict[str, DataFrame]:
     """All per-level frames of the split search for the nodes in ``salted``."""
     ea = e.join(salted.select("user_id", "salt", "node").hint("shuffle_hash"), ["user_id", "salt"])
-    if persist:
-        # read four times per level (totals, candidate rows, co-rating side,
-        # answers); the cached plan keeps the (user_id, salt) partitioning,
-        # spills to disk, and is rebuilt from the bucketed tables if lost
-        ea = ea.persist(StorageLevel.MEMORY_AND_DISK)
+    # read several times per level, each time by a shuffle-free join of two
+    # bucketed tables: only the aggregated totals are kept
     totals = node_item_totals(ea)
     if persist:
         totals = totals.persist()
@@ -416,6 +423,7 @@ def build_tree(
     if score_items not in ("all", "candidates"):
         raise ValueError("score_items must be 'all' or 'candidates'")
     spark = ratings.sparkSession
+    before = scratch_tables()
     e, bias, mean, p = prepare_residuals(ratings, lam, salt_rows)
     salted = write_bucketed(_salted_root(bias, p), "assign0", ["user_id", "salt"], p)
     by_level = [salted]
@@ -439,14 +447,12 @@ def build_tree(
         n_splits = len(rows)
         splits = spark.createDataFrame(rows, SPLIT_SCHEMA)
         if n_splits == 0:
-            ea.unpersist()
             break
         split_levels.append(splits)
         built = level + 1
         salted = write_bucketed(
             partition_nodes(salted, ea, splits, n_splits, p), f"assign{level + 1}", ["user_id", "salt"], p
         )
-        ea.unpersist()
         by_level.append(salted)
         salted_levels.append(salted.withColumn("level", F.lit(level + 1)))
         split_counts.append(n_splits)
@@ -475,6 +481,7 @@ def build_tree(
         mean=mean,
         levels=built,
         split_counts=list(split_counts),
+        tables=scratch_tables() - before,
         params=dict(depth=depth, lam=lam, k=k, order=order, score_items=score_items, salt_rows=salt_rows),
     )
 

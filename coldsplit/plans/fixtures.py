@@ -96,3 +96,10 @@ def coded_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
         code.alias("asin"),
         star_from_quantity(F.col("l_quantity")).cast("double").alias("overall"),
     )
+
+
+# the probe pairs in SQL, over a CTE named ratings
+PROBE_SQL = (
+    "probe AS (SELECT item_id, user_id FROM ratings WHERE (user_id * 31 + item_id * 17) % 10 = 0"
+    " UNION SELECT CAST(-1 - user_id % 5 AS INT) AS item_id, user_id FROM ratings WHERE user_id % 7 = 0)"
+)

@@ -84,7 +84,7 @@ def level_ctes(level: int, k: int = 200, order: str = "most", score_items: str =
         f" FROM gain{L} g JOIN cand{L} c ON g.node = c.node AND g.cand = c.item_id JOIN base{L} bs ON bs.node = g.node"
         f" JOIN size{L} s ON s.node = g.node)",
         f"split{L} AS (SELECT {L} AS level, node, item_id, error, gain, n_users, popularity FROM ("
-        f"SELECT *, ROW_NUMBER() OVER (PARTITION BY node ORDER BY ROUND(gain, 6) DESC, popularity {pop}, item_id) AS rn"
+        f"SELECT *, ROW_NUMBER() OVER (PARTITION BY node ORDER BY CAST(printf('%.8e', gain) AS DOUBLE) DESC, popularity {pop}, item_id) AS rn"
         f" FROM scored{L}) WHERE rn = 1)",
         f"a{N} AS (SELECT a.node * 3 + CASE WHEN t.rating >= 4 THEN 0 WHEN t.rating <= 3 THEN 1 ELSE 2 END AS node, a.user_id"
         f" FROM a{L} a JOIN split{L} s ON a.node = s.node LEFT JOIN train t ON t.user_id = a.user_id AND t.item_id = s.item_id)",

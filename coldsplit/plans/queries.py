@@ -61,10 +61,25 @@ _TREES: dict = {}
 _RATINGS: dict = {}
 
 
+def _session(spark) -> str:
+    return spark.sparkContext.applicationId
+
+
+def clear_caches(spark=None) -> None:
+    """Forget the trees, ratings and factors kept for this session; with ``spark``,
+    drop the scratch tables behind the trees too."""
+    if spark is not None:
+        for kept in _TREES.values():
+            kept[0].release()
+    _TREES.clear()
+    _RATINGS.clear()
+    _PSEUDO.clear()
+
+
 def split_data(spark, sf, which="supp", swap=False):
     """Train/test parts of a stand-in ratings table. The derived table is
     written once per session (it is read by every stage of the pipeline)."""
-    key = (id(spark.sparkContext._jsc), sf, which)
+    key = (_session(spark), sf, which)
     if key not in _RATINGS:
         _RATINGS[key] = write_table(fx.ratings(spark, sf, which), f"ratings-{which}")
     r = _RATINGS[key]
@@ -74,8 +89,12 @@ def split_data(spark, sf, which="supp", swap=False):
     return prepare.drop_unrated(train), prepare.drop_unrated(test)
 
 
+def _tree_key(spark, sf, which="supp", depth=DEPTH, k=K, order="most", score_items="all", swap=False):
+    return (_session(spark), sf, which, depth, k, order, score_items, swap)
+
+
 def tree_for(spark, sf, which="supp", depth=DEPTH, k=K, order="most", score_items="all", swap=False):
-    key = (id(spark.sparkContext._jsc), sf, which, depth, k, order, score_items, swap)
+    key = _tree_key(spark, sf, which, depth, k, order, score_items, swap)
     if key not in _TREES:
         train, test = split_data(spark, sf, which, swap)
         t = build_tree(train, depth=depth, k=k, order=order, score_items=score_items)
@@ -88,9 +107,9 @@ _PSEUDO: dict = {}
 
 def pseudo_for(spark, sf, **kw):
     t, train, test = tree_for(spark, sf, **kw)
-    key = id(t)
+    key = _tree_key(spark, sf, **kw)
     if key not in _PSEUDO:
-        _PSEUDO[key] = materialize(evaluate.pseudo_users(t))
+        _PSEUDO[key] = write_table(evaluate.pseudo_users(t), "pseudo")
     return _PSEUDO[key]
 
 
@@ -501,15 +520,14 @@ _EVAL_SELECT = (
 )
 
 
+def _model(spark, sf, **kw):
+    return evaluate.ColdStartModel(tree_for(spark, sf, **kw)[0], pseudo_for(spark, sf, **kw))
+
+
 def _eval_node_mean(spark, sf, swap=False):
-    t, train, test = tree_for(spark, sf, swap=swap)
-    per_user = stats.rmse_per_user(_node_mean_preds(spark, sf, swap=swap))
-    n_test = test.select("user_id").distinct().count()
-    return per_user.agg(
-        r6(F.avg("rmse")).alias("rmse_macro"),
-        F.count(F.lit(1)).alias("n_users"),
-        F.sum("n").alias("n_pairs"),
-    ).withColumn("n_skipped", F.lit(n_test) - F.col("n_users"))
+    _, _, test = tree_for(spark, sf, swap=swap)
+    out = evaluate.evaluate_model(_model(spark, sf, swap=swap), test)
+    return out.withColumn("rmse_macro", r6(F.col("rmse_macro")))
 
 
 @query("evaluate_new_users", with_(ROUTE, _EVAL_SELECT))
@@ -535,46 +553,49 @@ def _interview_sql(lengths):
 
 @query("interview_length_eval", _interview_sql([0, 1, 2, 3]))
 def q_interview(spark, sf):
-    t, _, test = tree_for(spark, sf)
-    # each user's answers to split items, gathered once for every length
-    answers = materialize(split_answers(t, test))
-    out = None
-    for q in [0, 1, 2, 3]:
-        per_user = stats.rmse_per_user(_node_mean_preds(spark, sf, max_questions=q, answers=answers))
-        row = per_user.agg(r6(F.avg("rmse")).alias("rmse"), F.count(F.lit(1)).alias("n_users")).select(
-            F.lit(q).alias("questions"), "rmse", "n_users"
-        )
-        out = row if out is None else out.unionByName(row)
-    return out
+    _, _, test = tree_for(spark, sf)
+    out = evaluate.interview_length_eval(_model(spark, sf), test, None, [0, 1, 2, 3])
+    return out.withColumn("rmse", r6(F.col("rmse")))
 
 
 # ---------------------------------------------------- factors (no SQL oracle)
 
-def _als_model(spark, sf):
-    t, train, test = tree_for(spark, sf)
-    key = ("als", id(t))
+def _als_model(spark, sf, **kw):
+    t, train, test = tree_for(spark, sf, **kw)
+    key = (_tree_key(spark, sf, **kw), "als")
     if key not in _PSEUDO:
-        nf, itf = fit_levels(pseudo_for(spark, sf), t.levels, rank=10, max_iter=15, reg=0.01, seed=10)
-        _PSEUDO[key] = (materialize(nf), materialize(itf))
+        nf, itf = fit_levels(pseudo_for(spark, sf, **kw), t.levels, rank=10, max_iter=15, reg=0.01, seed=10)
+        _PSEUDO[key] = (write_table(nf, "als-nodes"), write_table(itf, "als-items"))
     return _PSEUDO[key]
 
 
-@query("fit_levels")
-def q_fit_levels(spark, sf):
-    nf, itf = _als_model(spark, sf)
+_LEVEL_SQL = (
+    "SELECT level, COUNT(DISTINCT node) AS n_nodes, 10 AS rank, COUNT(DISTINCT item_id) AS n_items FROM pseudo GROUP BY level"
+)
+
+
+def _level_shape(nf, itf):
     a = nf.groupBy("level").agg(F.count(F.lit(1)).alias("n_nodes"), F.max(F.size("features")).alias("rank"))
-    b = itf.groupBy("level").agg(F.count(F.lit(1)).alias("n_items"))
-    return a.join(b, "level")
+    return a.join(itf.groupBy("level").agg(F.count(F.lit(1)).alias("n_items")), "level")
 
 
-@query("fit_levels_fixed")
+@query("fit_levels", with_(TREE, _LEVEL_SQL))
+def q_fit_levels(spark, sf):
+    return _level_shape(*_als_model(spark, sf))
+
+
+@query("fit_levels_fixed", with_(TREE, _LEVEL_SQL))
 def q_fit_levels_fixed(spark, sf):
+    """A value of its own for each level, as found by a former tuning."""
     t, _, _ = tree_for(spark, sf)
-    nf, itf = fit_levels(pseudo_for(spark, sf), t.levels, rank=10, max_iter=15, reg=0.02, seed=10)
-    return nf.groupBy("level").agg(F.count(F.lit(1)).alias("n_nodes"))
+    reg = {lv: (0.02, 0.01, 0.05)[lv % 3] for lv in range(t.levels + 1)}
+    return _level_shape(*fit_levels(pseudo_for(spark, sf), t.levels, rank=10, max_iter=15, reg=reg, seed=10))
 
 
-@query("factorize")
+@query(
+    "factorize",
+    with_(BASE, "SELECT DISTINCT 'user' AS side, user_id AS id, 10 AS rank FROM train UNION ALL SELECT DISTINCT 'item', item_id, 10 FROM train"),
+)
 def q_factorize(spark, sf):
     from coldsplit.operators.factors import factorize
 
@@ -585,18 +606,56 @@ def q_factorize(spark, sf):
     )
 
 
-def _validation(spark, sf):
-    """Probe cells of training users (the held-out validation set)."""
-    t, train, _ = tree_for(spark, sf)
-    probe = fx.probe_pairs(spark, sf, "supp")
-    return prepare.probe_extract(train, probe)
+# grids of their own for the root, the first and the deeper levels
+GRIDS = {
+    0: (0.0001, 0.0005, 0.001, 0.005, 0.01, 0.05, 0.1, 0.2, 0.5, 1.0),
+    1: (0.005, 0.01, 0.02, 0.05, 0.1),
+}
+DEEP_GRID = (0.01, 0.05, 0.1)
+
+
+def _tuning(spark, sf):
+    """Tree and pseudo-users grown without the probe cells; the probe cells of
+    training users, which validate; the training cells left."""
+    key = (_session(spark), sf, "tuning")
+    if key not in _TREES:
+        train, _ = split_data(spark, sf)
+        probe = fx.probe_pairs(spark, sf, "supp")
+        validation = write_table(prepare.probe_extract(train, probe), "validation")
+        left = write_table(prepare.probe_remove(train, probe), "tuning-train")
+        t = build_tree(left, depth=DEPTH, k=K)
+        _TREES[key] = (t, write_table(evaluate.pseudo_users(t), "tuning-pseudo"), validation, left)
+    return _TREES[key]
+
+
+def _tuned(spark, sf):
+    key = (_session(spark), sf, "tuned")
+    if key not in _PSEUDO:
+        t, pseudo, validation, _ = _tuning(spark, sf)
+        grids = {lv: GRIDS.get(lv, DEEP_GRID) for lv in range(t.levels + 1)}
+        _PSEUDO[key] = tune_levels(pseudo, t.levels, validation, t.assignment, t.node_bound(), grids)[0]
+    return _PSEUDO[key]
+
+
+@query(
+    "validation_held_out",
+    with_(
+        BASE + [fx.PROBE_SQL],
+        "SELECT (SELECT COUNT(*) FROM train t JOIN probe p ON t.item_id = p.item_id AND t.user_id = p.user_id) AS n_validation,"
+        " (SELECT COUNT(*) FROM train t WHERE NOT EXISTS (SELECT 1 FROM probe p WHERE t.item_id = p.item_id AND t.user_id = p.user_id)) AS n_train, 0 AS n_both",
+    ),
+)
+def q_validation_held_out(spark, sf):
+    _, _, validation, left = _tuning(spark, sf)
+    both = validation.join(left.select("user_id", "item_id"), ["user_id", "item_id"], "left_semi")
+    return validation.agg(F.count(F.lit(1)).alias("n_validation")).withColumns(
+        {"n_train": F.lit(left.count()), "n_both": F.lit(both.count()).cast("int")}
+    )
 
 
 @query("tune_levels")
 def q_tune_levels(spark, sf):
-    t, _, _ = tree_for(spark, sf)
-    table, _, _ = tune_levels(pseudo_for(spark, sf), t.levels, _validation(spark, sf), t.assignment, (0.01, 0.05, 0.1))
-    return table.select("level", "lambda", r6(F.col("rmse")).alias("rmse"), "n", "best")
+    return _tuned(spark, sf).select("level", "lambda", r6(F.col("rmse")).alias("rmse"), "n", "best")
 
 
 @query("lambda_curve")
@@ -609,21 +668,30 @@ def q_best_lambda(spark, sf):
     return q_tune_levels(spark, sf).filter("best").select("level", "lambda")
 
 
+def _eval_als(spark, sf, swap=False):
+    _, _, test = tree_for(spark, sf, swap=swap)
+    model = _model(spark, sf, swap=swap)
+    model.node_factors, model.item_factors = _als_model(spark, sf, swap=swap)
+    out = evaluate.evaluate_model(model, test)
+    return out.withColumn("rmse_macro", r6(F.col("rmse_macro")))
+
+
 @query("evaluate_new_users_als")
 def q_eval_als(spark, sf):
-    t, train, test = tree_for(spark, sf)
-    nf, itf = _als_model(spark, sf)
-    routed = route_users(t, test)
-    pairs = evaluation_pairs(routed, test, prepare.rated_items(train))
-    n_nodes = t.node_bound()
-    preds = predict_pairs(pairs, nf, itf, n_nodes)
-    return stats.rmse_macro(stats.rmse_per_user(preds))
+    return _eval_als(spark, sf)
+
+
+@query("evaluate_new_items_als")
+def q_eval_items_als(spark, sf):
+    return _eval_als(spark, sf, swap=True)
 
 
-@query("sorted_factors")
+@query("sorted_factors", with_(TREE, "SELECT level, node, 10 AS rank, ROW_NUMBER() OVER (ORDER BY level, node) AS place FROM (SELECT DISTINCT level, node FROM pseudo)"))
 def q_sorted_factors(spark, sf):
     nf, _ = _als_model(spark, sf)
-    return nf.orderBy("level", "node").select("level", "node", F.size("features").alias("rank"))
+    ordered = nf.orderBy("level", "node").select("level", "node", F.size("features").alias("rank"))
+    # the place of each row in the sorted frame: one row per tree node
+    return ordered.coalesce(1).withColumn("place", F.monotonically_increasing_id() + 1)
 
 
 # Deterministic substitute factors: embeddings keyed by node / item id.
@@ -690,7 +758,7 @@ def q_regression_rmse(spark, sf):
     from coldsplit.operators.recommend import regression_rmse
 
     model, preds = _baseline(spark, sf)
-    preds = preds.persist()
+    preds = write_table(preds.select("user_id", "item_id", F.col("rating").cast("double").alias("rating"), "prediction"), "baseline-preds")
     evaluator = regression_rmse(preds)  # RegressionEvaluator: one scalar to the driver
     return stats.rmse_micro(preds).select(
         r6(F.col("rmse")).alias("rmse"), "n", F.lit(round(evaluator, 6)).alias("evaluator_rmse")
@@ -699,17 +767,25 @@ def q_regression_rmse(spark, sf):
 
 @query("recommend_items")
 def q_recommend_items(spark, sf):
-    model, _ = _baseline(spark, sf)
-    return recommend_items(model, 10).select("user_id", "rank", "item_id")
+    # for the users of the test part
+    model, preds = _baseline(spark, sf)
+    return recommend_items(model, 10, preds).select("user_id", "rank", "item_id")
 
 
 @query("recommend_users")
 def q_recommend_users(spark, sf):
-    model, _ = _baseline(spark, sf)
-    return recommend_users(model, 10).select("item_id", "rank", "user_id")
+    model, preds = _baseline(spark, sf)
+    return recommend_users(model, 10, preds).select("item_id", "rank", "user_id")
 
 
-@query("random_split")
+@query(
+    "random_split",
+    with_(
+        SUPP,
+        "SELECT CASE WHEN CAST(('0x' || substr(md5('7:' || user_id || ':' || item_id), 1, 8)) AS BIGINT) / 4294967296.0 < 0.8 THEN 'train' ELSE 'test' END AS part,"
+        " user_id, item_id FROM ratings",
+    ),
+)
 def q_random_split(spark, sf):
     r = fx.ratings(spark, sf, "supp")
     a, b = prepare.random_split(r, (0.8, 0.2), seed=7)
@@ -718,26 +794,26 @@ def q_random_split(spark, sf):
     )
 
 
-@query("save_model")
-def q_save_model(spark, sf):
-    from coldsplit import sources
-
-    nf, itf = _als_model(spark, sf)
+def _saved_model(spark, sf):
+    model = _model(spark, sf)
+    model.node_factors, model.item_factors = _als_model(spark, sf)
     path = scratch_path(spark, "model")
-    sources.save_tables({"node_factors": nf, "item_factors": itf}, path)
-    back = sources.load_table(spark, path, "node_factors")
-    return back.groupBy("level").agg(F.count(F.lit(1)).alias("n_nodes"), F.max(F.size("features")).alias("rank"))
+    evaluate.save_model(model, path)
+    return evaluate.load_model(spark, path)
 
 
-@query("load_model")
-def q_load_model(spark, sf):
-    from coldsplit import sources
+@query("save_model", with_(TREE, _LEVEL_SQL))
+def q_save_model(spark, sf):
+    back = _saved_model(spark, sf)
+    return _level_shape(back.node_factors, back.item_factors)
 
-    nf, itf = _als_model(spark, sf)
-    path = scratch_path(spark, "model")
-    sources.save_tables({"node_factors": nf, "item_factors": itf}, path)
-    lv = sources.load_table(spark, path, "item_factors", levels=[1])  # level pruning
-    return lv.select("level", "item_id", F.size("features").alias("rank"))
+
+@query("load_model", with_(ROUTE, "SELECT user_id, item_id, level, node FROM pairs"))
+def q_load_model(spark, sf):
+    """Routing and scoring on the model that came back from disk."""
+    _, _, test = tree_for(spark, sf)
+    preds = evaluate.score(_saved_model(spark, sf), test)
+    return preds.filter("prediction is not null").select("user_id", "item_id", "level", "node")
 
 
 @query(

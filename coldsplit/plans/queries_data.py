@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from coldsplit import sources
 from coldsplit.functions import pad_item_code
 from coldsplit.operators import prepare, sparse, stats
+from coldsplit.operators.route import attitude_trace, route_users
+from coldsplit.operators.skew import salted_join
 from coldsplit.plans import fixtures as fx
 from coldsplit.plans.oracle import CELLS, RATINGS, base_ctes, with_
-from coldsplit.plans.queries import TREE, query, r6, split_data, tree_for
+from coldsplit.plans.queries import DEPTH, ROUTE, TREE, query, r6, split_data, tree_for
 from coldsplit.session import scratch_path
 
 PART = [CELLS, RATINGS["part"]]
@@ -142,13 +144,7 @@ def q_stack(spark, sf):
     return r.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("item_id").alias("n_items"))
 
 
-_PROBE_SQL = (
-    "probe AS (SELECT item_id, user_id FROM ratings WHERE (user_id * 31 + item_id * 17) % 10 = 0"
-    " UNION SELECT CAST(-1 - user_id % 5 AS INT) AS item_id, user_id FROM ratings WHERE user_id % 7 = 0)"
-)
-
-
-@query("read_sectioned_pairs", with_(SUPP + [_PROBE_SQL], "SELECT item_id, user_id FROM probe"))
+@query("read_sectioned_pairs", with_(SUPP + [fx.PROBE_SQL], "SELECT item_id, user_id FROM probe"))
 def q_read_pairs(spark, sf):
     path = scratch_path(spark, "probe")
     probe = fx.probe_pairs(spark, sf, "supp").distinct()
@@ -166,12 +162,12 @@ def q_read_pairs(spark, sf):
     return sources.read_sectioned_pairs(spark, path)
 
 
-@query("probe_extract", with_(SUPP + [_PROBE_SQL], "SELECT r.user_id, r.item_id, r.rating FROM ratings r JOIN probe p ON p.item_id = r.item_id AND p.user_id = r.user_id"))
+@query("probe_extract", with_(SUPP + [fx.PROBE_SQL], "SELECT r.user_id, r.item_id, r.rating FROM ratings r JOIN probe p ON p.item_id = r.item_id AND p.user_id = r.user_id"))
 def q_probe_extract(spark, sf):
     return prepare.probe_extract(fx.ratings(spark, sf, "supp"), fx.probe_pairs(spark, sf, "supp")).select("user_id", "item_id", "rating")
 
 
-@query("probe_remove", with_(SUPP + [_PROBE_SQL], "SELECT r.user_id, r.item_id, r.rating FROM ratings r WHERE NOT EXISTS (SELECT 1 FROM probe p WHERE p.item_id = r.item_id AND p.user_id = r.user_id)"))
+@query("probe_remove", with_(SUPP + [fx.PROBE_SQL], "SELECT r.user_id, r.item_id, r.rating FROM ratings r WHERE NOT EXISTS (SELECT 1 FROM probe p WHERE p.item_id = r.item_id AND p.user_id = r.user_id)"))
 def q_probe_remove(spark, sf):
     return prepare.probe_remove(fx.ratings(spark, sf, "supp"), fx.probe_pairs(spark, sf, "supp")).select("user_id", "item_id", "rating")
 
@@ -179,7 +175,7 @@ def q_probe_remove(spark, sf):
 @query(
     "validation_restrict",
     with_(
-        SUPP + [_PROBE_SQL],
+        SUPP + [fx.PROBE_SQL],
         "SELECT r.user_id, r.item_id, r.rating FROM ratings r JOIN probe p ON p.item_id = r.item_id AND p.user_id = r.user_id"
         " WHERE r.user_id < (SELECT FLOOR((MAX(user_id) + 1) * 0.75) FROM ratings)",
     ),
@@ -198,11 +194,14 @@ def q_save_ratings(spark, sf):
     return sources.load_ratings(spark, path)
 
 
-@query("load_user_shards", with_(SUPP, "SELECT user_id, item_id, rating FROM ratings WHERE user_id >= 24 AND user_id < 72"))
+@query("load_user_shards", with_(SUPP, "SELECT user_id // 24 AS shard, COUNT(*) AS n, SUM(rating) AS total FROM ratings GROUP BY 1"))
 def q_shards(spark, sf):
     path = scratch_path(spark, "shards")
     sources.save_user_shards(fx.ratings(spark, sf, "supp"), path, 24)
-    return sources.load_user_shards(spark, path, shards=[1, 2]).select("user_id", "item_id", "rating")
+    # every shard, read by the list of its number
+    shards = [r[0] for r in spark.read.parquet(path).select("shard").distinct().collect()]
+    back = sources.load_user_shards(spark, path, shards=shards)
+    return back.groupBy(F.floor(F.col("user_id") / 24).cast("int").alias("shard")).agg(F.count(F.lit(1)).alias("n"), F.sum("rating").alias("total"))
 
 
 @query("merge_shards", with_(SUPP, "SELECT user_id, item_id, rating FROM ratings"))
@@ -216,16 +215,17 @@ def q_merge_shards(spark, sf):
 def q_save_tree(spark, sf):
     t, _, _ = tree_for(spark, sf)
     path = scratch_path(spark, "tree")
-    sources.save_tables({"tree_split": t.splits, "node_assignment": t.assignment, "user_bias": t.bias}, path)
-    return sources.load_table(spark, path, "tree_split").select("level", "node", "item_id", "n_users")
+    sources.save_tree(t, path)
+    return sources.load_tree(spark, path).splits.select("level", "node", "item_id", "n_users")
 
 
-@query("load_tree", with_(TREE, "SELECT level, node, user_id FROM assignment WHERE level = 2"))
+@query("load_tree", with_(ROUTE, "SELECT user_id, trace FROM routed"))
 def q_load_tree(spark, sf):
-    t, _, _ = tree_for(spark, sf)
+    # routing on the tree that came back from disk
+    t, _, test = tree_for(spark, sf)
     path = scratch_path(spark, "tree")
-    sources.save_tables({"node_assignment": t.assignment}, path)
-    return sources.load_table(spark, path, "node_assignment", levels=[2]).select("level", "node", "user_id")
+    sources.save_tree(t, path)
+    return attitude_trace(route_users(sources.load_tree(spark, path), test))
 
 
 # ================================================== projections & expressions
@@ -297,17 +297,17 @@ def q_residual(spark, sf):
 def q_join_bias(spark, sf):
     train, _ = split_data(spark, sf)
     b = stats.user_bias(train, 7.0)
-    return train.join(b, "user_id").select("user_id", "item_id", r6(F.col("bias")).alias("bias"))
+    return salted_join(train, b.select("user_id", "bias"), ["user_id"], ["item_id"]).select("user_id", "item_id", r6(F.col("bias")).alias("bias"))
 
 
 @query(
     "join_assignment",
-    with_(TREE, "SELECT x.node, e.user_id, e.item_id FROM a1 x JOIN e ON x.user_id = e.user_id"),
+    with_(TREE, "SELECT x.level, x.node, e.user_id, e.item_id FROM (" + " UNION ALL ".join(f"SELECT {lv} AS level, node, user_id FROM a{lv}" for lv in range(DEPTH + 1)) + ") x JOIN e ON x.user_id = e.user_id"),
 )
 def q_join_assignment(spark, sf):
     t, train, _ = tree_for(spark, sf)
-    a = t.assignment.filter("level = 1").select("node", "user_id")
-    return train.join(a, "user_id").select("node", "user_id", "item_id")
+    # a user has one assignment row a level
+    return salted_join(train, t.assignment, ["user_id"], ["item_id"]).select("level", "node", "user_id", "item_id")
 
 
 # ============================================================ reshaping
@@ -336,15 +336,15 @@ def q_rated_items(spark, sf):
 
 @query(
     "user_rating_map",
-    # no user of the stand-in tables exceeds one bucket (200k ratings)
-    with_(SUPP, "SELECT user_id, 0 AS bucket, string_agg(CAST(item_id AS VARCHAR) || ':' || CAST(CAST(rating AS INT) AS VARCHAR), ',' ORDER BY item_id) AS ratings FROM ratings GROUP BY user_id"),
+    # parts: several blocks of item ids a user
+    with_(PART, "SELECT user_id, CAST(item_id // 1000 AS INT) AS block, string_agg(CAST(item_id AS VARCHAR) || ':' || CAST(CAST(rating AS INT) AS VARCHAR), ',' ORDER BY item_id) AS ratings FROM ratings GROUP BY 1, 2"),
 )
 def q_user_map(spark, sf):
-    m = prepare.user_rating_map(fx.ratings(spark, sf, "supp"))
+    m = prepare.user_rating_map(fx.ratings(spark, sf, "part"))
     entries = F.array_sort(F.map_entries("ratings"))
     return m.select(
         "user_id",
-        "bucket",
+        "block",
         F.array_join(F.transform(entries, lambda e: F.concat(e.key.cast("string"), F.lit(":"), e.value.cast("int").cast("string"))), ",").alias("ratings"),
     )
 

@@ -5,23 +5,43 @@ The engine never creates or stops a SparkSession; it takes the caller's.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Largest row count we let Spark broadcast when the row count of a side is
-# only known by a count we ran ourselves (tree splits, node sets, candidates).
+# Largest side we let Spark broadcast when its row count is only known by a
+# count we ran ourselves (tree splits, node sets, candidates): rows, and bytes.
 BROADCAST_ROW_LIMIT = 2_000_000
+BROADCAST_BYTE_LIMIT = 256 << 20
+ARRAY_ITEMS = 64  # items assumed in an array column when the caller names no number
 
 
-def bounded_broadcast(df: DataFrame, rows_bound: int) -> DataFrame:
+def row_bytes(df: DataFrame, array_items: int = ARRAY_ITEMS) -> int:
+    """Bytes a row of ``df`` takes in a broadcast hash table, by its schema."""
+    from pyspark.sql import types as T
+
+    def width(t) -> int:
+        if isinstance(t, T.ArrayType):
+            return 16 + array_items * width(t.elementType)
+        if isinstance(t, T.MapType):
+            return 16 + array_items * (width(t.keyType) + width(t.valueType))
+        if isinstance(t, T.StructType):
+            return 8 + sum(width(f.dataType) for f in t.fields)
+        return 64 if isinstance(t, (T.StringType, T.BinaryType)) else 8
+
+    return 32 + width(df.schema)
+
+
+def bounded_broadcast(df: DataFrame, rows_bound: int, array_items: int = ARRAY_ITEMS) -> DataFrame:
     """Broadcast ``df`` only when its row count - proven by a count we ran or
-    by construction (one row per tree node, per level, ...) - is small;
-    otherwise leave the join to a shuffle."""
+    by construction (one row per tree node, per level, ...) - and the bytes of
+    that many rows are small; otherwise leave the join to a shuffle."""
     from pyspark.sql import functions as F
 
-    return F.broadcast(df) if rows_bound <= BROADCAST_ROW_LIMIT else df
+    fits = rows_bound <= BROADCAST_ROW_LIMIT and rows_bound * row_bytes(df, array_items) <= BROADCAST_BYTE_LIMIT
+    return F.broadcast(df) if fits else df
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
@@ -45,7 +65,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if conf_dir:
         sc.setCheckpointDir(conf_dir)
         return sc.getCheckpointDir()
-    if sc.master.startswith("local"):
+    if re.fullmatch(r"local(\[.*\])?", sc.master):
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="coldsplit-ckpt-"))
         return sc.getCheckpointDir()
     raise RuntimeError(
@@ -67,11 +87,11 @@ ROWS_PER_BUCKET = 2_000_000
 
 
 def bucket_count(spark: SparkSession, rows: int, rows_per_bucket: int = ROWS_PER_BUCKET) -> int:
-    """Buckets for a table of ``rows`` rows: enough to keep every core busy,
-    about ``rows_per_bucket`` rows each, never more than the session's
-    shuffle partitions (the cluster's sizing of one shuffle)."""
-    want = max(spark.sparkContext.defaultParallelism, -(-rows // rows_per_bucket))
-    return max(1, min(shuffle_partitions(spark), want))
+    """Buckets for a table of ``rows`` rows: enough to keep every core busy (but
+    no more than the session's shuffles have partitions while the table is
+    small), and never over ``rows_per_bucket`` rows each."""
+    few = min(shuffle_partitions(spark), spark.sparkContext.defaultParallelism)
+    return max(1, few, -(-rows // rows_per_bucket))
 
 
 def materialize(df: DataFrame) -> DataFrame:
@@ -87,41 +107,37 @@ def materialize(df: DataFrame) -> DataFrame:
     return out
 
 
-def write_bucketed(
-    df: DataFrame, name: str, cols: list[str], buckets: int, prepartitioned: bool = False
-) -> DataFrame:
+def write_bucketed(df: DataFrame, name: str, cols: list[str], buckets: int) -> DataFrame:
     """Write ``df`` as a table bucketed by ``cols`` under the shared checkpoint
-    folder and read it back. Joins on exactly ``cols`` against another frame
-    hash-partitioned the same way need no shuffle of this side, and the files
-    outlive any executor."""
+    folder and read it back: one file per bucket, whatever the input's
+    partitions. Joins on exactly ``cols`` against another frame hash-partitioned
+    the same way need no shuffle of this side, and the files outlive any
+    executor."""
     spark = df.sparkSession
     table = f"coldsplit_{name}_{uuid.uuid4().hex[:12]}"
     path = scratch_path(spark, table)
-    # a frame already hash-partitioned by ``cols`` (e.g. a join on them)
-    # writes one file per bucket without another shuffle
-    src = df if prepartitioned else df.repartition(buckets, *cols)
-    (
-        src.write.bucketBy(buckets, *cols)
-        .option("path", path)
-        .saveAsTable(table)
-    )
-    _SCRATCH_TABLES.append(table)
+    df.repartition(buckets, *cols).write.bucketBy(buckets, *cols).option("path", path).saveAsTable(table)
+    _SCRATCH_TABLES[table] = path
     return spark.table(table)
 
 
-_SCRATCH_TABLES: list[str] = []
+_SCRATCH_TABLES: dict[str, str] = {}
+
+
+def scratch_tables() -> set[str]:
+    return set(_SCRATCH_TABLES)
 
 
-def drop_scratch_tables(spark: SparkSession) -> int:
-    """Drop the catalog entries of the bucketed scratch tables written so far
-    (metadata only: they are external tables whose files live in the
-    checkpoint folder and go with it). Call once the frames are no longer
-    needed."""
-    n = 0
-    while _SCRATCH_TABLES:
-        spark.sql(f"DROP TABLE IF EXISTS {_SCRATCH_TABLES.pop()}")
-        n += 1
-    return n
+def drop_scratch_tables(spark: SparkSession, names=None) -> int:
+    """Drop bucketed scratch tables (all, or ``names``): the catalog entry and
+    the files. Call once the frames are no longer needed."""
+    chosen = [t for t in _SCRATCH_TABLES if names is None or t in names]
+    for t in chosen:
+        path = _SCRATCH_TABLES.pop(t)
+        spark.sql(f"DROP TABLE IF EXISTS {t}")
+        hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+        hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop_path, True)
+    return len(chosen)
 
 
 def write_table(df: DataFrame, name: str) -> DataFrame:

@@ -6,7 +6,9 @@ COO layout ``(user_id int, item_id int, rating double)`` where it applies.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import json
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -88,19 +90,26 @@ def read_sectioned_ratings(spark: SparkSession, path: str, id_pattern: str = r"(
 def read_sectioned_pairs(spark: SparkSession, path: str) -> DataFrame:
     """``<item>:`` header lines followed by ``user[,...]`` lines -> (item_id, user_id).
 
-    Each file is read whole and cut into sections, so the header value is
-    carried down without any global ordering (one task per file; split very
-    large files upstream).
+    Files are read by blocks. Inside a block the last header is carried down in
+    line order; lines before a block's first header get the last header of the
+    blocks before it, from a table of one row per block.
     """
-    files = spark.read.text(path, wholetext=True)
-    sections = files.select(F.explode(F.split("value", r"(?m)^(?=\s*-?\d+:)")).alias("sec"))
-    sec = sections.filter(F.col("sec").rlike(r"^\s*-?\d+:")).select(
-        F.regexp_extract("sec", r"^\s*(-?\d+):", 1).cast("int").alias("item_id"),
-        F.explode(F.slice(F.split(F.col("sec"), r"\r?\n"), 2, 1 << 30)).alias("line"),
-    )
-    return sec.filter(F.length(F.trim("line")) > 0).select(
-        "item_id", F.split(F.trim("line"), ",").getItem(0).cast("int").alias("user_id")
+    lines = spark.read.text(path).select(
+        F.trim(F.regexp_replace("value", "\r", "")).alias("line"),
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("at"),  # in line order inside a block
     )
+    header = F.regexp_extract("line", r"^(-?\d+):", 1)
+    lines = lines.withColumn("head", F.when(header != "", header.cast("int")))
+    inside = Window.partitionBy("file", "block").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    lines = lines.withColumn("own", F.last("head", ignorenulls=True).over(inside))
+    ends = lines.filter("head is not null").groupBy("file", "block").agg(F.max(F.struct("at", "head")).alias("e"))
+    blocks = lines.select("file", "block").distinct().join(ends, ["file", "block"], "left")
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # one row a block
+    blocks = blocks.select("file", "block", F.last("e.head", ignorenulls=True).over(before).alias("carried"))
+    found = lines.filter("head is null and line <> ''").join(blocks, ["file", "block"])
+    return found.select(F.coalesce("own", "carried").alias("item_id"), F.split("line", ",").getItem(0).cast("int").alias("user_id")).filter("item_id is not null")
 
 
 def rows_to_df(spark: SparkSession, rows, schema=RATINGS_SCHEMA) -> DataFrame:
@@ -156,3 +165,46 @@ def load_table(spark: SparkSession, path: str, name: str, levels=None) -> DataFr
     if levels is not None:
         df = df.filter(F.col("level").isin(list(levels)))
     return df
+
+
+def table_names(spark: SparkSession, path: str) -> set[str]:
+    """The tables that ``save_tables`` wrote under ``path``."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return {f.getPath().getName() for f in folder.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(folder)}
+
+
+def save_tree(tree, path: str) -> None:
+    """Splits, nodes, the salted assignment, biases, residuals and parameters: what
+    routing, scoring and further growth read."""
+    spark = tree.splits.sparkSession
+    meta = spark.createDataFrame([(json.dumps({"mean": tree.mean, "levels": tree.levels, "split_counts": tree.split_counts, "params": tree.params}),)], "meta string")
+    save_tables(
+        {
+            "tree_split": tree.splits,
+            "node": tree.nodes(),
+            "node_assignment": tree.salted_assignment,
+            "user_bias": tree.bias,
+            "residual": tree.residuals,
+            "meta": meta,
+        },
+        path,
+    )
+
+
+def load_tree(spark: SparkSession, path: str):
+    """The :class:`InterviewTree` that ``save_tree`` wrote."""
+    from coldsplit.operators.tree import InterviewTree
+
+    meta = json.loads(load_table(spark, path, "meta").first()["meta"])
+    salted = load_table(spark, path, "node_assignment").select("level", "user_id", "salt", "node")
+    splits = load_table(spark, path, "tree_split")
+    return InterviewTree(
+        splits=splits.select("level", *[c for c in splits.columns if c != "level"]),
+        assignment=salted.filter("salt = 0").select("level", "node", "user_id"),
+        bias=load_table(spark, path, "user_bias"),
+        residuals=load_table(spark, path, "residual"),
+        salted_assignment=salted,
+        salted_by_level=[salted.filter(F.col("level") == lv).drop("level") for lv in range(meta["levels"] + 1)],
+        node_table=load_table(spark, path, "node").select("level", "node", "n_users"),
+        **meta,
+    )
