@@ -56,3 +56,49 @@ def test_pushdown_and_pruning_reach_the_scan(spark, sf_small):
     plan = li._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(l_quantity), GreaterThan(l_quantity,10.0)]" in plan
     assert "ReadSchema: struct<l_orderkey:bigint,l_quantity:double>" in plan
+
+
+def test_one_file_per_bucket_from_many_input_partitions(spark, sf_small):
+    from coldsplit.operators.tree import prepare_residuals
+
+    r = fx.ratings(spark, sf_small, "supp").repartition(24)
+    e, _, _, buckets = prepare_residuals(r)
+    files = [f for f in e.inputFiles()]
+    assert len(files) <= buckets
+
+
+def test_buckets_keep_their_size_at_any_count(spark):
+    from coldsplit.session import ROWS_PER_BUCKET, bucket_count
+
+    for rows in (10, 10**6, 10**9, 10**12):
+        assert bucket_count(spark, rows) * ROWS_PER_BUCKET >= rows
+
+
+def test_broadcasts_are_bounded_in_bytes(spark):
+    from coldsplit.session import bounded_broadcast
+
+    wide = spark.createDataFrame([(1, [1.0])], "id int, features array<float>")
+    hinted = lambda df: "broadcast" in df._jdf.queryExecution().logical().toString().lower()
+    assert hinted(bounded_broadcast(wide, 100_000, 64))
+    assert not hinted(bounded_broadcast(wide, 1_000_000, 768))
+
+
+def test_pseudo_users_scan_the_ratings_once(spark, tree):
+    from coldsplit.operators.evaluate import pseudo_users
+
+    t, _ = tree
+    phys = pseudo_users(t)._jdf.queryExecution().sparkPlan().toString()
+    assert phys.count("coldsplit_residuals") == 1
+
+
+def test_salted_join_splits_a_key_with_a_third_of_the_rows(spark):
+    from coldsplit.operators.skew import salted_join
+
+    big = spark.range(9000).selectExpr("if(id < 3000, 0, id % 50 + 1) as k", "id as x")
+    small = spark.range(40).selectExpr("id as k", "id * 10 as v")
+    for how in ("inner", "left", "left_semi"):
+        plain = sorted(map(str, big.join(small, ["k"], how).collect()))
+        salted = salted_join(big, small, ["k"], ["x"], how, key_rows=100, broadcast_rows=0)
+        assert sorted(map(str, salted.collect())) == plain
+    hot = salted_join(big, small, ["k"], ["x"], key_rows=100, broadcast_rows=0)
+    assert "_salt" in hot._jdf.queryExecution().optimizedPlan().toString()

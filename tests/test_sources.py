@@ -58,3 +58,22 @@ def test_rows_to_df_toy_als_input(spark):
     toy = [(0, 0, 2.99), (0, 1, 2.66), (0, 2, 2.99), (0, 3, 1.99), (0, 4, 3.33)]
     df = sources.rows_to_df(spark, toy)
     assert df.count() == 5 and df.schema.names == ["user_id", "item_id", "rating"]
+
+
+def test_sectioned_pairs_in_one_file_of_several_blocks(spark, tmp_path):
+    want, lines = [], []
+    for item in range(1, 40):
+        lines.append(f"{item}:")
+        for user in range(item * 3 if item != 7 else 4000):  # one section longer than a block
+            lines.append(f"{user},2005-01-0{user % 9 + 1}")
+            want.append((item, user))
+    (tmp_path / "probe.txt").write_text("\n".join(lines))
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        df = sources.read_sectioned_pairs(spark, str(tmp_path / "probe.txt"))
+        assert sorted((r.item_id, r.user_id) for r in df.collect()) == sorted(want)
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
