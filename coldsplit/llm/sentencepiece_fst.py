@@ -15,15 +15,17 @@ The model file is compiled into three machines, composed lazily with each text:
   as it happens in the text, because each picks the best of the merges at hand.
   So one path has finite weight, and it is the library's result.
 
-The shortest path is a dynamic program over positions. For BPE, each prefix has
-one finite path, so one state per position is enough. Texts are cut where every
+The shortest path of a unigram model is a dynamic program over positions. In a
+BPE lattice each prefix has one finite path, so one state per position is enough
+and a depth-first search finds the path. Texts are cut where every
 path must pass (before U+2581 after another character, if no piece reads across)
 and paths of the cuts are remembered in a bounded cache.
 
 Defined results: null text encodes to null and decodes to null; empty text to an
 empty array and back; a round trip gives the normalised text (for the identity
 rule the text itself, but for U+2581, which reads as a space); very long texts
-are encoded whole; extra columns pass through.
+are encoded whole; of unigram paths of equal cost the one found first stays; extra
+columns pass through.
 """
 
 from __future__ import annotations
@@ -31,8 +33,13 @@ from __future__ import annotations
 import math
 import re
 import struct
+import sys
+from array import array
+from types import ModuleType
 
+import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -127,6 +134,18 @@ def _rules(charsmap: bytes) -> dict[str, str]:
     return rules
 
 
+def _characters(run: bytes) -> str:
+    """UTF-8 text; each byte that is in no valid character gives U+FFFD."""
+    out = []
+    while run:
+        try:
+            return "".join([*out, run.decode()])
+        except UnicodeDecodeError as e:
+            out += [run[: e.start].decode(), "\ufffd"]
+            run = run[e.start + 1 :]
+    return "".join(out)
+
+
 class Transducer:
     def __init__(self, model: Model):
         self.m = model
@@ -137,23 +156,40 @@ class Transducer:
         self.bytes = {int(p[3:5], 16): i for i, (p, _, k) in enumerate(model.pieces) if k == BYTE}
         self.byte_of = {i: b for b, i in self.bytes.items()}
         self.unknown = next((i for i, (_, _, k) in enumerate(model.pieces) if k == UNKNOWN), 0)
-        self.arcs = {p[:n]: -1 for p in self.ids for n in range(1, len(p))} | self.ids  # -1: only the start of pieces
+        # arcs as a trie: a node is (look-up of its children by character, id or -1)
+        tree: dict = {}
+        for piece, i in self.ids.items():
+            level = tree
+            for c in piece:
+                level = level.setdefault(c, {})
+            level[""] = i
+
+        def node(level: dict):
+            return {c: node(x) for c, x in level.items() if c}.get, level.get("", -1)
+
+        self.arcs = node(tree)[0]
+        self.score = {i: s for i, (_, s, _) in enumerate(model.pieces)}
+        self.text = [p for p, _, _ in model.pieces]
+        self.kinds = [k for _, _, k in model.pieces]
+        self.bytes = {int(p[3:5], 16): i for i, (p, _, k) in enumerate(model.pieces) if k == BYTE}
+        self.byte_of = {i: b for b, i in self.bytes.items()}
+        self.unknown = next((i for i, (_, _, k) in enumerate(model.pieces) if k == UNKNOWN), 0)
         normal = [s for _, s, k in model.pieces if k == NORMAL]
         self.unknown_cost = UNKNOWN_PENALTY - min(normal, default=0.0)
         if any(k == USER for k in self.kinds):
             raise ValueError("user-defined pieces are matched before the lattice and are not supported")
         whole = any(MARK in p.lstrip(MARK) for p in self.ids)
         self.cut = re.compile("(?s).+" if whole else f"{MARK}*[^{MARK}]+|{MARK}+\\Z", re.S)
+        # what an id writes when it is decoded; None: a byte of a longer character
+        self.plain = [
+            (chr(self.byte_of[i]) if self.byte_of[i] < 128 else None) if k == BYTE else "" if k == CONTROL else " ⁇ " if k == UNKNOWN
+            else p.replace(MARK, " ") if model.escape else p
+            for i, (p, _, k) in enumerate(model.pieces)
+        ]
         self.rule = re.compile("|".join(map(re.escape, sorted(model.rules, key=len, reverse=True)))) if model.rules else None
-        self.paths: list[dict] = [{}, {}]
-        self.pairs: list[dict] = [{}, {}]
-
-    @staticmethod
-    def _remember(cache: list[dict], key, value):
-        if len(cache[0]) >= CACHE:
-            cache[1], cache[0] = cache[0], {}
-        cache[0][key] = value
-        return value
+        self.paths: list[dict[str, bytes]] = [{}, {}]  # of cuts: ids as 32-bit numbers
+        self.pairs: list[dict[int, bool]] = [{} for _ in range(len(model.pieces) + 1)]  # by the piece before, -1 last
+        self.known = 0
 
     def normalise(self, text: str) -> str:
         if self.rule:
@@ -180,106 +216,127 @@ class Transducer:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
     def _allowed(self, a: int, b: int) -> bool:
-        key = a << 32 | b
-        v = self.pairs[1].get(key)
-        if v is None:
-            x, y = self.text[b], self.text[a] if a >= 0 else ""
-            v = self.merge(y + x) == ([y, x] if a >= 0 else [x])
-        return self._remember(self.pairs, key, v)
+        x, y = self.text[b], self.text[a] if a >= 0 else ""
+        if self.known >= 4 * CACHE:
+            for row in self.pairs:
+                row.clear()
+            self.known = 0
+        self.known += 1
+        v = self.pairs[a][b] = self.merge(y + x) == ([y, x] if a >= 0 else [x])
+        return v
 
     def _fallback(self, c: str) -> tuple[int, ...]:
         if not self.bytes:
             return (self.unknown,)
         return tuple(self.bytes[b] for b in c.encode())
 
-    def _bpe(self, s: str) -> tuple[int, ...]:
-        arcs, n, allowed = self.arcs, len(s), self._allowed
-        # last[j]: the one arc that ends a finite path over s[:j]; -1 after a fallback arc, which no merge crosses
-        last: list[int | None] = [None] * (n + 1)
-        back = [0] * (n + 1)
-        last[0] = -1
-        for i in range(n):
-            a = last[i]
-            if a is None:
-                continue
-            pairs, row = self.pairs[0], a << 32
-            if arcs.get(s[i], -1) < 0:
-                last[i + 1], back[i + 1] = -1, i
-                continue
-            for j in range(i + 1, n + 1):
-                b = arcs.get(s[i:j])
-                if b is None:
+    def _bpe(self, s: str) -> list[int]:
+        """The one path of finite weight, searched longest arc first. A prefix has
+        one path, so a position that led nowhere need not be entered again."""
+        arcs, n, pairs = self.arcs, len(s), self.pairs
+        path: list[tuple] = []  # (position, arc before, arcs left to try)
+        dead: set[int] = set()
+        i, a = 0, -1
+        while i < n:
+            tries: list[tuple[int, int]] = []
+            get, j = arcs, i
+            for c in s[i:]:
+                node = get(c)
+                if node is None:
                     break
-                if b >= 0 and last[j] is None:
-                    ok = pairs.get(row | b)
-                    if allowed(a, b) if ok is None else ok:
-                        last[j], back[j] = b, i
+                get, b = node
+                j += 1
+                if b >= 0:
+                    tries.append((j, b))
+            if not tries:  # no piece has this character; no merge crosses it
+                tries.append((i + 1, -1))
+            while True:
+                if not tries:
+                    dead.add(i)
+                    i, a, tries = path.pop()
+                    continue
+                j, b = tries.pop()
+                if j in dead:
+                    continue
+                if b >= 0:
+                    ok = pairs[a].get(b)
+                    if not (self._allowed(a, b) if ok is None else ok):
+                        continue
+                path.append((i, a, tries))
+                i, a = j, b
+                break
         out: list[int] = []
-        j = n
-        while j:
-            i = back[j]
-            out += reversed(self._fallback(s[i])) if last[j] == -1 else [last[j]]
-            j = i
-        return tuple(reversed(out))
+        path.append((n, a, tries if n else []))
+        for k in range(len(path) - 1):
+            b = path[k + 1][1]
+            if b < 0:
+                out += self._fallback(s[path[k][0]])
+            else:
+                out.append(b)
+        return out
 
-    def _unigram(self, s: str) -> tuple[int, ...]:
+    def _unigram(self, s: str) -> list[int]:
         arcs, score, n = self.arcs, self.score, len(s)
         cost = [math.inf] * (n + 1)
         arc: list[tuple[int, int]] = [(0, 0)] * (n + 1)
         cost[0] = 0.0
         for i in range(n):
-            if arcs.get(s[i], -1) < 0 and cost[i] + self.unknown_cost < cost[i + 1]:
-                cost[i + 1], arc[i + 1] = cost[i] + self.unknown_cost, (i, -1)
-            for j in range(i + 1, n + 1):
-                b = arcs.get(s[i:j])
-                if b is None:
+            get, j = arcs, i
+            for c in s[i:]:
+                node = get(c)
+                if node is None:
                     break
+                get, b = node
+                j += 1
                 if b >= 0 and cost[i] - score[b] < cost[j]:
                     cost[j], arc[j] = cost[i] - score[b], (i, b)
+            node = arcs(s[i])
+            if (node is None or node[1] < 0) and cost[i] + self.unknown_cost < cost[i + 1]:
+                cost[i + 1], arc[i + 1] = cost[i] + self.unknown_cost, (i, -1)
         out: list[int] = []
         j = n
         while j:
             i, b = arc[j]
             out += reversed(self._fallback(s[i])) if b < 0 else [b]
             j = i
-        return tuple(reversed(out))
+        return out[::-1]
 
-    def encode(self, text: str) -> list[int]:
-        path = self._bpe if self.m.kind == BPE else self._unigram
-        out: list[int] = []
+    def _path(self, s: str) -> bytes:
+        """The path of a cut, remembered. Two generations are kept: what is still in
+        use moves from the old one to the young one."""
         young, old = self.paths
-        for s in self.cut.findall(self.normalise(text)):
-            ids = young.get(s)
-            if ids is None:
-                ids = old.get(s) or path(s)
-                self._remember(self.paths, s, ids)
-                young, old = self.paths
-            out += ids
-        return out
+        ids = old.get(s)
+        if ids is None:
+            ids = array("i", self._bpe(s) if self.m.kind == BPE else self._unigram(s)).tobytes()
+        if len(young) >= CACHE:
+            self.paths[:] = [{}, young]
+        self.paths[0][s] = ids
+        return ids
+
+    def encode(self, text: str) -> np.ndarray:
+        cuts = self.cut.findall(self.normalise(text))
+        get = self.paths[0].get
+        parts = [get(s) or self._path(s) for s in cuts]
+        return np.frombuffer(b"".join(parts), np.int32)
 
     def decode(self, ids) -> str:
         """The inverse: ids to pieces, bytes to characters, marks to spaces."""
-        out: list[str] = []
-        run = bytearray()
-        first = True
-        for i in ids:
-            if self.kinds[i] == BYTE:
-                run.append(self.byte_of[i])
-                first = False
-                continue
-            if run:
-                out.append(run.decode(errors="replace"))
-                run = bytearray()
-            if self.kinds[i] == CONTROL:
-                continue
-            piece = " ⁇ " if self.kinds[i] == UNKNOWN else self.text[i].replace(MARK, " ") if self.m.escape else self.text[i]
-            if first and self.m.dummy and piece.startswith(" ") and self.kinds[i] != UNKNOWN:
-                piece = piece[1:]
-            first = False
-            out.append(piece)
-        if run:
-            out.append(run.decode(errors="replace"))
-        return "".join(out)
+        ids = np.asarray(ids).tolist()
+        parts = [self.plain[i] for i in ids]
+        if None in parts:  # bytes that make up a character together
+            run = bytearray()
+            for k, i in enumerate(ids):
+                if parts[k] is None:
+                    run.append(self.byte_of[i])
+                    parts[k] = ""
+                    if k + 1 == len(parts) or parts[k + 1] is not None:
+                        parts[k] = _characters(bytes(run))
+                        run = bytearray()
+        if self.m.dummy:
+            first = next((i for i in ids if self.kinds[i] != CONTROL), None)
+            if first is not None and self.kinds[first] not in (UNKNOWN, BYTE):
+                return "".join(parts).removeprefix(" ")
+        return "".join(parts)
 
 
 def _read(spark: SparkSession, path: str):
@@ -287,14 +344,15 @@ def _read(spark: SparkSession, path: str):
         return spark.sparkContext.broadcast(f.read())
 
 
-_COMPILED: dict = {}
-
-
 def _compiled(data: bytes) -> Transducer:
-    key = hash(data)
-    if key not in _COMPILED:
-        _COMPILED[key] = Transducer(Model(data))
-    return _COMPILED[key]
+    """The worker process's transducer of a model. Functions reach a worker anew with
+    each task; this place, and so the remembered paths, lasts as long as the process."""
+    kept = sys.modules.setdefault("coldsplit_worker_state", ModuleType("coldsplit_worker_state")).__dict__.setdefault("transducers", {})
+    key = xxhash.xxh3_128_hexdigest(data)
+    if key not in kept:
+        kept.clear()
+        kept[key] = Transducer(Model(data))
+    return kept[key]
 
 
 def encoder(spark: SparkSession, model: str = MODEL):
