@@ -18,7 +18,8 @@ The model file is compiled into three machines, composed lazily with each text:
 The shortest path of a unigram model is a dynamic program over positions. In a
 BPE lattice each prefix has one finite path, so one state per position is enough
 and a depth-first search finds the path. Texts are cut where every
-path must pass (before U+2581 after another character, if no piece reads across)
+path must pass (before U+2581 and between word characters and others, if no piece
+reads across)
 and paths of the cuts are remembered in a bounded cache.
 
 Defined results: null text encodes to null and decodes to null; empty text to an
@@ -35,6 +36,7 @@ import re
 import struct
 import sys
 from array import array
+from itertools import pairwise
 from types import ModuleType
 
 import numpy as np
@@ -46,7 +48,7 @@ from pyspark.sql import functions as F
 from coldsplit.llm.common import table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-CACHE = 250_000  # cuts remembered per generation and worker; two generations live
+CACHE = 120_000  # cuts remembered per generation and worker; two generations live
 MARK = "▁"
 # Fixed values of the model format: piece types and model types.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -178,8 +180,19 @@ class Transducer:
         self.unknown_cost = UNKNOWN_PENALTY - min(normal, default=0.0)
         if any(k == USER for k in self.kinds):
             raise ValueError("user-defined pieces are matched before the lattice and are not supported")
-        whole = any(MARK in p.lstrip(MARK) for p in self.ids)
-        self.cut = re.compile("(?s).+" if whole else f"{MARK}*[^{MARK}]+|{MARK}+\\Z", re.S)
+        # cuts: no piece reads across them, so every path passes there
+        if any(MARK in p.lstrip(MARK) for p in self.ids):
+            cut = ".+"
+        else:
+            # word characters that never stand beside another sort in a piece
+            pairs = {(x, y) for p in self.ids for x, y in pairwise(p) if MARK not in (x, y)}
+            mixed: set[str] = set()
+            while more := {c for pair in pairs for c in pair if self._word(c, mixed) and not all(self._word(d, mixed) for d in pair)}:
+                mixed |= more
+            also = "".join(map(re.escape, sorted(mixed)))
+            other = f"(?:[{also}]|[^\\w{MARK}])" if mixed else f"[^\\w{MARK}]"
+            cut = rf"{MARK}*[^\W{also}]+|{MARK}*{other}+|{MARK}+\Z"
+        self.cut = re.compile(cut, re.S)
         # what an id writes when it is decoded; None: a byte of a longer character
         self.plain = [
             (chr(self.byte_of[i]) if self.byte_of[i] < 128 else None) if k == BYTE else "" if k == CONTROL else " ⁇ " if k == UNKNOWN
@@ -215,9 +228,13 @@ class Transducer:
                 return parts
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
+    @staticmethod
+    def _word(c: str, mixed: set[str]) -> bool:
+        return c not in mixed and re.match(r"\w", c) is not None
+
     def _allowed(self, a: int, b: int) -> bool:
         x, y = self.text[b], self.text[a] if a >= 0 else ""
-        if self.known >= 4 * CACHE:
+        if self.known >= 3 * CACHE:
             for row in self.pairs:
                 row.clear()
             self.known = 0
