@@ -7,14 +7,12 @@ Paragraphs are of two sorts:
   so that a pair at the threshold collides with probability ``recall``;
   paragraphs that collide are joined, their exact Jaccard similarity is
   verified, and verified links become classes by connected components.
-* `piece`: a run of words cut by content, so that a passage is cut alike in
-  whatever paragraph it stands. Cuts are local minima of a hash of two words; a
-  piece starts at a minimum within 6 words on both sides and ends at the first
-  minimum within 4 words that is ``PIECE_WORDS`` words on. Two pieces at a
-  similarity of 0.8 have all but one or two words alike, so pieces are joined by
-  their 128-bit digest (similarity 1), and a passage of over 50 words has
-  several. Pieces that follow each other form a run; runs under ``RUN_WORDS``
-  words (short common lines) don't count.
+* `match`: a run of ``MATCH_WORDS`` words that stands verbatim in two documents,
+  wherever it begins or ends. Every run of that length has one seed: the last of
+  the smallest hashes of its ``SEED_WORDS``-word runs, so equal runs have equal
+  seeds (winnowing). Seeds that two documents share name the runs to compare;
+  those are counted by digest, and the union of the shared ones is every common
+  passage from its first word to its last. Shorter ones never count.
 
 A class is kept in its smallest doc_id and removed elsewhere. Copies share one
 digest before anything is compared; a band's bucket is compared in pairs of
@@ -33,7 +31,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from coldsplit.llm.common import blocked_groups, parallel, table, whole_groups
@@ -45,9 +43,8 @@ THRESHOLD = 0.8
 RECALL = 0.98
 ROWS = 2
 MIN_WORDS = 50
-START_REACH, END_REACH = 6, 4
-PIECE_WORDS = 16
-RUN_WORDS = 20
+MATCH_WORDS = 25
+SEED_WORDS = 13
 BLOCK = 2000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _FACTORS = np.array([0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
@@ -67,59 +64,57 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def _sums(words: np.ndarray, size: int) -> np.ndarray:
+_RUN_FACTORS = _mix(np.arange(1, MATCH_WORDS + 1, dtype=np.uint64) * _FACTORS[1]) | np.uint64(1)
+
+
+def _sums(words: np.ndarray, size: int, factors: np.ndarray = _FACTORS) -> np.ndarray:
     """A hash of each run of ``size`` words (of all words, if they are fewer)."""
     size = min(size, len(words))
     n = len(words) - size + 1
     h = np.zeros(n, np.uint64)
     for k in range(size):
-        h += words[k : k + n] * _FACTORS[k]
+        h += words[k : k + n] * factors[k]
     return _mix(h)
 
 
-def _minima(h: np.ndarray, reach: int) -> np.ndarray:
-    """Positions not above those within reach on both sides; text with a short
-    period has one each period."""
-    most = np.full(reach, np.iinfo(np.uint64).max, np.uint64)
-    w = np.lib.stride_tricks.sliding_window_view(np.concatenate([most, h, most]), 2 * reach + 1)
-    return np.flatnonzero(h <= w.min(axis=1))
+def _seeds(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of ``MATCH_WORDS`` words that follow each other and have the same seed
+    are a group: the seed's hash and the first run of each group."""
+    if len(w) < MATCH_WORDS:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    h = _sums(w, SEED_WORDS, _RUN_FACTORS)
+    reach = MATCH_WORDS - SEED_WORDS + 1
+    at = np.arange(len(h) - reach + 1) + reach - 1 - np.lib.stride_tricks.sliding_window_view(h, reach)[:, ::-1].argmin(axis=1)
+    first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+    return h[at[first]].view(np.int64), first
 
 
-def _paragraphs(text: str, bands: int, rows: int, min_words: int):
-    """(kind, first word, end word, first character, end character, digest, band keys)."""
+def _cut(text: str):
+    """Words, their hashes, their first and end characters, and the lines' first words."""
     raw = text.encode()
     words = raw.split()
-    if not words:
-        return
     b = np.frombuffer(raw, np.uint8)
     solid = ~((b == 32) | ((b >= 9) & (b <= 13)))
     begin = np.flatnonzero(solid & ~np.concatenate([[False], solid[:-1]]))
     end = np.flatnonzero(solid & ~np.concatenate([solid[1:], [False]])) + 1
     chars = np.concatenate([[0], np.cumsum((b & 0xC0) != 0x80)])  # characters before each byte
-    flat, sizes = b" ".join(words), np.fromiter(map(len, words), np.int64, len(words))
-    at = np.concatenate([[0], np.cumsum(sizes + 1)])
     h64 = xxhash.xxh64_intdigest
     w = np.fromiter((h64(x) for x in words), np.uint64, len(words))
+    edges = np.concatenate([[0], np.searchsorted(begin, np.flatnonzero(b == 10)), [len(words)]])
+    return words, w, chars[begin], chars[end], edges
+
+
+def _paragraphs(text: str, bands: int, rows: int, min_words: int):
+    """(kind, first character, end character, digest, keys): each line with its
+    bands, and the text's seeds."""
+    words, w, begin, end, edges = _cut(text)
+    if not words:
+        return
     digest = xxhash.xxh3_128_digest
     with np.errstate(over="ignore"):
-        cuts = _sums(w, 2)
-        starts, stops = _minima(cuts, START_REACH), _minima(cuts, END_REACH)
-        ends = np.searchsorted(stops, starts + PIECE_WORDS)
-        last = None  # overlapping pieces of the same text are one row: a text with a short period
-        for s, e in zip(starts.tolist(), ends.tolist(), strict=True):
-            if e >= len(stops):
-                break
-            t = int(stops[e])
-            key = digest(flat[at[s] : at[t] - 1])
-            if last and last[2] == key and s <= last[1]:
-                last = (last[0], t, key)
-                continue
-            if last:
-                yield "piece", last[0], last[1], int(chars[begin[last[0]]]), int(chars[end[last[1] - 1]]), last[2], None
-            last = (s, t, key)
-        if last:
-            yield "piece", last[0], last[1], int(chars[begin[last[0]]]), int(chars[end[last[1] - 1]]), last[2], None
-        edges = np.concatenate([[0], np.searchsorted(begin, np.flatnonzero(b == 10)), [len(words)]])
+        found = np.unique(_seeds(w)[0])
+        if len(found):
+            yield "seeds", 0, 0, b"", found
         seeds = _mix(np.arange(1, bands * rows + 1, dtype=np.uint64) * _FACTORS[0]) | np.uint64(1)
         long_lines = [(int(s), int(t)) for s, t in zip(edges, edges[1:], strict=False) if t - s >= min_words]
         shingles = _sums(w, SHINGLE) if long_lines else None
@@ -127,31 +122,84 @@ def _paragraphs(text: str, bands: int, rows: int, min_words: int):
             own = shingles[s : t - min(SHINGLE, t - s) + 1]
             low = np.array([_mix(own * k).min() for k in seeds]).reshape(bands, rows)
             keys = _mix((low * _FACTORS[:rows]).sum(axis=1, dtype=np.uint64) + np.arange(bands, dtype=np.uint64))
-            yield "line", s, t, int(chars[begin[s]]), int(chars[end[t - 1]]), digest(flat[at[s] : at[t] - 1]), keys.view(np.int64).tolist()
+            yield "line", int(begin[s]), int(end[t - 1]), digest(b" ".join(words[s:t])), keys.view(np.int64)
 
 
-def paragraphs(docs: DataFrame, doc_id: str, text: str, bands: int, rows: int, min_words: int) -> DataFrame:
-    """One row per paragraph; ``first``: its text's first time in this row."""
+def _row(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """doc_id, h (the text's hash; both name a row, equal rows being one), t."""
+    return docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text)).alias("h"), F.col(text).alias("t"))
 
-    def cut(batches):
+
+def _mapped(src: DataFrame, f, schema: str, most: int = 20_000) -> DataFrame:
+    """``f`` gives rows, doc_id first, for each row of ``src``; doc_id keeps its type."""
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def run(batches):
         for pdf in batches:
-            out = []
-            for i, t in zip(pdf["doc_id"], pdf["t"], strict=True):
-                seen = set()
-                for kind, s, e, a, b, key, keys in _paragraphs(t or "", bands, rows, min_words):
-                    out.append((i, kind, s, e, a, b, key, keys, key not in seen))
-                    seen.add(key)
-                if len(out) > 20_000:
+            out: list[tuple] = []
+            for row in pdf.itertuples(index=False):
+                out.extend(f(row))
+                if len(out) > most:
                     yield pd.DataFrame(out, columns=names)
                     out = []
             if out:
                 yield pd.DataFrame(out, columns=names)
 
-    schema = "doc_id string, kind string, w0 int, w1 int, c0 int, c1 int, key binary, bands array<long>, first boolean"
-    names = [x.split()[0] for x in schema.split(", ")]
-    src = docs.select(F.col(doc_id).cast("string").alias("doc_id"), F.col(text).alias("t"))
-    out = src.mapInPandas(cut, schema)
-    return out.withColumn("doc_id", F.col("doc_id").cast(docs.schema[doc_id].dataType))
+    kind = src.schema["doc_id"].dataType
+    out = src.withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(run, schema)
+    return out.withColumn("doc_id", F.col("doc_id").cast(kind))
+
+
+def paragraphs(docs: DataFrame, doc_id: str, text: str, bands: int, rows: int, min_words: int) -> DataFrame:
+    """One row per line, and one per text with its seeds."""
+
+    def cut(row):
+        return [(row.doc_id, row.h, *p) for p in _paragraphs(row.t or "", bands, rows, min_words)]
+
+    return _mapped(_row(docs, doc_id, text), cut, "doc_id string, h long, kind string, c0 int, c1 int, key binary, keys array<long>")
+
+
+def _shared(by: list[str], rows: DataFrame, low: str = "doc_id", high: str = "doc_id", null: Column | None = None) -> DataFrame:
+    """Groups with two documents or more, null being one: low is the smallest
+    doc_id that is not null."""
+    null = F.col("doc_id").isNull() if null is None else null
+    out = rows.groupBy(*by).agg(F.min(low).alias("low"), F.max(high).alias("high"), F.max(null).alias("no"))
+    return out.filter("low < high or (no and low is not null)")
+
+
+def _matches(units: DataFrame, docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(doc_id, c0, c1, low) of the runs that stand in two documents or more, runs
+    of the same text that overlap being one."""
+    seeds = units.filter("kind = 'seeds'").select("doc_id", "h", F.explode("keys").alias("seed"))
+    wanted = seeds.join(_shared(["seed"], seeds).select("seed"), "seed").groupBy("doc_id", "h").agg(F.collect_set("seed").alias("seeds"))
+    wanted = wanted.select(F.col("doc_id").alias("_i"), F.col("h").alias("_h"), "seeds")
+    src = _row(docs, doc_id, text)
+    src = src.join(wanted, F.col("doc_id").eqNullSafe(F.col("_i")) & (F.col("h") == F.col("_h"))).select("doc_id", "t", "seeds")
+
+    def cut(row):
+        _, w, begin, end, _ = _cut(row.t)
+        with np.errstate(over="ignore"):
+            keys, first = _seeds(w)
+            runs = _sums(w, MATCH_WORDS, _RUN_FACTORS).view(np.int64)
+        last = np.append(first[1:], len(runs))
+        begin, end = begin.astype(np.int32), end[MATCH_WORDS - 1 :].astype(np.int32)
+        out: list[list] = []
+        for g in np.flatnonzero(np.isin(keys, row.seeds)).tolist():
+            a, b, key = int(first[g]), int(last[g]), int(keys[g])
+            whole = xxhash.xxh64_intdigest(runs[a:b].tobytes()) - 2**63
+            if out and out[-1][1:3] == [key, whole] and begin[a] <= out[-1][5][0]:  # a text with a short period
+                out[-1][5] = end[a:b]
+            else:
+                out.append([row.doc_id, key, whole, runs[a:b], begin[a:b], end[a:b]])
+        return out
+
+    found = write_table(_mapped(src, cut, "doc_id string, seed long, whole long, runs array<long>, c0 array<int>, c1 array<int>"), "paragraph-runs")
+    groups = found.groupBy("seed", "whole").agg(F.min("doc_id").alias("l"), F.max("doc_id").alias("m"), F.max(F.col("doc_id").isNull()).alias("null"), F.first("runs").alias("runs"))
+    each = write_table(groups.select("seed", "whole", "l", "m", "null", F.posexplode("runs").alias("at", "run")), "paragraph-run-groups")
+    dup = _shared(["seed", "run"], each, "l", "m", F.col("null")).select("seed", "run", "low")
+    dup = each.select("seed", "whole", "at", "run").join(dup, ["seed", "run"]).groupBy("seed", "whole").agg(F.collect_list(F.struct("at", "low")).alias("dup"))
+    out = found.select("doc_id", "seed", "whole", "c0", "c1").join(dup, ["seed", "whole"])
+    return out.select("doc_id", F.transform("dup", lambda d: F.struct(F.get("c0", d["at"]).alias("c0"), F.get("c1", d["at"]).alias("c1"), d["low"].alias("low"))).alias("u"))
 
 
 def verified_links(texts: list[str], other: list[str] | None, threshold: float) -> list[tuple[int, int]]:
@@ -188,13 +236,13 @@ def _line_classes(docs: DataFrame, lines: DataFrame, doc_id: str, text: str, thr
     more, the smallest doc_id of the class."""
     spark = docs.sparkSession
     texts = write_table(
-        lines.filter("first").groupBy("key").agg(F.countDistinct("doc_id").alias("n"), F.min(F.struct("doc_id", "c0", "c1")).alias("at"), F.first("bands").alias("bands")), "line-texts"
+        lines.groupBy("key").agg(F.countDistinct("doc_id").alias("n"), F.min("doc_id").alias("d"), F.min(F.struct("doc_id", "c0", "c1", "h")).alias("at"), F.first("keys").alias("bands")), "line-texts"
     )
     keyed = texts.select("key", F.posexplode("bands").alias("band", "bucket"))
     groups = write_table(blocked_groups(keyed, ["band", "bucket"], "key", BLOCK), "line-buckets")
-    needed = groups.select("key").distinct().join(texts.select("key", "at"), "key")
-    src = docs.select(F.col(doc_id).alias("_i"), F.col(text).alias("_t"))
-    needed = src.join(needed.select("key", "at.*"), F.col("_i").eqNullSafe(F.col("doc_id"))).select("key", F.expr("substring(_t, c0 + 1, c1 - c0)").alias("t"), "c0", "c1")
+    needed = groups.select("key").distinct().join(texts.select("key", "at"), "key").select("key", F.col("at.doc_id").alias("_i"), F.col("at.h").alias("_h"), "at.c0", "at.c1")
+    src = _row(docs, doc_id, text)
+    needed = src.join(needed, F.col("doc_id").eqNullSafe(F.col("_i")) & (F.col("h") == F.col("_h"))).select("key", F.expr("substring(t, c0 + 1, c1 - c0)").alias("t"))
     needed = write_table(needed.groupBy("key").agg(F.min("t").alias("t")), "line-needed")
     keys = ["band", "bucket", "_bi", "_bj"]
     rows = groups.join(needed, "key").select(*keys, "_b", "key", "t").repartition(parallel(spark), *keys).sortWithinPartitions(*keys)
@@ -214,7 +262,7 @@ def _line_classes(docs: DataFrame, lines: DataFrame, doc_id: str, text: str, thr
 
     links = rows.mapInPandas(verify, "a binary, b binary")
     comps = connected_components(links, "a", "b").withColumnsRenamed({"node": "key", "component": "g"})
-    linked = texts.select("key", "n", F.col("at.doc_id").alias("d")).join(comps, "key", "left").withColumn("g", F.coalesce("g", "key"))
+    linked = texts.select("key", "n", "d").join(comps, "key", "left").withColumn("g", F.coalesce("g", "key"))
     classes = linked.groupBy("g").agg(F.min("d").alias("low"), F.sum("n").alias("docs"), F.max("n").alias("most"), F.count_distinct("d").alias("ds"))
     # lines of one document that are near each other are no class
     classes = classes.filter("most > 1 or ds > 1")
@@ -226,42 +274,28 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thresho
     (character ranges, as arrays of (start, end)), first_docs (the smallest doc_id
     of each of its classes)."""
     units = write_table(paragraphs(docs, doc_id, text, band_count(threshold, rows, recall), rows, min_words), "paragraphs")
-    pieces, lines = units.filter("kind = 'piece'"), units.filter("kind = 'line'")
-    seen = pieces.filter("first").groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.max(F.col("doc_id").isNull()).alias("no"))
-    dup = seen.filter("low < high or (no and low is not null)").select("key", "low")
+    lines = units.filter("kind = 'line'")
     classes = _line_classes(docs, lines, doc_id, text, threshold)
-    columns = ["doc_id", "w0", "w1", "c0", "c1", "low"]
-    flagged = pieces.join(dup, "key").select(*columns, F.lit(False).alias("line")).unionByName(lines.join(classes, "key").select(*columns, F.lit(True).alias("line")))
-    gathered = flagged.groupBy("doc_id").agg(F.collect_list(F.struct("w0", "w1", "c0", "c1", (~F.col("low").eqNullSafe(F.col("doc_id"))).alias("gone"), "line")).alias("u"), F.array_sort(F.collect_set("low")).alias("first_docs"))
+    found = _matches(units, docs, doc_id, text)
+    flagged = found.unionByName(lines.join(classes, "key").select("doc_id", F.array(F.struct("c0", "c1", "low")).alias("u")))
+    gathered = flagged.groupBy("doc_id").agg(F.flatten(F.collect_list("u")).alias("u"))
+    gathered = gathered.select("doc_id", F.transform("u", lambda x: F.struct(x["c0"].alias("c0"), x["c1"].alias("c1"), (~x["low"].eqNullSafe(F.col("doc_id"))).alias("gone"))).alias("u"), F.array_sort(F.array_distinct(F.col("u.low"))).alias("first_docs"))
 
     @F.pandas_udf("struct<spans:array<struct<start:int,end:int>>,removed:array<struct<start:int,end:int>>>")
-    def runs(lists: pd.Series) -> pd.DataFrame:
+    def merged(lists: pd.Series) -> pd.DataFrame:
         out = {"spans": [], "removed": []}
         for units in lists:
-            own = [(u["w0"], u["w1"], u["c0"], u["c1"], u["gone"], u["line"]) for u in units]
-            out["spans"].append(_runs(own))
-            out["removed"].append(_runs([u for u in own if u[4]]))
+            out["spans"].append(_merged([(u["c0"], u["c1"]) for u in units]))
+            out["removed"].append(_merged([(u["c0"], u["c1"]) for u in units if u["gone"]]))
         return pd.DataFrame(out)
 
-    found = gathered.withColumn("r", runs("u")).select("doc_id", "r.spans", "r.removed", "first_docs")
-    return found.filter(F.size("spans") > 0)
-
-
-def _runs(units: list[tuple]) -> list[dict]:
-    """Merged character ranges of lines and of runs of pieces that are long enough."""
-    good = [u for u in units if u[5]]
-    run: list[tuple] = []
-    reach = -1
-    for u in [*sorted(u for u in units if not u[5]), None]:
-        if run and (u is None or u[0] > reach):
-            if reach - run[0][0] >= RUN_WORDS:
-                good += run
-            run = []
-        if u is not None:
-            reach = max(reach, u[1]) if run else u[1]
-            run.append(u)
+    return gathered.withColumn("r", merged("u")).select("doc_id", "r.spans", "r.removed", "first_docs")
+
+
+def _merged(ranges: list[tuple]) -> list[dict]:
+    """The union of character ranges."""
     out: list[dict] = []
-    for a, b in sorted((u[2], u[3]) for u in good):
+    for a, b in sorted(ranges):
         if out and a <= out[-1]["end"]:
             out[-1]["end"] = max(out[-1]["end"], b)
         else:

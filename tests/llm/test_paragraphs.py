@@ -98,3 +98,18 @@ def test_edge_cases(spark):
     assert P.repeats(empty_docs(spark)).count() == 0
     assert P.remove_repeats(empty_docs(spark)).count() == 0
     assert P.remove_repeats(edge_docs(spark)).columns == edge_docs(spark).columns
+
+
+def embedded(rnd, passages):
+    """Each pair of passages inside longer lines of two documents, 2 k and 2 k + 1."""
+    rows = []
+    for k, pair in enumerate(passages):
+        rows += [(2 * k + i, f"{prose(rnd, 100)} {p} {prose(rnd, 100)}") for i, p in enumerate(pair)]
+    return rows
+
+
+def test_every_verbatim_passage_inside_a_line_is_found(spark):
+    rnd = random.Random(8)
+    rows = embedded(rnd, [[prose(rnd, 51 + k % 5)] * 2 for k in range(100)])
+    found = {r["doc_id"] for r in P.repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == set(range(200))
