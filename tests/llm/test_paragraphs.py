@@ -113,3 +113,42 @@ def test_every_verbatim_passage_inside_a_line_is_found(spark):
     rows = embedded(rnd, [[prose(rnd, 51 + k % 5)] * 2 for k in range(100)])
     found = {r["doc_id"] for r in P.repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert found == set(range(200))
+
+
+def shared_words(rows, size, removed=False):
+    """For each document the words that lie in a run of ``size`` words which another
+    (``removed``: a smaller one) has too."""
+    where = {}
+    for i, t in rows:
+        w = t.split()
+        for a in range(len(w) - size + 1):
+            where.setdefault(tuple(w[a : a + size]), set()).add(i)
+    out = {}
+    for i, t in rows:
+        w = t.split()
+        has = [where[tuple(w[a : a + size])] for a in range(len(w) - size + 1)]
+        out[i] = sorted({a + k for a, ids in enumerate(has) if len(ids) > 1 and (min(ids) < i or not removed) for k in range(size)})
+    return out
+
+
+def in_spans(text, spans):
+    at, out = 0, []
+    for k, w in enumerate(text.split()):
+        at = text.index(w, at)
+        if any(s["start"] <= at and at + len(w) <= s["end"] for s in spans):
+            out.append(k)
+        at += len(w)
+    return out
+
+
+def test_spans_and_floor_are_those_of_brute_force(spark):
+    rnd = random.Random(9)
+    rows = embedded(rnd, [[prose(rnd, n)] * 2 for n in (20, 24, 25, 26, 30, 30, 40, 40, 49, 49, 51, 51, 55, 60, 80, 100)])
+    rows += [(1000 + i, t.replace(" ", "\n", 40)) for i, t in rows[20:24]]  # wrapped
+    rows += [(2000, rows[24][1][:300]), (2001, "go stop " * 60), (2002, "x " + "go stop " * 50), (2003, "\u00e4 \u4e2d " + rows[26][1])]
+    rows += [(2010, line := prose(rnd, 49)), (2011, line), (2012, line := prose(rnd, 24)), (2013, line)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = {r["doc_id"]: r for r in P.repeats(docs, min_words=10**6).collect()}
+    text = dict(rows)
+    for spans, removed in (("spans", False), ("removed", True)):
+        assert {i: in_spans(text[i], out[i][spans] if i in out else []) for i in text} == shared_words(rows, 25, removed)
