@@ -152,3 +152,17 @@ def test_spans_and_floor_are_those_of_brute_force(spark):
     text = dict(rows)
     for spans, removed in (("spans", False), ("removed", True)):
         assert {i: in_spans(text[i], out[i][spans] if i in out else []) for i in text} == shared_words(rows, 25, removed)
+
+
+def test_near_copies_inside_a_line_or_wrapped_are_found(spark):
+    rnd = random.Random(10)
+    pairs = []
+    for n, changes in [(51, 1), (55, 1), (60, 1), (80, 1), (100, 2)] * 12:
+        a = prose(rnd, n).split()
+        b = list(a)
+        for at in range(changes):
+            b[(at + 1) * n // (changes + 1)] = "changed"
+        pairs.append((" ".join(a), "\n".join(b) if n == 60 else " ".join(b)))
+    rows = embedded(rnd, pairs)
+    found = {r["doc_id"] for r in P.repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {i for i, _ in rows}
