@@ -236,7 +236,7 @@ def _line_classes(docs: DataFrame, lines: DataFrame, doc_id: str, text: str, thr
     more, the smallest doc_id of the class."""
     spark = docs.sparkSession
     texts = write_table(
-        lines.groupBy("key").agg(F.countDistinct("doc_id").alias("n"), F.min("doc_id").alias("d"), F.min(F.struct("doc_id", "c0", "c1", "h")).alias("at"), F.first("keys").alias("bands")), "line-texts"
+        lines.groupBy("key").agg((F.countDistinct("doc_id") + F.max(F.col("doc_id").isNull()).cast("long")).alias("n"), F.min("doc_id").alias("d"), F.max(F.col("doc_id").isNull()).alias("null"), F.min(F.struct("doc_id", "c0", "c1", "h")).alias("at"), F.first("keys").alias("bands")), "line-texts"
     )
     keyed = texts.select("key", F.posexplode("bands").alias("band", "bucket"))
     groups = write_table(blocked_groups(keyed, ["band", "bucket"], "key", BLOCK), "line-buckets")
@@ -262,9 +262,9 @@ def _line_classes(docs: DataFrame, lines: DataFrame, doc_id: str, text: str, thr
 
     links = rows.mapInPandas(verify, "a binary, b binary")
     comps = connected_components(links, "a", "b").withColumnsRenamed({"node": "key", "component": "g"})
-    linked = texts.select("key", "n", "d").join(comps, "key", "left").withColumn("g", F.coalesce("g", "key"))
-    classes = linked.groupBy("g").agg(F.min("d").alias("low"), F.sum("n").alias("docs"), F.max("n").alias("most"), F.count_distinct("d").alias("ds"))
-    # lines of one document that are near each other are no class
+    linked = texts.select("key", "n", "d", "null").join(comps, "key", "left").withColumn("g", F.coalesce("g", "key"))
+    # lines of one document that are near each other are no class; null is a document
+    classes = linked.groupBy("g").agg(F.min("d").alias("low"), F.max("n").alias("most"), (F.count_distinct("d") + F.max("null").cast("long")).alias("ds"))
     classes = classes.filter("most > 1 or ds > 1")
     return linked.join(classes, "g").select("key", "low")
 

@@ -166,3 +166,19 @@ def test_near_copies_inside_a_line_or_wrapped_are_found(spark):
     rows = embedded(rnd, pairs)
     found = {r["doc_id"] for r in P.repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert found == {i for i, _ in rows}
+
+
+def test_null_and_repeated_doc_ids_in_lines(spark):
+    rnd = random.Random(11)
+
+    def near(line, at):
+        w = line.split()
+        return " ".join([*w[:at], "changed", *w[at + 1 :]])
+
+    one, two = prose(rnd, 90), prose(rnd, 90)
+    many = [near(one, 20), near(near(one, 40), 41)]
+    rows = [(None, one), (None, prose(rnd, 70)), (None, many[0]), (5, many[1]), (7, two), (7, prose(rnd, 95)), (8, near(two, 45)), (9, prose(rnd, 60))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    lines = P.paragraphs(docs, "doc_id", "text", 40, 1, 50).filter("kind = 'line'")
+    got = {r["doc_id"]: r["low"] for r in lines.join(P._line_classes(docs, lines, "doc_id", "text", 0.8), "key").collect()}
+    assert got == {None: 5, 5: 5, 7: 7, 8: 7}
