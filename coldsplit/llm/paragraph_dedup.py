@@ -44,7 +44,7 @@ RECALL = 0.98
 ROWS = 2
 MIN_WORDS = 50
 MATCH_WORDS = 25
-SEED_WORDS = 13
+SEED_WORDS = 9
 BLOCK = 2000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _FACTORS = np.array([0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
@@ -167,39 +167,78 @@ def _shared(by: list[str], rows: DataFrame, low: str = "doc_id", high: str = "do
     return out.filter("low < high or (no and low is not null)")
 
 
-def _matches(units: DataFrame, docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(doc_id, c0, c1, low) of the runs that stand in two documents or more, runs
-    of the same text that overlap being one."""
-    seeds = units.filter("kind = 'seeds'").select("doc_id", "h", F.explode("keys").alias("seed"))
-    wanted = seeds.join(_shared(["seed"], seeds).select("seed"), "seed").groupBy("doc_id", "h").agg(F.collect_set("seed").alias("seeds"))
-    wanted = wanted.select(F.col("doc_id").alias("_i"), F.col("h").alias("_h"), "seeds")
+def _wanted_seeds(units: DataFrame) -> DataFrame:
+    """(doc_id, h, seeds): the seeds that another document has too."""
+    # h parts the rows of the null document; others share their doc_id's seeds
+    h = F.when(F.col("doc_id").isNull(), F.col("h")).otherwise(0)
+    seeds = units.filter("kind = 'seeds'").select("doc_id", h.alias("h"), F.explode("keys").alias("seed"))
+    return seeds.join(_shared(["seed"], seeds).select("seed"), "seed").groupBy("doc_id", "h").agg(F.collect_set("seed").alias("seeds"))
+
+
+def _reread(units: DataFrame, needed: DataFrame, docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """The texts again, once: the line texts of ``needed`` (key, t), and the runs of
+    the seeds that are shared, grouped by seed."""
+    part = "struct<key:binary,h:bigint,c0:int,c1:int>"
+    seeds = _wanted_seeds(units).withColumn("lines", F.array().cast(f"array<{part}>"))
+    lines = needed.groupBy("doc_id", F.when(F.col("doc_id").isNull(), F.col("h")).otherwise(0).alias("r")).agg(F.collect_list(F.struct("key", "h", "c0", "c1")).alias("lines"))
+    lines = lines.select("doc_id", F.col("r").alias("h"), F.array().cast("array<long>").alias("seeds"), "lines")
+    wanted = seeds.unionByName(lines).groupBy(F.col("doc_id").alias("_i"), F.col("h").alias("_h")).agg(F.flatten(F.collect_list("seeds")).alias("seeds"), F.flatten(F.collect_list("lines")).alias("lines"))
     src = _row(docs, doc_id, text)
-    src = src.join(wanted, F.col("doc_id").eqNullSafe(F.col("_i")) & (F.col("h") == F.col("_h"))).select("doc_id", "t", "seeds")
+    row = F.when(F.col("doc_id").isNull(), F.col("h")).otherwise(0)
+    src = src.join(wanted, F.col("doc_id").eqNullSafe(F.col("_i")) & (row == F.col("_h")))
+    own = F.filter("lines", lambda x: x["h"] == F.col("h"))
+    src = src.select("doc_id", "t", "seeds", F.transform(own, lambda x: x["key"]).alias("keys"), F.transform(own, lambda x: F.expr("t").substr(x["c0"] + 1, x["c1"] - x["c0"])).alias("texts"))
 
     def cut(row):
+        out: list[list] = [[row.doc_id, 0, 0, None, None, k, t] for k, t in zip(row.keys, row.texts, strict=True)]
+        if not len(row.seeds) or not row.t:
+            return out
         _, w, begin, end, _ = _cut(row.t)
+        if len(w) < MATCH_WORDS:
+            return out
         with np.errstate(over="ignore"):
             keys, first = _seeds(w)
             runs = _sums(w, MATCH_WORDS, _RUN_FACTORS).view(np.int64)
         last = np.append(first[1:], len(runs))
-        begin, end = begin.astype(np.int32), end[MATCH_WORDS - 1 :].astype(np.int32)
-        out: list[list] = []
-        for g in np.flatnonzero(np.isin(keys, row.seeds)).tolist():
-            a, b, key = int(first[g]), int(last[g]), int(keys[g])
-            whole = xxhash.xxh64_intdigest(runs[a:b].tobytes()) - 2**63
-            if out and out[-1][1:3] == [key, whole] and begin[a] <= out[-1][5][0]:  # a text with a short period
-                out[-1][5] = end[a:b]
-            else:
-                out.append([row.doc_id, key, whole, runs[a:b], begin[a:b], end[a:b]])
+        end = end[MATCH_WORDS - 1 :]
+        held = None  # groups of the same text that overlap are one: a text with a short period
+        for g in [*np.flatnonzero(np.isin(keys, row.seeds)).tolist(), None]:
+            if g is not None:
+                a, b = int(first[g]), int(last[g])
+                name = (int(keys[g]), xxhash.xxh64_intdigest(runs[a:b].tobytes()) - 2**63)
+                if held and held[0] == name and begin[a] <= held[3][0]:
+                    held[3] = end[a:b]
+                    continue
+            if held:
+                out.append([row.doc_id, *held[0], held[1], _packed(held[2], held[3]), None, None])
+            held = [name, runs[a:b], begin[a:b], end[a:b]] if g is not None else None
         return out
 
-    found = write_table(_mapped(src, cut, "doc_id string, seed long, whole long, runs array<long>, c0 array<int>, c1 array<int>"), "paragraph-runs")
+    return write_table(_mapped(src, cut, "doc_id string, seed long, whole long, runs array<long>, places binary, key binary, t string"), "paragraph-runs")
+
+
+def _packed(begin: np.ndarray, end: np.ndarray) -> bytes:
+    """First and end characters of runs that follow each other, in few bytes."""
+    steps = np.concatenate([np.diff(begin), np.diff(end)])
+    kind = np.uint8 if not len(steps) or steps.max() < 256 else np.uint32
+    return np.array([begin[0], end[0], kind is np.uint8], np.uint32).tobytes() + steps.astype(kind).tobytes()
+
+
+def _unpacked(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    a, b, small = np.frombuffer(raw, np.uint32, 3).astype(np.int64).tolist()
+    steps = np.frombuffer(raw, np.uint8 if small else np.uint32, offset=12).astype(np.int64).reshape(2, -1)
+    return tuple(np.concatenate([[x], x + np.cumsum(d)]) for x, d in zip((a, b), steps, strict=True))
+
+
+def _matches(found: DataFrame) -> DataFrame:
+    """(doc_id, places, dup): for each group of runs of a document that has some
+    which stand in two documents or more, their numbers and smallest doc_id."""
+    found = found.filter("key is null")
     groups = found.groupBy("seed", "whole").agg(F.min("doc_id").alias("l"), F.max("doc_id").alias("m"), F.max(F.col("doc_id").isNull()).alias("null"), F.first("runs").alias("runs"))
     each = write_table(groups.select("seed", "whole", "l", "m", "null", F.posexplode("runs").alias("at", "run")), "paragraph-run-groups")
     dup = _shared(["seed", "run"], each, "l", "m", F.col("null")).select("seed", "run", "low")
     dup = each.select("seed", "whole", "at", "run").join(dup, ["seed", "run"]).groupBy("seed", "whole").agg(F.collect_list(F.struct("at", "low")).alias("dup"))
-    out = found.select("doc_id", "seed", "whole", "c0", "c1").join(dup, ["seed", "whole"])
-    return out.select("doc_id", F.transform("dup", lambda d: F.struct(F.get("c0", d["at"]).alias("c0"), F.get("c1", d["at"]).alias("c1"), d["low"].alias("low"))).alias("u"))
+    return found.select("doc_id", "seed", "whole", "places").join(dup, ["seed", "whole"]).select("doc_id", "places", "dup")
 
 
 def verified_links(texts: list[str], other: list[str] | None, threshold: float) -> list[tuple[int, int]]:
@@ -231,19 +270,21 @@ def verified_links(texts: list[str], other: list[str] | None, threshold: float)
     return links
 
 
-def _line_classes(docs: DataFrame, lines: DataFrame, doc_id: str, text: str, threshold: float) -> DataFrame:
-    """(key, low, n): for each line text that has a class of two documents or
-    more, the smallest doc_id of the class."""
-    spark = docs.sparkSession
+def _line_buckets(lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The lines' texts by digest, their buckets, and where the texts that have a
+    partner stand."""
     texts = write_table(
         lines.groupBy("key").agg((F.countDistinct("doc_id") + F.max(F.col("doc_id").isNull()).cast("long")).alias("n"), F.min("doc_id").alias("d"), F.max(F.col("doc_id").isNull()).alias("null"), F.min(F.struct("doc_id", "c0", "c1", "h")).alias("at"), F.first("keys").alias("bands")), "line-texts"
     )
     keyed = texts.select("key", F.posexplode("bands").alias("band", "bucket"))
     groups = write_table(blocked_groups(keyed, ["band", "bucket"], "key", BLOCK), "line-buckets")
-    needed = groups.select("key").distinct().join(texts.select("key", "at"), "key").select("key", F.col("at.doc_id").alias("_i"), F.col("at.h").alias("_h"), "at.c0", "at.c1")
-    src = _row(docs, doc_id, text)
-    needed = src.join(needed, F.col("doc_id").eqNullSafe(F.col("_i")) & (F.col("h") == F.col("_h"))).select("key", F.expr("substring(t, c0 + 1, c1 - c0)").alias("t"))
-    needed = write_table(needed.groupBy("key").agg(F.min("t").alias("t")), "line-needed")
+    return texts, groups, groups.select("key").distinct().join(texts.select("key", "at.*"), "key")
+
+
+def _line_classes(texts: DataFrame, groups: DataFrame, needed: DataFrame, threshold: float) -> DataFrame:
+    """(key, low): for each line text that has a class of two documents or more,
+    the smallest doc_id of the class."""
+    spark = texts.sparkSession
     keys = ["band", "bucket", "_bi", "_bj"]
     rows = groups.join(needed, "key").select(*keys, "_b", "key", "t").repartition(parallel(spark), *keys).sortWithinPartitions(*keys)
 
@@ -275,18 +316,27 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thresho
     of each of its classes)."""
     units = write_table(paragraphs(docs, doc_id, text, band_count(threshold, rows, recall), rows, min_words), "paragraphs")
     lines = units.filter("kind = 'line'")
-    classes = _line_classes(docs, lines, doc_id, text, threshold)
-    found = _matches(units, docs, doc_id, text)
-    flagged = found.unionByName(lines.join(classes, "key").select("doc_id", F.array(F.struct("c0", "c1", "low")).alias("u")))
-    gathered = flagged.groupBy("doc_id").agg(F.flatten(F.collect_list("u")).alias("u"))
-    gathered = gathered.select("doc_id", F.transform("u", lambda x: F.struct(x["c0"].alias("c0"), x["c1"].alias("c1"), (~x["low"].eqNullSafe(F.col("doc_id"))).alias("gone"))).alias("u"), F.array_sort(F.array_distinct(F.col("u.low"))).alias("first_docs"))
+    texts, groups, needed = _line_buckets(lines)
+    found = _reread(units, needed, docs, doc_id, text)
+    needed = found.filter("key is not null").groupBy("key").agg(F.min("t").alias("t"))
+    classes = _line_classes(texts, groups, needed, threshold)
+    whole = F.array(F.struct(F.lit(0).alias("at"), F.col("low")))
+    flagged = _matches(found).withColumns({"c0": F.lit(None).cast("int"), "c1": F.lit(None).cast("int")})
+    flagged = flagged.unionByName(lines.join(classes, "key").select("doc_id", F.lit(None).cast("binary").alias("places"), whole.alias("dup"), "c0", "c1"))
+    dup = F.transform("dup", lambda d: F.struct(d["at"].alias("at"), (~d["low"].eqNullSafe(F.col("doc_id"))).alias("gone")))
+    flagged = flagged.select("doc_id", F.struct("places", "c0", "c1", dup.alias("dup")).alias("u"), F.transform("dup", lambda d: d["low"]).alias("lows"))
+    gathered = flagged.groupBy("doc_id").agg(F.collect_list("u").alias("u"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("lows")))).alias("first_docs"))
 
     @F.pandas_udf("struct<spans:array<struct<start:int,end:int>>,removed:array<struct<start:int,end:int>>>")
     def merged(lists: pd.Series) -> pd.DataFrame:
         out = {"spans": [], "removed": []}
         for units in lists:
-            out["spans"].append(_merged([(u["c0"], u["c1"]) for u in units]))
-            out["removed"].append(_merged([(u["c0"], u["c1"]) for u in units if u["gone"]]))
+            own = []
+            for u in units:
+                a, b = _unpacked(u["places"]) if u["places"] is not None else ([u["c0"]], [u["c1"]])
+                own += [(int(a[d["at"]]), int(b[d["at"]]), d["gone"]) for d in u["dup"]]
+            out["spans"].append(_merged([x[:2] for x in own]))
+            out["removed"].append(_merged([x[:2] for x in own if x[2]]))
         return pd.DataFrame(out)
 
     return gathered.withColumn("r", merged("u")).select("doc_id", "r.spans", "r.removed", "first_docs")

@@ -180,5 +180,7 @@ def test_null_and_repeated_doc_ids_in_lines(spark):
     rows = [(None, one), (None, prose(rnd, 70)), (None, many[0]), (5, many[1]), (7, two), (7, prose(rnd, 95)), (8, near(two, 45)), (9, prose(rnd, 60))]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     lines = P.paragraphs(docs, "doc_id", "text", 40, 1, 50).filter("kind = 'line'")
-    got = {r["doc_id"]: r["low"] for r in lines.join(P._line_classes(docs, lines, "doc_id", "text", 0.8), "key").collect()}
+    texts, groups, needed = P._line_buckets(lines)
+    needed = P._reread(P.paragraphs(docs, "doc_id", "text", 40, 1, 50), needed, docs, "doc_id", "text").filter("key is not null").select("key", "t")
+    got = {r["doc_id"]: r["low"] for r in lines.join(P._line_classes(texts, groups, needed, 0.8), "key").collect()}
     assert got == {None: 5, 5: 5, 7: 7, 8: 7}
