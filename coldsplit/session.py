@@ -5,6 +5,7 @@ The engine never creates or stops a SparkSession; it takes the caller's.
 
 from __future__ import annotations
 
+import contextlib
 import re
 import tempfile
 import uuid
@@ -107,16 +108,20 @@ def materialize(df: DataFrame) -> DataFrame:
     return out
 
 
-def write_bucketed(df: DataFrame, name: str, cols: list[str], buckets: int) -> DataFrame:
+def write_bucketed(df: DataFrame, name: str, cols: list[str], buckets: int, sort: list[str] | None = None, dealt: bool = False) -> DataFrame:
     """Write ``df`` as a table bucketed by ``cols`` under the shared checkpoint
     folder and read it back: one file per bucket, whatever the input's
     partitions. Joins on exactly ``cols`` against another frame hash-partitioned
     the same way need no shuffle of this side, and the files outlive any
-    executor."""
+    executor. ``sort`` orders the rows of a file; ``dealt`` says that ``df`` is
+    already hash-partitioned by ``cols`` over ``buckets`` partitions."""
     spark = df.sparkSession
-    table = f"coldsplit_{name}_{uuid.uuid4().hex[:12]}"
+    table = f"coldsplit_{name}_{uuid.uuid4().hex[:12]}".replace("-", "_")
     path = scratch_path(spark, table)
-    df.repartition(buckets, *cols).write.bucketBy(buckets, *cols).option("path", path).saveAsTable(table)
+    writer = (df if dealt else df.repartition(buckets, *cols)).write.bucketBy(buckets, *cols)
+    if sort:
+        writer = writer.sortBy(*sort).option("compression", "zstd")
+    writer.option("path", path).saveAsTable(table)
     _SCRATCH_TABLES[table] = path
     return spark.table(table)
 
@@ -135,11 +140,83 @@ def drop_scratch_tables(spark: SparkSession, names=None) -> int:
     for t in chosen:
         path = _SCRATCH_TABLES.pop(t)
         spark.sql(f"DROP TABLE IF EXISTS {t}")
-        hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-        hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop_path, True)
+        delete_path(spark, path)
     return len(chosen)
 
 
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder through the file system that Spark reads it by."""
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop_path, True)
+
+
+class Scratch:
+    """The scratch tables of one computation. They are deleted when the block
+    ends, so a result that outlives it is written by :func:`write_table` inside::
+
+        with Scratch(spark) as tmp:
+            seen = tmp.write(df, "seen")
+            return write_table(seen.groupBy("key").count(), "result")
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self._paths: list[str] = []
+        self._tables: set[str] = set()
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        """As :func:`write_table`."""
+        path = scratch_path(self.spark, name)
+        self._paths.append(path)
+        df.write.option("compression", "zstd").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def bucketed(self, df: DataFrame, name: str, cols: list[str], buckets: int, sort: list[str] | None = None, dealt: bool = False) -> DataFrame:
+        """As :func:`write_bucketed`."""
+        before = scratch_tables()
+        out = write_bucketed(df, name, cols, buckets, sort, dealt)
+        self._tables |= scratch_tables() - before
+        return out
+
+    def drop(self, df: DataFrame) -> None:
+        """Delete one table of this scope, as soon as its last reader is done."""
+        files = df.inputFiles()
+        for path in [p for p in self._paths if any(p.split("/")[-1] in f for f in files)]:
+            self._paths.remove(path)
+            delete_path(self.spark, path)
+        gone = {t for t in self._tables if any(_SCRATCH_TABLES[t].split("/")[-1] in f for f in files)}
+        self._tables -= gone
+        drop_scratch_tables(self.spark, gone)
+
+    def release(self) -> None:
+        for path in self._paths:
+            delete_path(self.spark, path)
+        self._paths = []
+        drop_scratch_tables(self.spark, self._tables)
+        self._tables = set()
+
+    def __enter__(self) -> "Scratch":
+        return self
+
+    def __exit__(self, *failure) -> None:
+        self.release()
+
+
+@contextlib.contextmanager
+def session_conf(spark: SparkSession, **conf: str):
+    """SQL settings (dots written as ``__``) for the jobs of a block; the
+    caller's own come back after it."""
+    names = {k.replace("__", "."): v for k, v in conf.items()}
+    before = {k: spark.conf.get(k, None) for k in names}
+    for k, v in names.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def write_table(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once as Parquet under the shared checkpoint folder and read
     it back: later reads are plain scans (filters and columns pushed down)
