@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from coldsplit.llm import fp_search, host_rules, kd_sharding, line_dedup, mixing, paragraph_dedup, phrases, secrets_scan, sentencepiece_fst, simhash, topk_nra, toxicity
+from coldsplit.llm import fp_search, host_rules, kd_sharding, line_dedup, mixing, paragraph_dedup, phrases, secrets_scan, sentencepiece_fst, simhash, topk_nra, toxicity, wrapper_induction
 
 REGISTRY = {
     "op1_sentencepiece": (sentencepiece_fst.op1_query, None),
@@ -15,6 +15,7 @@ REGISTRY = {
     "op8_kd_sharding": (kd_sharding.op8_query, None),
     "op9_simhash_near_dedup": (simhash.op9_query, None),
     "op10_mixing": (mixing.op10_query, mixing.OP10_SQL),
+    "op11_html_wrapper": (wrapper_induction.op11_query, None),
     "op12_fp_search": (fp_search.op12_query, fp_search.OP12_SQL),
     "op13_phrases": (phrases.op13_query, phrases.OP13_SQL),
 }
