@@ -10,7 +10,9 @@ from coldsplit.session import (
     ARRAY_ITEMS,
     BROADCAST_BYTE_LIMIT,
     BROADCAST_ROW_LIMIT,
+    Scratch,
     bounded_broadcast,
+    is_scan,
     row_bytes,
     write_table,
 )
@@ -27,6 +29,7 @@ def salted_join(
     key_rows: int = DEFAULT_KEY_ROWS,
     broadcast_rows: int | None = None,
     array_items: int = ARRAY_ITEMS,
+    tmp: Scratch | None = None,
 ) -> DataFrame:
     """``big JOIN small ON keys`` where ``small`` has few rows per key.
 
@@ -37,15 +40,19 @@ def salted_join(
     are counted before their salt table is broadcast. Without heavy keys this
     is the plain join. When ``small`` itself is small by count, it is simply
     broadcast: a broadcast join does not move ``big`` and no key can skew it.
+    ``small`` is written once unless it is a scan of files already; what is written
+    belongs to ``tmp`` if given.
     """
-    small = write_table(small, "join-small")  # read back as files: nothing stays cached
+    write = tmp.write if tmp else write_table
+    if not is_scan(small):
+        small = write(small, "join-small")  # counted and joined: computed once
     n_small = small.count()
     limit = BROADCAST_ROW_LIMIT if broadcast_rows is None else broadcast_rows
     fits = n_small <= limit and n_small * row_bytes(small, array_items) <= BROADCAST_BYTE_LIMIT
     if fits and how in ("inner", "left", "left_semi", "left_anti"):
         return big.join(F.broadcast(small), keys, how)  # n_small rows, counted above
     counts = big.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    heavy = write_table(
+    heavy = write(
         counts.filter(F.col("_n") > key_rows).select(*keys, F.ceil(F.col("_n") / F.lit(key_rows)).cast("int").alias("_ns")),
         "join-heavy",
     )

@@ -150,6 +150,15 @@ def delete_path(spark: SparkSession, path: str) -> None:
     hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop_path, True)
 
 
+def is_scan(df: DataFrame) -> bool:
+    """Whether ``df`` only reads files, with columns chosen and rows filtered: reading
+    it twice repeats no other work."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    while plan.nodeName() in ("Project", "Filter"):
+        plan = plan.children().head()
+    return plan.nodeName() in ("LogicalRelation", "Relation", "RelationV2")
+
+
 class Scratch:
     """The scratch tables of one computation. They are deleted when the block
     ends, so a result that outlives it is written by :func:`write_table` inside::

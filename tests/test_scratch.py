@@ -42,3 +42,21 @@ def test_settings_come_back(spark):
     with session_conf(spark, spark__sql__requireAllClusterKeysForCoPartition="false"):
         assert spark.conf.get(key) == "false"
     assert spark.conf.get(key) == was
+
+
+def test_salted_join_writes_no_scan_again(spark):
+    from pyspark.sql import functions as F
+
+    from coldsplit.operators.skew import salted_join
+    from coldsplit.session import is_scan
+
+    kept = write_table(spark.range(50).withColumnRenamed("id", "k"), "small")
+    big = spark.range(200).withColumn("k", F.col("id") % 60)
+    assert is_scan(kept) and is_scan(kept.filter("k > 3").select((F.col("k") + 1).alias("k"))) and not is_scan(kept.distinct())
+    before = _folders(spark)
+    assert salted_join(big, kept.filter("k < 40"), ["k"], ["id"]).count() == 140
+    assert _folders(spark) == before
+    with Scratch(spark) as tmp:
+        out = salted_join(big, kept.distinct(), ["k"], ["id"], key_rows=2, broadcast_rows=0, tmp=tmp)
+        assert out.count() == 170 and len(_folders(spark) - before) == 2
+    assert _folders(spark) == before
