@@ -100,7 +100,7 @@ def induce(tmp: Scratch, skeletons: DataFrame) -> DataFrame:
         rows = tmp.write(dealt.groupBy("host", "block").applyInPandas(fold, "host string, skeleton string").distinct(), "wrappers")
 
 
-def slots(skeletons: DataFrame, wrappers: DataFrame) -> DataFrame:
+def slots(tmp: Scratch, skeletons: DataFrame, wrappers: DataFrame) -> DataFrame:
     """(host, sid, slots array<int>, paths array<long>): of each node of a skeleton
     its slot of the host's wrapper, and the hash of its path of labels."""
 
@@ -110,7 +110,7 @@ def slots(skeletons: DataFrame, wrappers: DataFrame) -> DataFrame:
         at = [kept[p] if p in kept else kept.setdefault(p, dom.places(*p)) for p in zip(wrapper, skeleton, strict=True)]
         return pd.DataFrame({"slots": at, "paths": [dom.paths(s) for s in skeleton]})
 
-    joined = salted_join(skeletons, wrappers, ["host"], ["sid"])
+    joined = salted_join(skeletons, wrappers, ["host"], ["sid"], tmp=tmp)
     joined = joined.repartition(parallel(skeletons.sparkSession), "host", "sid").select("host", "sid", place("wrapper", "skeleton").alias("p"))
     return joined.select("host", "sid", F.col("p.slots").alias("slots"), F.transform("p.paths", lambda x: F.xxhash64(x)).alias("paths"))
 
@@ -130,7 +130,7 @@ def template_nodes(tmp: Scratch, parsed: DataFrame, at: DataFrame) -> DataFrame:
         "host", "sid", "print", "b.node", F.xxhash64("b.text").alias("text"), F.length("b.text").alias("chars"), "b.kind"
     )
     seen = blocks.groupBy("host", "sid", "node", "text", "print").agg(F.max("kind").alias("kind"), F.max("chars").alias("chars"))
-    seen = salted_join(seen, at, ["host", "sid"], ["print", "node"])
+    seen = salted_join(seen, at, ["host", "sid"], ["print", "node"], tmp=tmp)
     seen = tmp.write(
         seen.select("host", "sid", "node", "text", "print", "kind", "chars", F.element_at("slots", F.col("node") + 1).alias("slot"), F.element_at("paths", F.col("node") + 1).alias("path")), "slots"
     )
@@ -146,21 +146,21 @@ def template_nodes(tmp: Scratch, parsed: DataFrame, at: DataFrame) -> DataFrame:
     verdict = nodes.join(by_host.select("host", "slot", "template", "main_slot"), ["host", "slot"], "left").join(by_path, "path", "left")
     # a host's own pages decide; few pages, or no host: the path on all hosts
     template = F.coalesce("template", F.col("anywhere") & ~F.coalesce(F.col("slot") == F.col("main_slot"), F.lit(False)), F.lit(False))
-    return tmp.write(verdict.filter(template).groupBy("host", "sid").agg(F.collect_set("node").alias("nodes")), "template")
+    return verdict.filter(template).groupBy("host", "sid").agg(F.collect_set("node").alias("nodes"))
 
 
 def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """(page_id, url, text): the main text of each page, blocks joined by an empty line."""
     with Scratch(pages.sparkSession) as tmp:
-        parsed = tmp.write(parse_pages(pages, page_id, url, html), "parsed")
+        parsed = write_table(parse_pages(pages, page_id, url, html), "parsed")  # the result reads it
         skeletons = tmp.write(parsed.groupBy("host", "sid").agg(F.first("skeleton").alias("skeleton")), "skeletons")
         wrappers = tmp.write(induce(tmp, skeletons.filter("host <> ''")).unionByName(skeletons.filter("host = ''").limit(1).select("host", F.lit("0 body").alias("wrapper"))), "wrapper")
-        at = tmp.write(slots(skeletons, wrappers), "places")
-        template = template_nodes(tmp, parsed, at)
+        at = tmp.write(slots(tmp, skeletons, wrappers), "places")
+        template = write_table(template_nodes(tmp, parsed, at), "template")
         rows = salted_join(parsed.select("page_id", "url", "host", "sid", "blocks"), template, ["host", "sid"], ["page_id"], "left")
         kept = F.filter("blocks", lambda b: F.col("nodes").isNull() | ~F.array_contains("nodes", b["node"]))
         text = F.array_join(F.transform(kept, lambda b: b["text"]), "\n\n")
-        return write_table(rows.select("page_id", "url", text.alias("text")), "extracted")
+        return rows.select("page_id", "url", text.alias("text"))
 
 
 def op11_query(spark: SparkSession, sf_dir: str) -> DataFrame:
