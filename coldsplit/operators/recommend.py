@@ -1,13 +1,19 @@
-"""Plain ALS baseline on real users, its RMSE and top-k recommendations."""
+"""Plain ALS baseline on real users, its RMSE, and top-k recommendations by exact
+pruned inner-product search."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from coldsplit.operators.factors import NUM_BLOCKS, factorize
 from coldsplit.operators.prepare import random_split
+from coldsplit.session import Scratch, write_table
 
 
 def als_baseline(
@@ -31,17 +37,144 @@ def regression_rmse(predictions: DataFrame, label: str = "rating", pred: str = "
 
 
 def recommend_items(model, n: int = 10, users: DataFrame | None = None) -> DataFrame:
-    """The n best items for each row of ``users`` (user_id). Without ``users``, for
-    every user: that scores all pairs, for small models only."""
-    found = model.recommendForAllUsers(n) if users is None else model.recommendForUserSubset(users.select("user_id").distinct(), n)
-    return found.select(
-        "user_id", F.posexplode("recommendations").alias("rank", "r")
-    ).select("user_id", (F.col("rank") + 1).alias("rank"), F.col("r.item_id").alias("item_id"), F.col("r.rating").alias("score"))
+    """(user_id, rank, item_id, score): the n best items for each row of ``users``
+    (user_id), or for every user."""
+    asked = _factors(model.userFactors, "user_id")
+    if users is not None:
+        asked = asked.join(users.select("user_id").distinct(), "user_id", "left_semi")
+    return top_products(asked, _factors(model.itemFactors, "item_id"), n)
 
 
 def recommend_users(model, n: int = 10, items: DataFrame | None = None) -> DataFrame:
-    """The n best users for each row of ``items`` (item_id); see recommend_items."""
-    found = model.recommendForAllItems(n) if items is None else model.recommendForItemSubset(items.select("item_id").distinct(), n)
-    return found.select(
-        "item_id", F.posexplode("recommendations").alias("rank", "r")
-    ).select("item_id", (F.col("rank") + 1).alias("rank"), F.col("r.user_id").alias("user_id"), F.col("r.rating").alias("score"))
+    """(item_id, rank, user_id, score): the n best users for each row of ``items``
+    (item_id), or for every item."""
+    asked = _factors(model.itemFactors, "item_id")
+    if items is not None:
+        asked = asked.join(items.select("item_id").distinct(), "item_id", "left_semi")
+    return top_products(asked, _factors(model.userFactors, "user_id"), n)
+
+
+def _factors(table: DataFrame, name: str) -> DataFrame:
+    return table.select(F.col("id").alias(name), "features")
+
+
+# ------------------------------------------------ exact pruned inner products
+GROUP_BYTES = 64 << 20  # candidate vectors sent to the executors at a time
+BLOCK = 64  # candidates scored between two looks at the bounds
+SLACK = 1e-9  # relative: bounds and scores are rounded sums of doubles
+
+
+def top_products(queries: DataFrame, candidates: DataFrame, n: int = 10, group_bytes: int = GROUP_BYTES) -> DataFrame:
+    """The n candidates of greatest inner product for each query, without scoring
+    all pairs: (query id, rank, candidate id, score), ties to the smaller id.
+
+    Both frames are (id, features). Candidates are put in the order of falling
+    norm. A query of norm q that knows n scores is done when q times the norm of
+    the next candidate is under the n-th of them: no later one can reach it
+    (Cauchy-Schwarz). Candidates go out in groups of ``group_bytes``, a broadcast
+    each; between groups the queries that are not done are written with what they
+    have found, so neither side is ever whole in one place, and most queries never
+    meet the later groups. Rows without id or vector take no part; vectors of all
+    rows have one length.
+    """
+    found, _ = search_products(queries, candidates, n, group_bytes)
+    return found
+
+
+def search_products(queries: DataFrame, candidates: DataFrame, n: int = 10, group_bytes: int = GROUP_BYTES) -> tuple[DataFrame, DataFrame]:
+    """As :func:`top_products`, and (query id, n_scored): candidates scored for each."""
+    spark = queries.sparkSession
+    (q_id, _), (c_id, _) = queries.columns, candidates.columns
+    with Scratch(spark) as tmp:
+        norm = F.sqrt(F.aggregate("features", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
+        vec = F.transform("features", lambda x: x.cast("double"))
+        ordered = candidates.filter(F.col(c_id).isNotNull() & F.col("features").isNotNull()).select(F.col(c_id).cast("long").alias("c"), vec.alias("v"), norm.alias("norm"))
+        # falling norm: ranges of it are the groups, one file or more each
+        ordered = tmp.write(ordered.orderBy(F.desc("norm"), "c"), "product-candidates")
+        rank = ordered.selectExpr("size(v) AS r").first()
+        total = ordered.count()
+        per_group = max(1, group_bytes // (8 * ((rank["r"] if rank else 0) + 2)))
+        parts = _norm_parts(ordered, total, per_group)
+        state = queries.filter(F.col(q_id).isNotNull() & F.col("features").isNotNull()).select(
+            F.col(q_id).cast("long").alias("q"), vec.alias("u"), F.array().cast("array<long>").alias("ids"), F.array().cast("array<double>").alias("scores"), F.lit(0).cast("long").alias("n_scored"), F.lit(False).alias("done")
+        )
+        state = tmp.write(state, "product-queries")
+        finished = None
+        for group, below in parts:
+            state = tmp.write(_search_group(spark, state, group, n, below), "product-state")
+            part = state.filter("done")
+            finished = part if finished is None else finished.unionByName(part)
+            state = state.filter("not done")
+            if not state.limit(1).count():
+                break
+        out = state if finished is None else finished.unionByName(state)
+        out = write_table(out.drop("u"), "products")
+    hits = out.select("q", F.posexplode(F.arrays_zip("ids", "scores")).alias("at", "hit"))
+    kinds = dict(queries.dtypes)[q_id], dict(candidates.dtypes)[c_id]
+    hits = hits.select(F.col("q").cast(kinds[0]).alias(q_id), (F.col("at") + 1).alias("rank"), F.col("hit.ids").cast(kinds[1]).alias(c_id), F.col("hit.scores").alias("score"))
+    return hits, out.select(F.col("q").cast(kinds[0]).alias(q_id), "n_scored")
+
+
+def _norm_parts(ordered: DataFrame, total: int, per_group: int) -> list[tuple[DataFrame, float]]:
+    """(group, below): the candidates in ranges of falling norm of about ``per_group``
+    rows, and the norm that no later one exceeds (negative: none is left). A range
+    of equal norms that holds more is dealt by a hash of the id."""
+    if total <= per_group:
+        return [(ordered, -1.0)]
+    shares = [1 - i * per_group / total for i in range(1, -(-total // per_group))]
+    marks = sorted(set(ordered.approxQuantile("norm", shares, 0.1 * per_group / total)), reverse=True)
+    at = F.lit(0)
+    for mark in marks:  # ranges are (mark, next mark above]
+        at = at + (F.col("norm") <= mark).cast("int")
+    sizes = {r["part"]: r["count"] for r in ordered.groupBy(at.alias("part")).count().collect()}  # a row a range
+    out = []
+    for i, (low, high) in enumerate(zip([*marks, -1.0], [float("inf"), *marks], strict=True)):
+        group = ordered.filter((F.col("norm") > low) & (F.col("norm") <= high))
+        m = -(-sizes.get(i, 0) // (2 * per_group))
+        out += [(group.filter(F.pmod(F.xxhash64("c"), F.lit(m)) == j) if m > 1 else group, low if j + 1 >= m else high) for j in range(m)]
+    return out
+
+
+def _search_group(spark, state: DataFrame, group: DataFrame, n: int, below: float) -> DataFrame:
+    rows = group.orderBy(F.desc("norm"), "c").toPandas()  # bounded by the group's bytes
+    width = len(rows["v"].iloc[0]) if len(rows) else 0
+    sent = spark.sparkContext.broadcast((rows["c"].to_numpy(np.int64), np.stack(rows["v"].to_list()) if width else np.empty((0, 0)), rows["norm"].to_numpy(np.float64)))
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        c, v, norm = sent.value
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            u = np.stack(pdf["u"].to_list()).astype(np.float64)
+            reach = np.sqrt((u * u).sum(axis=1)) * (1 + SLACK)
+            ids = np.full((len(u), n), NONE, np.int64)
+            best = np.full((len(u), n), -np.inf)
+            for i, (a, b) in enumerate(zip(pdf["ids"], pdf["scores"], strict=True)):
+                ids[i, : len(a)], best[i, : len(b)] = a, b
+            scored = pdf["n_scored"].to_numpy(np.int64).copy()
+            for at in range(0, len(c), BLOCK):
+                live = np.flatnonzero(reach * norm[at] >= best[:, -1])
+                if not len(live):
+                    break
+                score = u[live] @ v[at : at + BLOCK].T
+                scored[live] += score.shape[1]
+                both = np.concatenate([best[live], score], axis=1)
+                names = np.concatenate([ids[live], np.broadcast_to(c[at : at + BLOCK], score.shape)], axis=1)
+                order = np.lexsort((names, -both), axis=1)[:, :n]
+                best[live], ids[live] = np.take_along_axis(both, order, 1), np.take_along_axis(names, order, 1)
+            found = best > -np.inf
+            yield pd.DataFrame(
+                {
+                    "q": pdf["q"],
+                    "u": pdf["u"],
+                    "ids": [row[f] for row, f in zip(ids, found, strict=True)],
+                    "scores": [row[f] for row, f in zip(best, found, strict=True)],
+                    "n_scored": scored,
+                    "done": (reach * max(below, 0.0) < best[:, -1]) | (below < 0),
+                }
+            )
+
+    return state.mapInPandas(search, "q long, u array<double>, ids array<long>, scores array<double>, n_scored long, done boolean")
+
+
+NONE = np.iinfo(np.int64).max

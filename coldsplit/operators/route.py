@@ -9,13 +9,14 @@ number of tree nodes; no per-level shuffle of the ratings.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from coldsplit.functions import LIKE, DISLIKE, UNKNOWN, attitude_branch, attitude_letter, dot_product
 from coldsplit.operators.skew import salted_join
 from coldsplit.operators.tree import InterviewTree
 from coldsplit.session import bounded_broadcast as _bcast
+from coldsplit.session import write_table
 
 ASKED_TYPE = "array<struct<item_id:int,attitude:string>>"
 
@@ -132,26 +133,85 @@ def predict_node_mean(pairs: DataFrame, pseudo: DataFrame) -> DataFrame:
     return j.withColumn("prediction", F.coalesce("node_mean", "root_mean")).drop("node_mean", "root_mean")
 
 
-def predict_pairs(pairs: DataFrame, node_factors: DataFrame, item_factors: DataFrame, n_nodes: int, rank: int = 10) -> DataFrame:
-    """Score (user, item) pairs with the factors of the user's own node, or where
-    the item has none at that level (users of a leaf leave the loop, so an item
-    may be rated above only), of the nearest ancestor whose level has the item.
-    An item of the root is known, so no pair is lost."""
+def item_levels(item_factors: DataFrame) -> DataFrame:
+    """(level, item_id, at, v): for each item and level the deepest level ``at`` at or
+    above it that has the item, and its vector there."""
     levels = item_factors.select("item_id", "level")
-    # per (level asked, item): the deepest level at or above it that has the item
     deepest = levels.agg(F.max("level")).first()[0] or 0
     have = levels.groupBy("item_id").agg(F.collect_set("level").alias("have"))  # one entry a level
     best = have.select("item_id", F.explode(F.sequence(F.lit(0), F.lit(deepest))).alias("level"), "have").select(
         "item_id", "level", F.array_max(F.filter("have", lambda x: x <= F.col("level"))).alias("at")
     )
-    itf = best.filter("at is not null").join(
+    return best.filter("at is not null").join(
         item_factors.select("item_id", F.col("level").alias("at"), F.col("features").alias("v")), ["item_id", "at"]
     )
+
+
+def _ancestor(node, level, at):
+    return F.floor(node / F.pow(F.lit(3.0), level - at)).cast("int")
+
+
+def predict_pairs(pairs: DataFrame, node_factors: DataFrame, item_factors: DataFrame, n_nodes: int, rank: int = 10) -> DataFrame:
+    """Score (user, item) pairs with the factors of the user's own node, or where
+    the item has none at that level (users of a leaf leave the loop, so an item
+    may be rated above only), of the nearest ancestor whose level has the item.
+    An item of the root is known, so no pair is lost."""
+    j = salted_join(pairs, item_levels(item_factors), ["level", "item_id"], ["user_id"], array_items=rank)
+    return _with_node_vector(j, node_factors, n_nodes, rank).withColumn("prediction", dot_product("u", "v")).drop("u", "v", "at", "at_node")
+
+
+def _with_node_vector(rows: DataFrame, node_factors: DataFrame, n_nodes: int, rank: int) -> DataFrame:
+    """Adds ``u``: the vector of the node's ancestor at level ``at``."""
     nf = _bcast(node_factors.select(F.col("level").alias("at"), F.col("node").alias("at_node"), F.col("features").alias("u")), n_nodes, rank)
-    j = salted_join(pairs, itf, ["level", "item_id"], ["user_id"], array_items=rank)
-    up = F.floor(F.col("node") / F.pow(F.lit(3.0), F.col("level") - F.col("at"))).cast("int")
-    j = j.withColumn("at_node", up).join(nf, ["at", "at_node"])
-    return j.withColumn("prediction", dot_product("u", "v")).drop("u", "v", "at", "at_node")
+    return rows.withColumn("at_node", _ancestor(F.col("node"), F.col("level"), F.col("at"))).join(nf, ["at", "at_node"])
+
+
+NODE_BYTES = 64 << 20  # node vectors sent to the executors at a time
+SCORE_DIGITS = 6  # scores are ranked after rounding; equal ones go by item id
+
+
+def node_rankings(nodes: DataFrame, node_factors: DataFrame, item_factors: DataFrame, length: int, rank: int = 10, node_bytes: int = NODE_BYTES) -> DataFrame:
+    """(level, node, ranking array<struct<item_id, score>>): the ``length`` best items of
+    each of ``nodes`` (level, node), best first.
+
+    All users of a node share its vector, so an item is scored once a node. The
+    nodes, each with the vectors of its ancestors, are broadcast to the items in
+    blocks of ``node_bytes``; a partial top-k runs before the one shuffle by node."""
+    nodes = write_table(nodes.select("level", "node").distinct(), "ranked-nodes")
+    n_nodes, deepest = nodes.agg(F.count(F.lit(1)), F.coalesce(F.max("level"), F.lit(0))).first()
+    items = write_table(item_levels(item_factors), "item-levels")
+    blocks = max(1, -(-n_nodes * (deepest + 1) * (8 * rank + 64) // node_bytes))
+    above = nodes.withColumn("at", F.explode(F.sequence(F.lit(0), F.col("level"))))
+    above = above.withColumn("at_node", _ancestor(F.col("node"), F.col("level"), F.col("at"))).join(
+        node_factors.select(F.col("level").alias("at"), F.col("node").alias("at_node"), F.col("features").alias("u")), ["at", "at_node"]
+    )
+    above = write_table(above.select("level", "node", "at", "u"), "node-vectors")
+    best = Window.partitionBy("level", "node").orderBy(F.desc("score"), "item_id")
+    out = None
+    for block in range(blocks):
+        mine = above.filter(F.pmod(F.xxhash64("level", "node"), F.lit(blocks)) == block) if blocks > 1 else above
+        # a block has at most about node_bytes: counted above
+        scored = items.join(F.broadcast(mine), ["level", "at"]).select("level", "node", "item_id", F.round(dot_product("u", "v"), SCORE_DIGITS).alias("score"))
+        top = scored.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= length)
+        out = top if out is None else out.unionByName(top)
+    lists = out.groupBy("level", "node").agg(F.sort_array(F.collect_list(F.struct("place", "item_id", "score"))).alias("r"))  # ``length`` entries
+    return lists.select("level", "node", F.transform("r", lambda x: F.struct(x["item_id"].alias("item_id"), x["score"].alias("score"))).alias("ranking"))
+
+
+def predict_all_items(routed: DataFrame, node_factors: DataFrame, item_factors: DataFrame, n: int = 10, rank: int = 10, node_bytes: int = NODE_BYTES) -> DataFrame:
+    """(user_id, rank, item_id, score): for each routed user the ``n`` best of all known
+    items, but for those the user was asked about and answered.
+
+    No user is scored against the items: a user takes the first n entries of the
+    ranking of their node that they did not answer. They answered at most one item
+    a level, so rankings of n + depth entries hold enough. Users of one node are
+    spread over tasks however many they are."""
+    routed = write_table(routed.select("user_id", "level", "node", F.transform(F.filter("asked", lambda a: a["attitude"] != "U"), lambda a: a["item_id"]).alias("answered")), "routed")
+    most = routed.agg(F.coalesce(F.max(F.size("answered")), F.lit(0))).first()[0]
+    lists = write_table(node_rankings(routed, node_factors, item_factors, n + most, rank, node_bytes), "rankings")
+    rows = salted_join(routed, lists, ["level", "node"], ["user_id"], array_items=n + most)
+    kept = F.slice(F.filter("ranking", lambda x: ~F.array_contains("answered", x["item_id"])), 1, n)
+    return rows.select("user_id", F.posexplode(kept).alias("place", "x")).select("user_id", (F.col("place") + 1).alias("rank"), "x.item_id", "x.score")
 
 
 __all__ = [
@@ -161,6 +221,8 @@ __all__ = [
     "answered_items",
     "attitude_trace",
     "evaluation_pairs",
+    "node_rankings",
+    "predict_all_items",
     "predict_node_mean",
     "predict_pairs",
     "route_users",

@@ -16,10 +16,11 @@ from coldsplit import sources
 from coldsplit.functions import attitude_branch, attitude_letter, dot_product
 from coldsplit.operators import evaluate, prepare, stats
 from coldsplit.operators.factors import fit_levels, tune_levels
-from coldsplit.operators.recommend import als_baseline, recommend_items, recommend_users
+from coldsplit.operators.recommend import als_baseline, recommend_items, recommend_users, top_products
 from coldsplit.operators.route import (
     answered_items,
     evaluation_pairs,
+    predict_all_items,
     predict_node_mean,
     predict_pairs,
     route_answers,
@@ -727,6 +728,41 @@ def q_predict_pairs(spark, sf):
     return preds.select("user_id", "item_id", r6(F.col("prediction")).alias("prediction"))
 
 
+def _substitute_factors(spark, sf, t, train):
+    """(level, node) and (level, item) vectors from the embeddings; another one at
+    each level."""
+    emb, n = _emb(spark, sf)
+    nodes = t.nodes().select("level", "node")
+    node_f = nodes.join(_bcast(emb, n), ((F.col("node") + 7 * F.col("level")) % n) == F.col("vec_id")).select("level", "node", F.col("v").alias("features"))
+    items = prepare.rated_items(train).withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(t.levels))))
+    item_f = items.join(_bcast(emb, n), ((F.col("item_id") + 3 * F.col("level")) % n) == F.col("vec_id")).select("level", "item_id", F.col("v").alias("features"))
+    return node_f, item_f
+
+
+@query(
+    "predict_all_items",
+    with_(
+        ROUTE
+        + [
+            _EMB,
+            "ne AS (SELECT COUNT(*) AS n FROM emb)",
+            "scored AS (SELECT x.level, x.node, i.item_id, ROUND(list_dot_product(a.v, b.v), 6) AS score FROM (SELECT DISTINCT level, node FROM routed) x"
+            " JOIN emb a ON a.vec_id = (x.node + 7 * x.level) % (SELECT n FROM ne), (SELECT DISTINCT item_id FROM train) i"
+            " JOIN emb b ON b.vec_id = (i.item_id + 3 * x.level) % (SELECT n FROM ne))",
+        ],
+        "SELECT user_id, CAST(rank AS INT) AS rank, item_id, score FROM (SELECT r.user_id, s.item_id, s.score,"
+        " ROW_NUMBER() OVER (PARTITION BY r.user_id ORDER BY s.score DESC, s.item_id) AS rank FROM routed r"
+        " JOIN scored s ON s.level = r.level AND s.node = r.node"
+        " WHERE NOT EXISTS (SELECT 1 FROM answered a WHERE a.user_id = r.user_id AND a.item_id = s.item_id)) WHERE rank <= 10",
+    ),
+)
+def q_predict_all_items(spark, sf):
+    """The ten best items of every test user, from the ranking of their node."""
+    t, train, test = tree_for(spark, sf)
+    node_f, item_f = _substitute_factors(spark, sf, t, train)
+    return predict_all_items(route_users(t, test), node_f, item_f, 10, rank=64)
+
+
 @query(
     "dot_product",
     with_(
@@ -765,17 +801,62 @@ def q_regression_rmse(spark, sf):
     )
 
 
-@query("recommend_items")
+@query("recommend_items_als")
+def q_recommend_items_als(spark, sf):
+    model, _ = _baseline(spark, sf)
+    return recommend_items(model, 10).select("user_id", "rank", "item_id")
+
+
+@query("recommend_users_als")
+def q_recommend_users_als(spark, sf):
+    model, _ = _baseline(spark, sf)
+    return recommend_users(model, 10).select("item_id", "rank", "user_id")
+
+
+# Vectors of all users and items of the ratings: embeddings, longer for some ids
+# than for others, as popular items have longer factors. Whole numbers, so that
+# sums are exact in both engines.
+_VECTORS_SQL = [
+    _EMB,
+    "ne AS (SELECT COUNT(*) AS n FROM emb)",
+    "whole AS (SELECT vec_id, list_transform(v, lambda x: CAST(round(x * 1000) AS DOUBLE)) AS v FROM emb)",
+    "us AS (SELECT u.user_id, w.v FROM (SELECT DISTINCT user_id FROM ratings) u JOIN whole w ON w.vec_id = u.user_id % (SELECT n FROM ne))",
+    "its AS (SELECT i.item_id, list_transform(w.v, lambda x: x * (1 + i.item_id % 13)) AS v FROM (SELECT DISTINCT item_id FROM ratings) i"
+    " JOIN whole w ON w.vec_id = i.item_id % (SELECT n FROM ne))",
+    "pairs AS (SELECT us.user_id, its.item_id, CAST(list_dot_product(us.v, its.v) AS BIGINT) AS score FROM us, its)",
+]
+
+
+def _rating_vectors(spark, sf):
+    emb, n = _emb(spark, sf)
+    whole = emb.select("vec_id", F.transform("v", lambda x: F.round(x.cast("double") * 1000)).alias("w"))
+    r = fx.ratings(spark, sf, "supp")
+
+    def vectors(name, longer):
+        ids = r.select(name).distinct()
+        return ids.join(_bcast(whole, n), (F.col(name) % n) == F.col("vec_id")).select(name, F.transform("w", lambda x: x * longer).alias("features"))
+
+    return vectors("user_id", F.lit(1.0)), vectors("item_id", (1 + F.col("item_id") % 13).cast("double"))
+
+
+def _best_sql(key: str, other: str) -> str:
+    return with_(
+        SUPP + _VECTORS_SQL,
+        f"SELECT {key}, CAST(rank AS INT) AS rank, {other}, score FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY {key} ORDER BY score DESC, {other}) AS rank FROM pairs) WHERE rank <= 10",
+    )
+
+
+@query("recommend_items", _best_sql("user_id", "item_id"))
 def q_recommend_items(spark, sf):
-    # for the users of the test part
-    model, preds = _baseline(spark, sf)
-    return recommend_items(model, 10, preds).select("user_id", "rank", "item_id")
+    """The ten best items of every user by inner product, on substitute factors."""
+    users, items = _rating_vectors(spark, sf)
+    return top_products(users, items, 10).withColumn("score", F.col("score").cast("long"))
 
 
-@query("recommend_users")
+@query("recommend_users", _best_sql("item_id", "user_id"))
 def q_recommend_users(spark, sf):
-    model, preds = _baseline(spark, sf)
-    return recommend_users(model, 10, preds).select("item_id", "rank", "user_id")
+    users, items = _rating_vectors(spark, sf)
+    return top_products(items, users, 10).withColumn("score", F.col("score").cast("long"))
 
 
 @query(
