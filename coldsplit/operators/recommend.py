@@ -60,7 +60,8 @@ def _factors(table: DataFrame, name: str) -> DataFrame:
 
 # ------------------------------------------------ exact pruned inner products
 GROUP_BYTES = 64 << 20  # candidate vectors sent to the executors at a time
-BLOCK = 64  # candidates scored between two looks at the bounds
+BLOCK = 64  # candidates between two looks at the bounds
+QUERIES = 1024  # queries answered at a time: one bound for each of them and each block
 SLACK = 1e-9  # relative: bounds and scores are rounded sums of doubles
 
 
@@ -69,12 +70,17 @@ def top_products(queries: DataFrame, candidates: DataFrame, n: int = 10, group_b
     all pairs: (query id, rank, candidate id, score), ties to the smaller id.
 
     Both frames are (id, features). Candidates are put in the order of falling
-    norm. A query of norm q that knows n scores is done when q times the norm of
-    the next candidate is under the n-th of them: no later one can reach it
-    (Cauchy-Schwarz). Candidates go out in groups of ``group_bytes``, a broadcast
-    each; between groups the queries that are not done are written with what they
-    have found, so neither side is ever whole in one place, and most queries never
-    meet the later groups. Rows without id or vector take no part; vectors of all
+    norm and go out in groups of ``group_bytes``, a broadcast each. A query of norm q
+    that knows n scores is done when q times the norm of the next group is under
+    the n-th of them: no later candidate can reach it (Cauchy-Schwarz). Between
+    groups the queries are written with what they have found, so neither side is
+    ever whole in one place, and most queries never meet the later groups.
+
+    Inside a group the vectors are turned to the candidates' principal axes. For a
+    pair only the products of the leading half of the coordinates are summed; by
+    Cauchy-Schwarz the others add at most the product of the two remaining norms.
+    Pairs whose sum of both is under the n-th score are left there, the rest are
+    scored. Rows without id or vector take no part; vectors of all
     rows have one length.
     """
     found, _ = search_products(queries, candidates, n, group_bytes)
@@ -137,42 +143,55 @@ def _norm_parts(ordered: DataFrame, total: int, per_group: int) -> list[tuple[Da
 
 def _search_group(spark, state: DataFrame, group: DataFrame, n: int, below: float) -> DataFrame:
     rows = group.orderBy(F.desc("norm"), "c").toPandas()  # bounded by the group's bytes
-    width = len(rows["v"].iloc[0]) if len(rows) else 0
-    sent = spark.sparkContext.broadcast((rows["c"].to_numpy(np.int64), np.stack(rows["v"].to_list()) if width else np.empty((0, 0)), rows["norm"].to_numpy(np.float64)))
+    v = np.stack(rows["v"].to_list()) if len(rows) else np.empty((0, 1))
+    axes = np.linalg.eigh(v.T @ v)[1][:, ::-1]  # of falling weight
+    lead = axes[:, : -(-v.shape[1] // 2)]
+    rest = np.linalg.norm(v @ axes[:, lead.shape[1] :], axis=1)
+    sent = spark.sparkContext.broadcast((rows["c"].to_numpy(np.int64), v, rows["norm"].to_numpy(np.float64), axes, v @ lead, rest))
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        c, v, norm = sent.value
         for pdf in batches:
-            if not len(pdf):
-                continue
-            u = np.stack(pdf["u"].to_list()).astype(np.float64)
-            reach = np.sqrt((u * u).sum(axis=1)) * (1 + SLACK)
-            ids = np.full((len(u), n), NONE, np.int64)
-            best = np.full((len(u), n), -np.inf)
-            for i, (a, b) in enumerate(zip(pdf["ids"], pdf["scores"], strict=True)):
-                ids[i, : len(a)], best[i, : len(b)] = a, b
-            scored = pdf["n_scored"].to_numpy(np.int64).copy()
-            for at in range(0, len(c), BLOCK):
-                live = np.flatnonzero(reach * norm[at] >= best[:, -1])
-                if not len(live):
-                    break
-                score = u[live] @ v[at : at + BLOCK].T
-                scored[live] += score.shape[1]
-                both = np.concatenate([best[live], score], axis=1)
-                names = np.concatenate([ids[live], np.broadcast_to(c[at : at + BLOCK], score.shape)], axis=1)
-                order = np.lexsort((names, -both), axis=1)[:, :n]
-                best[live], ids[live] = np.take_along_axis(both, order, 1), np.take_along_axis(names, order, 1)
-            found = best > -np.inf
-            yield pd.DataFrame(
-                {
-                    "q": pdf["q"],
-                    "u": pdf["u"],
-                    "ids": [row[f] for row, f in zip(ids, found, strict=True)],
-                    "scores": [row[f] for row, f in zip(best, found, strict=True)],
-                    "n_scored": scored,
-                    "done": (reach * max(below, 0.0) < best[:, -1]) | (below < 0),
-                }
-            )
+            for at in range(0, len(pdf), QUERIES):
+                yield answers(pdf.iloc[at : at + QUERIES])
+
+    def answers(pdf: pd.DataFrame) -> pd.DataFrame:
+        c, v, norm, axes, lead, rest = sent.value
+        u = np.stack(pdf["u"].to_list()).astype(np.float64)
+        reach = np.sqrt((u * u).sum(axis=1)) * (1 + SLACK)
+        ids = np.full((len(u), n), NONE, np.int64)
+        best = np.full((len(u), n), -np.inf)
+        for i, (a, b) in enumerate(zip(pdf["ids"], pdf["scores"], strict=True)):
+            ids[i, : len(a)], best[i, : len(b)] = a, b
+        scored = pdf["n_scored"].to_numpy(np.int64).copy()
+        if len(c):
+            turned = u @ axes
+            u_lead, u_rest = turned[:, : lead.shape[1]], np.linalg.norm(turned[:, lead.shape[1] :], axis=1)
+        for at in range(0, len(c), BLOCK):
+            block = slice(at, at + BLOCK)
+            live = np.flatnonzero(reach * norm[at] >= best[:, -1])
+            if not len(live):
+                break
+            most = u_lead[live] @ lead[block].T + u_rest[live, None] * rest[block] + SLACK * reach[live, None] * norm[block]
+            open_ = most >= best[live, -1:]
+            i, j = np.nonzero(open_)
+            score = np.full(open_.shape, -np.inf)
+            score[i, j] = np.einsum("ij,ij->i", u[live[i]], v[block][j])
+            scored[live] += open_.sum(axis=1)
+            both = np.concatenate([best[live], score], axis=1)
+            names = np.concatenate([ids[live], np.where(open_, c[block], NONE)], axis=1)
+            order = np.lexsort((names, -both), axis=1)[:, :n]
+            best[live], ids[live] = np.take_along_axis(both, order, 1), np.take_along_axis(names, order, 1)
+        found = best > -np.inf
+        return pd.DataFrame(
+            {
+                "q": pdf["q"],
+                "u": pdf["u"],
+                "ids": [row[f] for row, f in zip(ids, found, strict=True)],
+                "scores": [row[f] for row, f in zip(best, found, strict=True)],
+                "n_scored": scored,
+                "done": (reach * max(below, 0.0) < best[:, -1]) | (below < 0),
+            }
+        )
 
     return state.mapInPandas(search, "q long, u array<double>, ids array<long>, scores array<double>, n_scored long, done boolean")
 

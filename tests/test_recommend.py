@@ -19,7 +19,7 @@ def brute(q, c, n):
 @pytest.mark.parametrize("group_bytes", [R.GROUP_BYTES, 3000, 1])
 def test_pruned_search_is_exact(spark, monkeypatch, group_bytes):
     """Groups of one range, of some rows, and of a row each; ties and equal norms."""
-    monkeypatch.setattr(R, "BLOCK", 16)
+    monkeypatch.setattr(R, "BLOCK", 8)
     rng = np.random.default_rng(4)
     n = 40 if group_bytes == 1 else 300
     c = [(j, (rng.integers(-3, 4, 5) * (1.0 + 40 // (1 + j % 50))).tolist()) for j in range(n)]
