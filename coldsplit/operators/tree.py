@@ -6,14 +6,24 @@ few counts reach the driver.
 
 Data layout (the reason the level loop shuffles little):
 
-* ``E``  residual ratings ``(user_id, salt, item_id, rating, e, nsalt)``,
-  hash-partitioned by ``(user_id, salt)`` and checkpointed once. ``salt``
-  spreads the ratings of a heavy user over ``nsalt`` buckets
-  (``nsalt = ceil(n_ratings / salt_rows)``, 1 for ordinary users), so a user
-  holding a third of all rows is still cut into bounded tasks.
+* ``E``  one row per ``(user_id, salt)``: the user's items, ratings, residuals,
+  and the ids of liked and of disliked items as arrays, bucketed by ``(user_id,
+  salt)`` and written once. ``salt`` spreads the ratings of a heavy user over
+  ``nsalt`` rows (``nsalt = ceil(n_ratings / salt_rows)``, 1 for ordinary users),
+  so no array outgrows ``salt_rows`` and a user holding a third of all rows is
+  still cut into bounded tasks.
 * ``A``  salted assignment ``(user_id, salt, node)``: one row per user and
-  salt bucket, partitioned like ``E``. ``E JOIN A`` is a shuffle-free,
-  hash-build join every level.
+  salt, bucketed like ``E``. ``E JOIN A`` is a shuffle-free join every level.
+
+A level reads the ratings once: a row's liked and disliked items are intersected
+with the candidates of its node, and each hit meets the row's own items, so the
+co-rating join needs no second scan and no shuffle but for the rows of heavy
+users. Item totals of the children come from the totals of the parent and the
+sums of the chosen candidate (unknown = parent - like - dislike); the answers
+that move users down read the two id columns only.
+
+Sums are order-free: residuals and gains are whole multiples of ``1 / SCALE``,
+added as integers, so a split does not depend on partitions or retries.
 
 Split score (sparse form). For node t with per-item totals ``ts_i, tn_i`` and
 for a candidate c that splits the raters of c into like/dislike groups with
@@ -34,8 +44,9 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from coldsplit.functions import DISLIKE, LIKE, attitude_branch
+from coldsplit.functions import DISLIKE, LIKE, UNKNOWN, attitude_branch
 from coldsplit.session import (
+    Scratch,
     bounded_broadcast,
     bucket_count,
     ensure_checkpoint_dir,
@@ -47,6 +58,8 @@ from coldsplit.session import (
 )
 
 EPS = 1e-9  # fixed value: denominator guard of the split error
+SCALE = 2.0**40  # residuals, squares and gains are summed as whole multiples of 1 / SCALE
+LONG_MAX = 2**62
 GAIN_FORMAT = "%.8e"  # ties of the split score are broken after rounding to 9 significant digits
 DEFAULT_SALT_ROWS = 200_000
 SPLIT_SCHEMA = "level int, node int, item_id int, error double, gain double, n_users bigint, popularity bigint"
@@ -59,7 +72,7 @@ class InterviewTree:
     splits: DataFrame  # level, node, item_id, error, gain, n_users, popularity
     assignment: DataFrame  # level, node, user_id
     bias: DataFrame  # user_id, bias, n, nsalt
-    residuals: DataFrame  # user_id, salt, item_id, rating, e, nsalt
+    user_rows: DataFrame  # user_id, salt, nsalt, bias, items, ratings, residuals, square, likes, dislikes
     salted_assignment: DataFrame  # level, user_id, salt, node
     salted_by_level: list  # per level: bucketed (user_id, salt, node)
     mean: float
@@ -69,6 +82,11 @@ class InterviewTree:
     node_table: DataFrame | None = None  # level, node, n_users: written when first asked for
     tables: set = field(default_factory=set)  # scratch tables behind the frames above
 
+    @property
+    def residuals(self) -> DataFrame:
+        """(user_id, salt, item_id, rating, e, nsalt): one row per rating."""
+        return rating_rows(self.user_rows).select("user_id", "salt", "item_id", "rating", "e", "nsalt")
+
     def nodes(self) -> DataFrame:
         """(level, node, n_users): one row per node that has training users."""
         if self.node_table is None:
@@ -100,6 +118,11 @@ _bcast = bounded_broadcast
 
 
 def prepare_residuals(ratings: DataFrame, lam: float = 7.0, salt_rows: int = DEFAULT_SALT_ROWS):
+    """(user rows, bias, mean, buckets): see :func:`_prepare`."""
+    return _prepare(ratings, lam, salt_rows)[:4]
+
+
+def _prepare(ratings: DataFrame, lam: float, salt_rows: int):
     """Bias per user and salted residuals, materialised once.
 
     One pass over the source builds the per-user sums (partial aggregation,
@@ -119,12 +142,12 @@ def prepare_residuals(ratings: DataFrame, lam: float = 7.0, salt_rows: int = DEF
     # the source is scanned twice (per-user sums, then the salted residuals): pass
     # a table, not a plan that is dear to repeat
     per_user = materialize(
-        r.groupBy("user_id").agg(F.sum("rating").alias("s"), F.count(F.lit(1)).alias("n"))
+        r.groupBy("user_id").agg(F.sum("rating").alias("s"), F.count(F.lit(1)).alias("n"), F.max(F.abs("rating")).alias("most"))
     )
     # one small job: global mean and the number of heavy users (the bound
     # that decides whether their salt table may be broadcast)
     tot = per_user.agg(
-        F.sum("s"), F.sum("n"), F.count_if(F.col("n") > F.lit(salt_rows))
+        F.sum("s"), F.sum("n"), F.count_if(F.col("n") > F.lit(salt_rows)), F.max("most")
     ).first()
     if not tot[1]:
         raise ValueError("no ratings")
@@ -140,22 +163,53 @@ def prepare_residuals(ratings: DataFrame, lam: float = 7.0, salt_rows: int = DEF
     heavy = bias.filter(F.col("nsalt") > 1).select("user_id", F.col("nsalt").alias("hs"))
     salted_r = r.join(_bcast(heavy, n_heavy), "user_id", "left").select(
         "user_id",
-        "item_id",
-        "rating",
         F.pmod(F.xxhash64("item_id"), F.coalesce(F.col("hs"), F.lit(1))).cast("int").alias("salt"),
+        F.struct("item_id", "rating").alias("cell"),
     )
     bias_salted = bias.select(
         "user_id", "bias", "nsalt", F.explode(F.sequence(F.lit(0), F.col("nsalt") - 1)).alias("salt")
     )
-    e = salted_r.join(bias_salted, ["user_id", "salt"]).select(
+    # at most about salt_rows cells in an array
+    rows = salted_r.groupBy("user_id", "salt").agg(F.sort_array(F.collect_list("cell")).alias("cells"))
+    whole = F.transform("cells", lambda c: F.round((c["rating"] - F.col("bias")) * SCALE).cast("long"))
+    e = rows.join(bias_salted, ["user_id", "salt"]).select("user_id", "salt", "nsalt", "bias", "cells", whole.alias("residuals")).select(
         "user_id",
         "salt",
-        "item_id",
-        "rating",
-        (F.col("rating") - F.col("bias")).alias("e"),
         "nsalt",
+        "bias",
+        F.transform("cells", lambda c: c["item_id"]).alias("items"),
+        F.transform("cells", lambda c: c["rating"]).alias("ratings"),
+        "residuals",
+        F.aggregate("residuals", F.lit(0).cast("decimal(38,0)"), lambda t, x: (t + _whole(_real(x) * _real(x))).cast("decimal(38,0)")).alias("square"),
+        *[
+            F.transform(F.filter("cells", lambda c: attitude_branch(c["rating"]) == branch), lambda c: c["item_id"]).alias(name)
+            for branch, name in ((LIKE, "likes"), (DISLIKE, "dislikes"))
+        ],
+    )
+    return write_bucketed(e, "residuals", ["user_id", "salt"], p), bias, mean, p, n_heavy > 0, tot[3]
+
+
+def _whole(x):
+    """A double as a whole multiple of 1 / SCALE: sums of these are exact."""
+    return F.round(x * F.lit(SCALE)).cast("decimal(38,0)")
+
+
+def _real(x):
+    return x.cast("double") / F.lit(SCALE)
+
+
+def rating_rows(rows: DataFrame) -> DataFrame:
+    """One row per rating of ``rows`` (user rows, maybe with a node): item_id, rating,
+    e, and the residual as a whole number ``q``."""
+    keep = [c for c in rows.columns if c in ("user_id", "salt", "nsalt", "node", "level")]
+    cells = rows.select(*keep, "bias", F.explode(F.arrays_zip("items", "ratings", "residuals")).alias("c"))
+    return cells.select(
+        *keep,
+        F.col("c.items").alias("item_id"),
+        F.col("c.ratings").alias("rating"),
+        (F.col("c.ratings") - F.col("bias")).alias("e"),
+        F.col("c.residuals").alias("q"),
     )
-    return write_bucketed(e, "residuals", ["user_id", "salt"], p), bias, mean, p
 
 
 def _salted_root(bias: DataFrame, p: int) -> DataFrame:
@@ -169,14 +223,27 @@ def _salted_root(bias: DataFrame, p: int) -> DataFrame:
 
 
 def node_item_totals(ea: DataFrame) -> DataFrame:
-    """(node, item_id, ts, s2, tn) over the residuals of the node's users."""
+    """(node, item_id, ts, s2, tn) over the residuals of the node's users; sums whole."""
     return ea.groupBy("node", "item_id").agg(
-        F.sum("e").alias("ts"),
-        F.sum(F.col("e") * F.col("e")).alias("s2"),
+        F.sum(F.col("q").cast("decimal(18,0)")).cast("decimal(38,0)").alias("ts"),
+        F.sum(_whole(_real(F.col("q")) * _real(F.col("q")))).cast("decimal(38,0)").alias("s2"),
         F.count(F.lit(1)).alias("tn"),
     )
 
 
+def child_totals(totals: DataFrame, sums: DataFrame, splits: DataFrame, n_splits: int) -> DataFrame:
+    """Totals (node, item_id, ts, tn) of the children of the split nodes, without reading
+    a rating: like and dislike are the sums of the chosen candidate, unknown is what
+    they leave of the parent."""
+    s = _bcast(splits.select("node", F.col("item_id").alias("cand")), n_splits)
+    chosen = sums.join(s, ["node", "cand"]).drop("cand")
+    j = totals.select("node", "item_id", "ts", "tn").join(_bcast(splits.select("node"), n_splits), "node", "left_semi").join(chosen, ["node", "item_id"], "left")
+    sl, nl, sd, nd = (F.coalesce(F.col(c), F.lit(0).cast(t)) for c, t in (("sL", "decimal(38,0)"), ("nL", "long"), ("sD", "decimal(38,0)"), ("nD", "long")))
+    parts = [(LIKE, sl, nl), (DISLIKE, sd, nd), (UNKNOWN, F.col("ts") - sl - sd, F.col("tn") - nl - nd)]
+    child = F.explode(F.array(*[F.struct((F.col("node") * 3 + b).cast("int").alias("node"), ts.cast("decimal(38,0)").alias("ts"), tn.alias("tn")) for b, ts, tn in parts]))
+    return j.select("item_id", child.alias("c")).select("c.node", "item_id", "c.ts", "c.tn").filter("tn > 0")
+
+
 def topk_candidates(totals: DataFrame, k: int, order: str = "most") -> DataFrame:
     """K most (or least) rated items per node; ties by item id.
 
@@ -200,80 +267,92 @@ def exclude_chosen(cands: DataFrame, paths: DataFrame | None) -> DataFrame:
     return cands.join(paths, ["node", "item_id"], "left_anti")
 
 
-def branch_stats(ea: DataFrame, cands: DataFrame, cand_bound: int, score_items: str = "all") -> DataFrame:
-    """Per (node, cand, item): like/dislike sums and counts of co-raters.
+def branch_sums(rows: DataFrame, cands: DataFrame, n_nodes: int, k: int, score_items: str = "all", heavy: bool = True, wide: bool = True) -> DataFrame:
+    """Per (node, cand, item): whole sums and counts of the co-raters that like or
+    dislike the candidate.
 
-    The one heavy join: every rating of every user in the node who rated the
-    candidate. Both sides are keyed by (user_id, salt); the candidate side has
-    at most K rows per user and is replicated over the user's salt buckets.
+    The one heavy step: every rating of every user in the node who rated the
+    candidate. A row finds its own hits among the candidates of its node (at most K,
+    broadcast), and pairs them with its own items. Only hits of heavy users
+    (``heavy``) go by shuffle to the user's other rows. ``wide`` sums decimals, where
+    the ratings of an item are too many for long sums.
     """
-    c = _bcast(cands.select(F.col("node").alias("c_node"), F.col("item_id").alias("cand")), cand_bound)
-    asked = (
-        ea.join(c, (F.col("node") == F.col("c_node")) & (F.col("item_id") == F.col("cand")))
-        .select(
-            "user_id",
-            "node",
-            "cand",
-            attitude_branch(F.col("rating")).alias("branch"),
-            "nsalt",
-        )
-        .filter(F.col("branch") != 2)
-        .select(
-            "user_id",
-            F.explode(F.sequence(F.lit(0), F.col("nsalt") - 1)).alias("salt"),
-            "node",
-            "cand",
-            "branch",
-        )
-    )
-    right = ea.select("user_id", "salt", "node", "item_id", "e")
+    lists = cands.groupBy("node").agg(F.sort_array(F.collect_list("item_id")).alias("cands"))  # K items
+    r = rows.join(_bcast(lists, n_nodes, k), "node")
+
+    def hits(name, branch):
+        return F.transform(F.array_intersect(name, "cands"), lambda x: F.struct(x.alias("cand"), F.lit(branch).alias("branch")))
+
+    cells = F.arrays_zip("items", "residuals")
     if score_items == "candidates":
-        right = right.join(
-            _bcast(cands.select("node", "item_id"), cand_bound), ["node", "item_id"], "left_semi"
-        )
-    # a user sits in one node per level, so (user_id, salt) is the whole key;
-    # it equals the bucketing of the right side, which therefore stays put
-    right = right.drop("node")
-    like = F.col("branch") == LIKE
-    dis = F.col("branch") == DISLIKE
-    return (
-        asked.hint("shuffle_hash").join(right, ["user_id", "salt"])
-        .groupBy("node", "cand", "item_id")
-        .agg(
-            F.sum(F.when(like, F.col("e")).otherwise(0.0)).alias("sL"),
-            F.sum(F.when(like, 1).otherwise(0)).cast("long").alias("nL"),
-            F.sum(F.when(dis, F.col("e")).otherwise(0.0)).alias("sD"),
-            F.sum(F.when(dis, 1).otherwise(0)).cast("long").alias("nD"),
+        cells = F.filter(cells, lambda c: F.array_contains("cands", c["items"]))
+    r = r.select("user_id", "salt", "nsalt", "node", cells.alias("cells"), F.concat(hits("likes", LIKE), hits("dislikes", DISLIKE)).alias("hits"))
+    own = (r.filter("nsalt = 1") if heavy else r).filter("size(hits) > 0").select("node", "cells", F.explode("hits").alias("h"))
+    own = own.select("node", "h.cand", "h.branch", "cells")
+    if heavy:
+        many = r.filter("nsalt > 1")
+        asked = many.select("user_id", "node", "nsalt", F.explode("hits").alias("h")).select(
+            "user_id", "node", "h.cand", "h.branch", F.explode(F.sequence(F.lit(0), F.col("nsalt") - 1)).alias("salt")
         )
+        met = asked.hint("shuffle_hash").join(many.select("user_id", "salt", "cells"), ["user_id", "salt"])
+        own = own.unionByName(met.select("node", "cand", "branch", "cells"))
+    pairs = own.select("node", "cand", "branch", F.explode("cells").alias("c")).select(
+        "node", "cand", "branch", F.col("c.items").alias("item_id"), F.col("c.residuals").alias("q")
+    )
+    like, dis = F.col("branch") == LIKE, F.col("branch") == DISLIKE
+    q = F.col("q").cast("decimal(18,0)") if wide else F.col("q")
+    zero = F.lit(0).cast("decimal(18,0)") if wide else F.lit(0).cast("long")
+    return pairs.groupBy("node", "cand", "item_id").agg(
+        F.sum(F.when(like, q).otherwise(zero)).cast("decimal(38,0)").alias("sL"),
+        F.count_if(like).alias("nL"),
+        F.sum(F.when(dis, q).otherwise(zero)).cast("decimal(38,0)").alias("sD"),
+        F.count_if(dis).alias("nD"),
     )
 
 
-def node_base(totals: DataFrame) -> DataFrame:
-    return totals.groupBy("node").agg(
-        F.sum(F.col("s2") - F.col("ts") * F.col("ts") / (F.col("tn") + F.lit(EPS))).alias("base")
-    )
+def branch_stats(sums: DataFrame) -> DataFrame:
+    """:func:`branch_sums` in the unit of the ratings."""
+    return sums.withColumns({"sL": _real(F.col("sL")), "sD": _real(F.col("sD"))})
+
+
+def _square(s, n):
+    return _real(s) * _real(s) / (n + F.lit(EPS))
+
+
+def node_base(rows: DataFrame, totals: DataFrame) -> DataFrame:
+    """(node, base): the squares of the users' residuals less what the items' means
+    explain, as a whole number."""
+    squares = rows.groupBy("node").agg(F.sum("square").cast("decimal(38,0)").alias("s2"))
+    means = totals.groupBy("node").agg(F.sum(_whole(_square(F.col("ts"), F.col("tn")))).cast("decimal(38,0)").alias("explained"))
+    return squares.join(means, "node").select("node", (F.col("s2") - F.col("explained")).cast("decimal(38,0)").alias("base"))
 
 
-def split_gain(branches: DataFrame, totals: DataFrame, totals_rows: int | None = None) -> DataFrame:
-    """gain(node, cand) = sum over co-rated items of the variance reduction.
+def candidate_base(totals: DataFrame, cands: DataFrame, cand_bound: int) -> DataFrame:
+    """(node, base) over the candidate items only; ``totals`` with ``s2``."""
+    own = totals.join(_bcast(cands.select("node", "item_id"), cand_bound), ["node", "item_id"], "left_semi")
+    return own.groupBy("node").agg(F.sum((F.col("s2") - _whole(_square(F.col("ts"), F.col("tn")))).cast("decimal(38,0)")).cast("decimal(38,0)").alias("base"))
+
+
+def split_gain(sums: DataFrame, totals: DataFrame, totals_rows: int | None = None) -> DataFrame:
+    """gain(node, cand) = sum over co-rated items of the variance reduction, a whole
+    number.
 
     With a counted, small ``totals`` (one row per rated (node, item)) the
     join is a broadcast and the branch sums are not shuffled a second time.
     """
-    sq = lambda s, n: s * s / (n + F.lit(EPS))
     t = totals.select("node", "item_id", "ts", "tn")
     if totals_rows is not None:
         t = _bcast(t, totals_rows)
-    j = branches.join(t, ["node", "item_id"])
+    j = sums.join(t, ["node", "item_id"])
     s_u = F.col("ts") - F.col("sL") - F.col("sD")
     n_u = F.col("tn") - F.col("nL") - F.col("nD")
     term = (
-        sq(F.col("sL"), F.col("nL"))
-        + sq(F.col("sD"), F.col("nD"))
-        + sq(s_u, n_u)
-        - sq(F.col("ts"), F.col("tn"))
+        _square(F.col("sL"), F.col("nL"))
+        + _square(F.col("sD"), F.col("nD"))
+        + _square(s_u, n_u)
+        - _square(F.col("ts"), F.col("tn"))
     )
-    return j.groupBy("node", "cand").agg(F.sum(term).alias("gain"))
+    return j.groupBy("node", "cand").agg(F.sum(_whole(term)).cast("decimal(38,0)").alias("gain"))
 
 
 def best_split(scored: DataFrame, order: str = "most") -> DataFrame:
@@ -285,72 +364,44 @@ def best_split(scored: DataFrame, order: str = "most") -> DataFrame:
     return scored.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") == 1).drop("rn")
 
 
-def partition_nodes(
-    salted: DataFrame, ea: DataFrame, splits: DataFrame, n_splits: int, p: int
-) -> DataFrame:
-    """Children assignment: like -> 3p, dislike -> 3p+1, unknown -> 3p+2.
+def partition_nodes(rows: DataFrame, splits: DataFrame, n_splits: int, heavy: bool = True) -> DataFrame:
+    """Children assignment: like -> 3p, dislike -> 3p+1, unknown -> 3p+2. Reads the
+    ids of liked and disliked items only.
 
     Users of nodes without a split (leaves) leave the loop.
     """
-    s = _bcast(splits.select(F.col("node").alias("s_node"), F.col("item_id").alias("split_item")), n_splits)
-    answers = ea.join(s, (F.col("node") == F.col("s_node")) & (F.col("item_id") == F.col("split_item"))).select(
-        "user_id", F.col("rating").alias("answer")
-    )
-    live = salted.join(_bcast(splits.select("node"), n_splits), "node", "left_semi")
-    return (
-        live.join(answers, "user_id", "left")
-        .select(
-            "user_id",
-            "salt",
-            (F.col("node") * 3 + attitude_branch(F.col("answer"))).cast("int").alias("node"),
-        )
-    )
+    s = _bcast(splits.select("node", F.col("item_id").alias("asked")), n_splits)
+    answer = F.when(F.array_contains("likes", F.col("asked")), LIKE).when(F.array_contains("dislikes", F.col("asked")), DISLIKE).otherwise(UNKNOWN)
+    live = rows.select("user_id", "salt", "nsalt", "node", "likes", "dislikes").join(s, "node").select("user_id", "salt", "nsalt", "node", answer.alias("answer"))
+    moved = live.filter("nsalt = 1") if heavy else live
+    if heavy:  # the answer lies in one of the user's rows
+        many = live.filter("nsalt > 1")
+        found = many.groupBy("user_id").agg(F.min("answer").alias("answer"))
+        moved = moved.unionByName(many.drop("answer").join(found, "user_id"))
+    return moved.select("user_id", "salt", (F.col("node") * 3 + F.col("answer")).cast("int").alias("node"))
 
 
-def score_level(
-    e: DataFrame,
-    salted: DataFrame,
-    paths: DataFrame | None,
-    cand_bound: int,
-    k: int,
-    order: str = "most",
-    score_items: str = "all",
-    persist: bool = False,
-) -> dict[str, DataFrame]:
-    """All per-level frames of the split search for the nodes in ``salted``."""
-    ea = e.join(salted.select("user_id", "salt", "node").hint("shuffle_hash"), ["user_id", "salt"])
-    # read several times per level, each time by a shuffle-free join of two
-    # bucketed tables: only the aggregated totals are kept
-    totals = node_item_totals(ea)
-    if persist:
-        totals = totals.persist()
-    cands = exclude_chosen(topk_candidates(totals, k, order), paths)
-    if persist:
-        # small (<= k rows per node); recomputable from persisted totals
-        cands = cands.persist()
-    branches = branch_stats(ea, cands, cand_bound, score_items)
-    if score_items == "candidates":
-        base_src = totals.join(
-            _bcast(cands.select("node", "item_id"), cand_bound), ["node", "item_id"], "left_semi"
-        )
-    else:
-        base_src = totals
-    sizes = salted.filter(F.col("salt") == 0).groupBy("node").agg(F.count(F.lit(1)).alias("n_users"))
-    node_bound = max(1, cand_bound // max(k, 1))  # nodes in this level
+def level_rows(e: DataFrame, salted: DataFrame) -> DataFrame:
+    """The user rows of a level with their node: a join of two bucketed tables."""
+    return e.join(salted.select("user_id", "salt", "node").hint("shuffle_hash"), ["user_id", "salt"])
+
+
+def score_level(rows: DataFrame, totals: DataFrame, sums: DataFrame, cands: DataFrame, cand_bound: int, node_bound: int, order: str, base: DataFrame, totals_rows: int | None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(scored, best, sizes) of the split search for the nodes in ``rows``."""
+    sizes = rows.filter(F.col("salt") == 0).groupBy("node").agg(F.count(F.lit(1)).alias("n_users"))
     scored = (
-        split_gain(branches, totals, totals.count() if persist else None)
+        split_gain(sums, totals, totals_rows)
         .join(_bcast(cands.withColumnRenamed("item_id", "cand"), cand_bound), ["node", "cand"])
-        .join(_bcast(node_base(base_src), node_bound), "node")
+        .join(_bcast(base, node_bound), "node")
         .select(
             "node",
             F.col("cand").alias("item_id"),
-            (F.col("base") - F.col("gain")).alias("error"),
-            "gain",
+            _real(F.col("base") - F.col("gain")).alias("error"),
+            _real(F.col("gain")).alias("gain"),
             "popularity",
         )
     )
-    best = best_split(scored, order).join(_bcast(sizes, node_bound), "node")
-    return dict(ea=ea, totals=totals, cands=cands, branches=branches, scored=scored, best=best, sizes=sizes)
+    return scored, best_split(scored, order).join(_bcast(sizes, node_bound), "node"), sizes
 
 
 def tree_paths(tree: "InterviewTree", level: int) -> DataFrame | None:
@@ -371,19 +422,20 @@ def tree_paths(tree: "InterviewTree", level: int) -> DataFrame | None:
 
 
 def level_frames(tree: "InterviewTree", level: int) -> dict[str, DataFrame]:
-    """Recompute the split-search frames of one level of a built tree."""
-    salted = tree.salted_by_level[level]
+    """Recompute the split-search frames of one level of a built tree, all from the
+    ratings."""
     prm = tree.params
-    n_nodes = 1 if level == 0 else 3 * tree.split_bound(level - 1)
-    return score_level(
-        tree.residuals,
-        salted,
-        tree_paths(tree, level),
-        prm["k"] * max(n_nodes, 1),
-        prm["k"],
-        prm["order"],
-        prm["score_items"],
-    )
+    rows = level_rows(tree.user_rows, tree.salted_by_level[level])
+    n_nodes = max(1 if level == 0 else 3 * tree.split_bound(level - 1), 1)
+    bound = prm["k"] * n_nodes
+    ea = rating_rows(rows)
+    totals = node_item_totals(ea)
+    cands = exclude_chosen(topk_candidates(totals, prm["k"], prm["order"]), tree_paths(tree, level))
+    sums = branch_sums(rows, cands, n_nodes, prm["k"], prm["score_items"])
+    base = candidate_base(totals, cands, bound) if prm["score_items"] == "candidates" else node_base(rows, totals)
+    scored, best, sizes = score_level(rows, totals, sums, cands, bound, n_nodes, prm["order"], base, None)
+    real = totals.withColumns({"ts": _real(F.col("ts")), "s2": _real(F.col("s2"))})
+    return dict(ea=ea, totals=real, cands=cands, branches=branch_stats(sums), scored=scored, best=best, sizes=sizes)
 
 
 def _paths_below(split_levels: list[DataFrame], counts: list[int], level: int) -> DataFrame:
@@ -424,7 +476,7 @@ def build_tree(
         raise ValueError("score_items must be 'all' or 'candidates'")
     spark = ratings.sparkSession
     before = scratch_tables()
-    e, bias, mean, p = prepare_residuals(ratings, lam, salt_rows)
+    e, bias, mean, p, heavy, largest = _prepare(ratings, lam, salt_rows)
     salted = write_bucketed(_salted_root(bias, p), "assign0", ["user_id", "salt"], p)
     by_level = [salted]
     salted_levels = [salted.withColumn("level", F.lit(0))]
@@ -433,31 +485,43 @@ def build_tree(
     paths: DataFrame | None = None
     nodes_bound = 1
     built = 0
-    for level in range(depth):
-        frames = score_level(e, salted, paths, k * nodes_bound, k, order, score_items, persist=True)
-        ea = frames["ea"]
-        splits = frames["best"].select(
-            F.lit(level).alias("level"), "node", "item_id", "error", "gain", "n_users", "popularity"
-        )
-        # at most one row per node: cut lineage by bringing the split table to
-        # the driver and back as a local relation (no checkpoint files)
-        rows = splits.collect()
-        frames["totals"].unpersist()
-        frames["cands"].unpersist()
-        n_splits = len(rows)
-        splits = spark.createDataFrame(rows, SPLIT_SCHEMA)
-        if n_splits == 0:
-            break
-        split_levels.append(splits)
-        built = level + 1
-        salted = write_bucketed(
-            partition_nodes(salted, ea, splits, n_splits, p), f"assign{level + 1}", ["user_id", "salt"], p
-        )
-        by_level.append(salted)
-        salted_levels.append(salted.withColumn("level", F.lit(level + 1)))
-        split_counts.append(n_splits)
-        paths = _paths_below(split_levels, split_counts, level + 1)
-        nodes_bound = 3 * n_splits
+    with Scratch(spark) as tmp:
+        totals, wide = None, True
+        for level in range(depth):
+            rows = level_rows(e, salted)
+            bound = k * nodes_bound
+            if totals is None or score_items == "candidates":
+                totals = tmp.write(node_item_totals(rating_rows(rows)), "totals")
+            n_totals, most = totals.agg(F.count(F.lit(1)), F.max("tn")).first()
+            if level == 0:  # no sum has more terms than the root's busiest item
+                wide = most * 2 * largest * SCALE >= LONG_MAX
+            cands = tmp.write(exclude_chosen(topk_candidates(totals, k, order), paths), "candidates")
+            sums = tmp.write(branch_sums(rows, cands, nodes_bound, k, score_items, heavy, wide), "branches")
+            base = candidate_base(totals, cands, bound) if score_items == "candidates" else node_base(rows, totals)
+            _, best, _ = score_level(rows, totals, sums, cands, bound, nodes_bound, order, base, n_totals)
+            splits = best.select(
+                F.lit(level).alias("level"), "node", "item_id", "error", "gain", "n_users", "popularity"
+            )
+            # at most one row per node: cut lineage by bringing the split table to
+            # the driver and back as a local relation (no checkpoint files)
+            found = splits.collect()
+            n_splits = len(found)
+            splits = spark.createDataFrame(found, SPLIT_SCHEMA)
+            if n_splits == 0:
+                break
+            split_levels.append(splits)
+            built = level + 1
+            salted = write_bucketed(partition_nodes(rows, splits, n_splits, heavy), f"assign{level + 1}", ["user_id", "salt"], p)
+            by_level.append(salted)
+            salted_levels.append(salted.withColumn("level", F.lit(level + 1)))
+            split_counts.append(n_splits)
+            if level + 1 < depth and score_items == "all":
+                parent, totals = totals, tmp.write(child_totals(totals, sums, splits, n_splits), "totals")
+                tmp.drop(parent)
+            tmp.drop(sums)
+            tmp.drop(cands)
+            paths = _paths_below(split_levels, split_counts, level + 1)
+            nodes_bound = 3 * n_splits
 
     schema = SPLIT_SCHEMA
     if split_levels:
@@ -475,7 +539,7 @@ def build_tree(
         splits=all_splits,
         assignment=assignment,
         bias=bias,
-        residuals=e,
+        user_rows=e,
         salted_assignment=salted_all,
         salted_by_level=by_level,
         mean=mean,

@@ -165,6 +165,20 @@ def q_build_tree_part(spark, sf):
     return t.splits.select("level", "node", "item_id", r4(F.col("error")).alias("error"), "n_users", "popularity")
 
 
+DEEP = 7  # fixed value: depth of the published new-user runs
+
+
+@query(
+    "build_tree_deep",
+    with_(tree_ctes("part", DEEP, K), "SELECT level, node, item_id, ROUND(error, 4) AS error, n_users, popularity FROM splits"),
+)
+def q_build_tree_deep(spark, sf):
+    """Seven levels on sparse ratings: most users are unknown to most questions, and
+    small nodes run out of candidates."""
+    t, _, _ = tree_for(spark, sf, which="part", depth=DEEP)
+    return t.splits.select("level", "node", "item_id", r4(F.col("error")).alias("error"), "n_users", "popularity")
+
+
 @query(
     "candidate_scope_error",
     with_(

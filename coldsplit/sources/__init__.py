@@ -184,7 +184,7 @@ def save_tree(tree, path: str) -> None:
             "node": tree.nodes(),
             "node_assignment": tree.salted_assignment,
             "user_bias": tree.bias,
-            "residual": tree.residuals,
+            "residual": tree.user_rows,
             "meta": meta,
         },
         path,
@@ -202,7 +202,7 @@ def load_tree(spark: SparkSession, path: str):
         splits=splits.select("level", *[c for c in splits.columns if c != "level"]),
         assignment=salted.filter("salt = 0").select("level", "node", "user_id"),
         bias=load_table(spark, path, "user_bias"),
-        residuals=load_table(spark, path, "residual"),
+        user_rows=load_table(spark, path, "residual"),
         salted_assignment=salted,
         salted_by_level=[salted.filter(F.col("level") == lv).drop("level") for lv in range(meta["levels"] + 1)],
         node_table=load_table(spark, path, "node").select("level", "node", "n_users"),
