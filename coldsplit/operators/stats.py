@@ -121,6 +121,22 @@ def rating_count_histogram(counts: DataFrame, col: str = "n_ratings", bins: int
     )
 
 
+def histogram_view(counts: DataFrame, col: str = "n_ratings", bins: int = 1000, view: tuple[float, float] | None = None) -> DataFrame:
+    """(bin, bin_lo, bin_hi, n) of every bin, empty ones too, that meets the window
+    ``view`` of the counted values (both ends included). An empty table has no bins."""
+    lo, hi = counts.agg(F.min(col), F.max(col)).first()
+    found = rating_count_histogram(counts, col, bins).select("bin", "n")
+    every = counts.sparkSession.range(bins if lo is not None else 0).select(F.col("id").cast("int").alias("bin"))
+    low, span = float(lo or 0), float((hi or 0) - (lo or 0))
+    out = every.join(F.broadcast(found), "bin", "left").select(  # a row a bin at most
+        "bin",
+        (F.lit(low) + F.lit(span) * F.col("bin") / F.lit(bins)).alias("bin_lo"),
+        (F.lit(low) + F.lit(span) * (F.col("bin") + 1) / F.lit(bins)).alias("bin_hi"),
+        F.coalesce("n", F.lit(0)).cast("long").alias("n"),
+    )
+    return out if view is None else out.filter((F.col("bin_hi") >= view[0]) & (F.col("bin_lo") <= view[1]))
+
+
 def smallest_n(counts: DataFrame, col: str = "n_ratings", n: int = 10) -> DataFrame:
     """The n smallest values of a count column (a top-k report)."""
     return counts.select(col).orderBy(F.col(col)).limit(n)

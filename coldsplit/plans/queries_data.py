@@ -461,6 +461,43 @@ def q_histogram(spark, sf):
     return h.select("bin", "n")
 
 
+# fixed values: the published plots have 1000 bins for items and 2000 for users, and
+# show a window of the counts
+PLOTS = {"item_id": (1000, (30, 45)), "user_id": (2000, (0, 100))}
+
+
+def _plot_sql(key: str) -> str:
+    bins, (low, high) = PLOTS[key]
+    return with_(
+        PART
+        + [
+            f"c AS (SELECT {key}, COUNT(*) AS n FROM ratings GROUP BY {key})",
+            "b AS (SELECT MIN(n) AS lo, MAX(n) AS hi FROM c)",
+            f"f AS (SELECT CASE WHEN b.hi = b.lo THEN 0 ELSE LEAST(FLOOR((c.n - b.lo) / CAST(b.hi - b.lo AS DOUBLE) * {bins}), {bins - 1}) END AS bin, COUNT(*) AS n FROM c, b GROUP BY 1)",
+            f"e AS (SELECT CAST(g.bin AS INT) AS bin, b.lo + CAST(b.hi - b.lo AS DOUBLE) * g.bin / {bins} AS bin_lo,"
+            f" b.lo + CAST(b.hi - b.lo AS DOUBLE) * (g.bin + 1) / {bins} AS bin_hi FROM (SELECT UNNEST(generate_series(0, {bins - 1})) AS bin) g, b)",
+        ],
+        f"SELECT e.bin, ROUND(e.bin_lo, 6) AS bin_lo, ROUND(e.bin_hi, 6) AS bin_hi, COALESCE(f.n, 0) AS n FROM e LEFT JOIN f ON f.bin = e.bin WHERE e.bin_hi >= {low} AND e.bin_lo <= {high}",
+    )
+
+
+def _plot(spark, sf, key):
+    bins, view = PLOTS[key]
+    counts = fx.ratings(spark, sf, "part").groupBy(key).agg(F.count(F.lit(1)).alias("n_ratings"))
+    h = stats.histogram_view(counts, "n_ratings", bins, view)
+    return h.select("bin", r6(F.col("bin_lo")).alias("bin_lo"), r6(F.col("bin_hi")).alias("bin_hi"), "n")
+
+
+@query("histogram_items", _plot_sql("item_id"))
+def q_histogram_items(spark, sf):
+    return _plot(spark, sf, "item_id")
+
+
+@query("histogram_users", _plot_sql("user_id"))
+def q_histogram_users(spark, sf):
+    return _plot(spark, sf, "user_id")
+
+
 @query(
     "smallest_n",
     "SELECT n_ratings FROM (SELECT COUNT(*) AS n_ratings FROM events GROUP BY user_id) ORDER BY n_ratings LIMIT 10",
