@@ -36,11 +36,13 @@ import re
 import struct
 import sys
 from array import array
+from collections.abc import Iterator
 from itertools import pairwise
 from types import ModuleType
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,7 +50,9 @@ from pyspark.sql import functions as F
 from coldsplit.llm.common import table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-CACHE = 120_000  # cuts remembered per generation and worker; two generations live
+CACHE = 60_000  # cuts remembered per generation and worker; two generations live
+SLICE = 2 << 20  # bytes of text that a worker codes at once
+BLOCK = 1 << 20  # characters or ids of a longer text held as Python objects at once
 MARK = "▁"
 # Fixed values of the model format: piece types and model types.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -170,12 +174,6 @@ class Transducer:
             return {c: node(x) for c, x in level.items() if c}.get, level.get("", -1)
 
         self.arcs = node(tree)[0]
-        self.score = {i: s for i, (_, s, _) in enumerate(model.pieces)}
-        self.text = [p for p, _, _ in model.pieces]
-        self.kinds = [k for _, _, k in model.pieces]
-        self.bytes = {int(p[3:5], 16): i for i, (p, _, k) in enumerate(model.pieces) if k == BYTE}
-        self.byte_of = {i: b for b, i in self.bytes.items()}
-        self.unknown = next((i for i, (_, _, k) in enumerate(model.pieces) if k == UNKNOWN), 0)
         normal = [s for _, s, k in model.pieces if k == NORMAL]
         self.unknown_cost = UNKNOWN_PENALTY - min(normal, default=0.0)
         if any(k == USER for k in self.kinds):
@@ -330,15 +328,31 @@ class Transducer:
         self.paths[0][s] = ids
         return ids
 
+    def ids_of(self, text: str) -> bytes:
+        """The ids as 32-bit numbers."""
+        s, get = self.normalise(text), self.paths[0].get
+        cuts = self.cut.findall(s) if len(s) <= BLOCK else (x[0] for x in self.cut.finditer(s))
+        return b"".join([get(c) or self._path(c) for c in cuts])
+
     def encode(self, text: str) -> np.ndarray:
-        cuts = self.cut.findall(self.normalise(text))
-        get = self.paths[0].get
-        parts = [get(s) or self._path(s) for s in cuts]
-        return np.frombuffer(b"".join(parts), np.int32)
+        return np.frombuffer(self.ids_of(text), np.int32)
 
     def decode(self, ids) -> str:
         """The inverse: ids to pieces, bytes to characters, marks to spaces."""
-        ids = np.asarray(ids).tolist()
+        ids, out, a = np.asarray(ids), [], 0
+        while a < len(ids):
+            b = min(len(ids), a + BLOCK)
+            while b < len(ids) and self.plain[ids[b]] is None:  # a character's bytes stay together
+                b += 1
+            out.append(self._plain(ids[a:b].tolist()))
+            a = b
+        if self.m.dummy:
+            first = next((i for i in ids if self.kinds[i] != CONTROL), None)
+            if first is not None and self.kinds[first] not in (UNKNOWN, BYTE):
+                return "".join(out).removeprefix(" ")
+        return "".join(out)
+
+    def _plain(self, ids: list[int]) -> str:
         parts = [self.plain[i] for i in ids]
         if None in parts:  # bytes that make up a character together
             run = bytearray()
@@ -349,12 +363,20 @@ class Transducer:
                     if k + 1 == len(parts) or parts[k + 1] is not None:
                         parts[k] = _characters(bytes(run))
                         run = bytearray()
-        if self.m.dummy:
-            first = next((i for i in ids if self.kinds[i] != CONTROL), None)
-            if first is not None and self.kinds[first] not in (UNKNOWN, BYTE):
-                return "".join(parts).removeprefix(" ")
         return "".join(parts)
 
+    def ids_array(self, texts: pa.Array) -> pa.Array:
+        """The ids of an array of texts, written to one Arrow buffer."""
+        rows = [b"" if t is None else self.ids_of(t) for t in texts.to_pylist()]
+        ends = np.zeros(len(rows) + 1, np.int32)
+        np.cumsum([len(r) // 4 for r in rows], out=ends[1:])
+        values = pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, pa.py_buffer(b"".join(rows))])
+        return pa.ListArray.from_arrays(pa.array(ends), values, mask=texts.is_null())
+
+    def texts_array(self, rows: pa.Array) -> pa.Array:
+        """The texts of an array of id lists."""
+        return pa.array([None if r.values is None else self.decode(r.values.to_numpy(zero_copy_only=False)) for r in rows], pa.string())
+
 
 def _read(spark: SparkSession, path: str):
     with open(path, "rb") as f:  # a model file beside the driver, a few MB
@@ -372,34 +394,52 @@ def _compiled(data: bytes) -> Transducer:
     return kept[key]
 
 
-def encoder(spark: SparkSession, model: str = MODEL):
-    """A function of a text column that gives its ids."""
+def _slices(rows: pa.Array) -> Iterator[pa.Array]:
+    """An array of texts or id lists in parts of about SLICE bytes; a larger row is
+    a part of its own."""
+    sizes = pc.binary_length(rows) if not pa.types.is_list(rows.type) else pc.multiply(pc.list_value_length(rows), 4)
+    ends, a = np.cumsum(pc.fill_null(sizes, 0).to_numpy(zero_copy_only=False), dtype=np.int64), 0
+    while a < len(rows):
+        b = max(a + 1, int(np.searchsorted(ends, SLICE + (ends[a - 1] if a else 0), "right")))
+        yield rows.slice(a, b - a)
+        a = b
+
+
+def _coder(spark: SparkSession, model: str, kind: str, code):
+    """A function of a column; ``code`` turns one slice after the other, so that a
+    worker holds an incoming batch and the results of one slice."""
     sent = _read(spark, model)
 
-    @F.pandas_udf("array<int>")
-    def encode(texts: pd.Series) -> pd.Series:
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         fst = _compiled(sent.value)
-        return pd.Series([None if t is None else fst.encode(t) for t in texts], dtype=object)
+        for rows in batches:
+            for part in _slices(rows):
+                yield code(fst, part)
 
-    return encode
+    return F.arrow_udf(run, kind)
+
+
+def encoder(spark: SparkSession, model: str = MODEL):
+    """A function of a text column that gives its ids."""
+    return _coder(spark, model, "array<int>", lambda fst, texts: fst.ids_array(texts))
 
 
 def decoder(spark: SparkSession, model: str = MODEL):
     """A function of an id column that gives its text."""
-    sent = _read(spark, model)
+    return _coder(spark, model, "string", lambda fst, rows: fst.texts_array(rows))
 
-    @F.pandas_udf("string")
-    def decode(rows: pd.Series) -> pd.Series:
-        fst = _compiled(sent.value)
-        return pd.Series([None if r is None else fst.decode(r) for r in rows], dtype=object)
 
-    return decode
+def _both(fst: Transducer, texts: pa.Array) -> pa.Array:
+    ids = fst.ids_array(texts)
+    return pa.StructArray.from_arrays([ids, fst.texts_array(ids)], ["ids", "decoded"])
 
 
 def encode_and_decode(docs: DataFrame, text: str = "text", model: str = MODEL) -> DataFrame:
-    """(row, ids, decoded): each input row as a struct, its ids and their text."""
-    out = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), encoder(docs.sparkSession, model)(F.col(text)).alias("ids"))
-    return out.withColumn("decoded", decoder(docs.sparkSession, model)("ids"))
+    """(row, ids, decoded): each input row as a struct, its ids and their text, both
+    of one pass."""
+    both = _coder(docs.sparkSession, model, "struct<ids:array<int>,decoded:string>", _both)
+    out = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), both(F.col(f"`{text}`")).alias("both"))
+    return out.select("row", "both.ids", "both.decoded")
 
 
 def op1_query(spark: SparkSession, sf_dir: str) -> DataFrame:

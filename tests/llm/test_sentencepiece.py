@@ -116,3 +116,29 @@ def test_rewrite_rules_are_read():
     units[at ^ (units[at] >> 10)] = 0x80000000
     raw = struct.pack(f"<{len(units)}I", *units)
     assert S._rules(struct.pack("<I", len(raw)) + raw + b"b\0") == {"a": "b"}
+
+
+def test_slices_and_blocks_change_nothing(bpe, monkeypatch):
+    """Slices and blocks of every small size give the ids and texts of whole rows."""
+    import pyarrow as pa
+
+    fst, lib = bpe
+    texts = [*samples(60), None, "", "你好😀" * 50, "a b " * 300, None]
+    rows = pa.array(texts, pa.string())
+    for slice_bytes, block in ((1, 1), (7, 2), (100, 3), (1 << 20, 5)):
+        monkeypatch.setattr(S, "SLICE", slice_bytes)
+        monkeypatch.setattr(S, "BLOCK", block)
+        parts = list(S._slices(rows))
+        assert sum(map(len, parts)) == len(rows) and all(len(p) == 1 or sum(len((t or "").encode()) for t in p.to_pylist()) <= slice_bytes for p in parts)
+        out = [r for p in parts for r in S._both(fst, p).to_pylist()]
+        assert [r["ids"] for r in out] == [None if t is None else lib.encode(t) for t in texts]
+        assert [r["decoded"] for r in out] == [None if t is None else lib.decode(lib.encode(t)) for t in texts]
+        ids = pa.array([r["ids"] for r in out], pa.list_(pa.int32()))
+        assert [x for p in S._slices(ids) for x in fst.texts_array(p).to_pylist()] == [r["decoded"] for r in out]
+
+
+def test_encoder_and_decoder_alone(spark):
+    texts = edge_docs(spark).select("text")
+    ids = texts.select("text", S.encoder(spark)("text").alias("ids"))
+    rows = ids.select("text", S.decoder(spark)("ids").alias("back")).collect()
+    assert [r["back"] for r in rows] == [None if r["text"] is None else r["text"].replace("▁", " ") for r in rows]
