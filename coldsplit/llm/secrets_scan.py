@@ -17,8 +17,7 @@ shuffled; a cheap substring test skips the patterns that cannot match.
 Defined results: null text is empty and has no spans; positions are code points,
 ends exclusive; rows are independent, so repeated rows repeat their result; an
 empty table gives an empty result; extra columns pass through, whatever their
-names. Values of over MAX_VALUE characters are priced in pieces of that length,
-whose costs add up.
+names. Values are priced whole, however long; very long texts are scanned whole.
 """
 
 from __future__ import annotations
@@ -36,7 +35,6 @@ from coldsplit.llm.common import table
 
 VOCABULARY = "/opt/tokenizers/word_bpe_49k.json"
 MIN_LOG10 = 8.0
-MAX_VALUE = 128
 KINDS = ("assign", "access", "hex", "guess")
 
 # Fixed values of the contract: the base patterns.
@@ -83,9 +81,14 @@ def _alphabet(value: str) -> int:
     return max(n, 2)
 
 
-def guess_cost(value: str, ranks: dict[str, int]) -> tuple[float, list[tuple[str, int, int]]]:
+def guess_cost(value: str, ranks: dict[str, int], limit: float = math.inf) -> tuple[float, list[tuple[str, int, int]]]:
     """log10 of the guesses the cheapest segmentation needs, and its spans (kind,
-    start, end). Each span multiplies the guesses, and by 2 more for where it ends."""
+    start, end). Each span multiplies the guesses, and by 2 more for where it ends.
+
+    Every span costs something, so a prefix worth ``limit`` or more is no part of a
+    segmentation under it and is left out: the result is exact under ``limit``, and
+    infinity with no spans from there on. A limit keeps repeats and walks, whose costs
+    grow with their length, short, so that long values take time in proportion."""
     n, low = len(value), value.lower()
     plain = low.translate(LEET)
     per_char = math.log10(10 if value.isdigit() else 16 if re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", value) else _alphabet(value))
@@ -93,41 +96,32 @@ def guess_cost(value: str, ranks: dict[str, int]) -> tuple[float, list[tuple[str
     back: list[tuple[str, int]] = [("", 0)] * (n + 1)
     best[0] = 0.0
     border = math.log10(2)
-
-    def offer(kind: str, i: int, j: int, cost: float) -> None:
-        if best[i] + cost + border < best[j]:
-            best[j], back[j] = best[i] + cost + border, (kind, i)
+    far = 0  # the last position reached under the limit
+    brute, begin = math.inf, 0  # the cheapest brute-force span under way, and where it began
+
+    def offer(kind: str, i: int, j: int, cost: float) -> bool:
+        """Whether the span stays under the limit."""
+        nonlocal far
+        cost += best[i] + border
+        if cost >= limit:
+            return False
+        if cost < best[j]:
+            best[j], back[j], far = cost, (kind, i), max(far, j)
+        return True
 
     dates = {m.start(): m.end() for m in DATE.finditer(value)}
     for i in range(n):
-        # brute force goes on from wherever it began: a span of any length
-        for j in range(i + 1, n + 1):
-            offer("brute", i, j, per_char * (j - i))
-        for j in range(i + 3, min(n, i + 24) + 1):
-            word, shape = low[i:j], value[i:j]
-            rank = ranks.get(word)
-            leet = rank is None
-            if leet:
-                rank = ranks.get(plain[i:j])
-            if rank is not None:
-                case = 1 if shape.islower() or not shape.isalpha() else 2 if shape.istitle() or shape.isupper() else 2 ** min(10, sum(c.isupper() for c in shape))
-                offer("word", i, j, math.log10(rank + 1) + math.log10(case) + (math.log10(2 ** sum(a != b for a, b in zip(word, plain[i:j], strict=True))) if leet else 0))
-        if i in dates:
-            offer("date", i, dates[i], math.log10(365 * 120 if dates[i] - i > 4 else 120))
-        j = i + 1  # a keyboard walk: turns cost a choice of neighbours
-        steps = 0.0
-        while j < n and low[j] in NEAR.get(low[j - 1], ""):
-            straight = j >= i + 2 and _step(low[j - 2], low[j - 1]) == _step(low[j - 1], low[j])
-            steps += 0.0 if straight else math.log10(6)
-            j += 1
-            if j - i >= 3:
-                offer("walk", i, j, math.log10(47) + steps + math.log10(j - i))
-        for size in range(1, (n - i) // 2 + 1):  # a unit that repeats
-            unit, j = value[i : i + size], i + size
-            while value.startswith(unit, j):
-                j += size
-                if j - i >= 3:
-                    offer("repeat", i, j, per_char * size + math.log10((j - i) // size))
+        if i > far:
+            return math.inf, []
+        if best[i] < limit:
+            if best[i] + border < brute:
+                brute, begin = best[i] + border, i
+            _spans_from(i, value, low, plain, ranks, per_char, dates, offer)
+        brute += per_char  # brute force goes on from where it is cheapest: any length
+        if brute < min(best[i + 1], limit):
+            best[i + 1], back[i + 1], far = brute, ("brute", begin), max(far, i + 1)
+    if best[n] >= limit:
+        return math.inf, []
     spans, j = [], n
     while j:
         kind, i = back[j]
@@ -136,6 +130,38 @@ def guess_cost(value: str, ranks: dict[str, int]) -> tuple[float, list[tuple[str
     return best[n], spans[::-1]
 
 
+def _spans_from(i: int, value: str, low: str, plain: str, ranks: dict[str, int], per_char: float, dates: dict[int, int], offer) -> None:
+    """Offer every word, date, walk and repeat that begins at i."""
+    n = len(value)
+    for j in range(i + 3, min(n, i + 24) + 1):
+        word, shape = low[i:j], value[i:j]
+        rank = ranks.get(word)
+        leet = rank is None
+        if leet:
+            rank = ranks.get(plain[i:j])
+        if rank is not None:
+            case = 1 if shape.islower() or not shape.isalpha() else 2 if shape.istitle() or shape.isupper() else 2 ** min(10, sum(c.isupper() for c in shape))
+            offer("word", i, j, math.log10(rank + 1) + math.log10(case) + (math.log10(2 ** sum(a != b for a, b in zip(word, plain[i:j], strict=True))) if leet else 0))
+    if i in dates:
+        offer("date", i, dates[i], math.log10(365 * 120 if dates[i] - i > 4 else 120))
+    j = i + 1  # a keyboard walk: turns cost a choice of neighbours
+    steps = 0.0
+    while j < n and low[j] in NEAR.get(low[j - 1], ""):
+        straight = j >= i + 2 and _step(low[j - 2], low[j - 1]) == _step(low[j - 1], low[j])
+        steps += 0.0 if straight else math.log10(6)
+        j += 1
+        if j - i >= 3 and not offer("walk", i, j, math.log10(47) + steps + math.log10(j - i)):
+            break
+    for size in range(1, (n - i) // 2 + 1):  # a unit that repeats
+        if not offer("repeat", i, i, per_char * size):  # longer units cost more still
+            break
+        unit, j = value[i : i + size], i + size
+        while value.startswith(unit, j):
+            j += size
+            if j - i >= 3 and not offer("repeat", i, j, per_char * size + math.log10((j - i) // size)):
+                break
+
+
 def _step(a: str, b: str):
     places = [next(((r, row.index(c)) for r, row in enumerate(KEYBOARD) if c in row), (9, 9)) for c in (a, b)]
     return places[1][0] - places[0][0], places[1][1] - places[0][1]
@@ -158,13 +184,9 @@ def find_spans(text: str, ranks: dict[str, int], min_log10: float) -> list[tuple
         values |= {m.span(1): m[1] for m in CONTEXT.finditer(text)}
     if "://" in text:
         values |= {m.span(1): m[1] for m in URL_CONTEXT.finditer(text)}
-    for (a, b), value in values.items():
-        cost = 0.0
-        for i in range(0, b - a, MAX_VALUE):
-            cost += guess_cost(value[i : i + MAX_VALUE], ranks)[0]
-            if cost >= min_log10:
-                spans.append(("guess", a, b))
-                break
+    for span, value in values.items():
+        if guess_cost(value, ranks, min_log10)[0] >= min_log10:
+            spans.append(("guess", *span))
     return sorted(set(spans), key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 

@@ -1,6 +1,8 @@
 import itertools
 import math
+import random
 import re
+import time
 
 from coldsplit.llm import secrets_scan as S
 
@@ -84,3 +86,32 @@ def test_frames(spark, sf_small):
         assert [r["n_assign"], r["n_access"], r["n_hex"]] == [sum(s[0] == k for s in base) for k in S.KINDS[:3]]
         assert r["base_sha256"] == S.digest(base)
         assert {f"{k}:{a}:{b}" for k, a, b in base} <= set(r["spans"].split(","))
+
+
+def test_long_values_are_priced_whole():
+    for n in (100, 128, 129, 256, 300, 5000):
+        for c in "=a7":
+            assert "guess" not in [k for k, *_ in S.find_spans(f"pwd: {c * n}", RANKS, 8.0)], (c, n)
+    assert S.find_spans("pwd: " + "=" * 126 + "kX9" + "=" * 126, RANKS, 8.0) == [("guess", 5, 260)]
+
+
+def test_a_limit_changes_no_cost_under_it():
+    """With a limit: the same cost and spans under it, infinity from it on."""
+    rnd = random.Random(5)
+    parts = ["dragon", "P@ss", "qwerty", "1999", "ab", "aaa", "x", "Z9", "=", "20240131", "zxcv", "the"]
+    for _ in range(400):
+        v = "".join(rnd.choice(parts) * rnd.choice((1, 1, 1, 2, 5)) for _ in range(rnd.randint(1, 6)))
+        whole = S.guess_cost(v, RANKS)
+        assert [v[a:b] for _, a, b in whole[1]] and "".join(v[a:b] for _, a, b in whole[1]) == v
+        for limit in (3.0, 5.5, 8.0, 30.0):
+            cost, spans = S.guess_cost(v, RANKS, limit)
+            assert (cost, spans) == (whole if whole[0] < limit else (math.inf, [])), (v, limit)
+
+
+def test_time_grows_with_the_length():
+    """A value of 200,000 characters, repeated or walked or random, is no quadratic job."""
+    rnd = random.Random(6)
+    for unit in ("=", "7", "qw", "abc", "asdfghjkl;'", "".join(rnd.choices("abcdefXYZ0123", k=1000))):
+        began = time.process_time()
+        S.guess_cost((unit * 200_000)[:200_000], RANKS, 8.0)
+        assert time.process_time() - began < 20, unit
