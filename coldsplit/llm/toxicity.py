@@ -14,7 +14,8 @@ Whole texts are scored, in slices of bounded size whose sums add up.
 Defined results: a null or empty text, or one without an n-gram, has an empty
 bag and gets the softmax of the bias; repeated rows are scored each; rows
 without label, or with a null doc_id, are scored and never learned from; with
-no labels of both classes every score is 0.0; extra columns pass through.
+no labels of both classes every score is 0.0; an empty table gives an empty result;
+very long texts are learned from and scored whole; extra columns pass through.
 """
 
 from __future__ import annotations
@@ -29,7 +30,6 @@ from coldsplit.llm.common import table
 GRAMS = (3, 4, 5, 6)
 BITS = 15
 SAMPLE = 3000  # labelled rows to learn from, half of each class where there are as many
-SAMPLE_CHARS = 200_000  # longer texts are scored, not learned from
 SLICE = 1 << 20  # bytes of text hashed at once
 
 
@@ -73,16 +73,21 @@ def bag(text: str | None, bits: int = BITS) -> np.ndarray:
     return out
 
 
-def train(texts: list[str], labels: np.ndarray, prior: float, bits: int = BITS, dim: int = 8, epochs: int = 60, rate: float = 0.05, decay: float = 1e-4, seed: int = 7) -> tuple[np.ndarray, float]:
-    """Joint training; returns one weight per bucket and the bias, so that the
+def features(text: str | None, bits: int = BITS) -> np.ndarray:
+    """The averaged bag, scaled to suit its type."""
+    counts = bag(text, bits)
+    return (counts * (np.float32(np.sqrt(1 << bits)) / max(1, counts.sum()))).astype(np.float16)
+
+
+def train(texts: list[str | bytes], labels: np.ndarray, prior: float, bits: int = BITS, dim: int = 8, epochs: int = 60, rate: float = 0.05, decay: float = 1e-4, seed: int = 7) -> tuple[np.ndarray, float]:
+    """Joint training on texts or the bytes of their ``features``; returns one weight per bucket and the bias, so that the
     class-1 probability is sigmoid(mean of the bag's weights + bias). ``prior``:
     share of class 1 among all labelled rows, which the sample may not have."""
     rng = np.random.default_rng(seed)
     scale = np.float32(np.sqrt(1 << bits))
-    x = np.empty((len(texts), 1 << bits), np.float16)  # averages, scaled to suit the type
+    x = np.empty((len(texts), 1 << bits), np.float16)
     for k, text in enumerate(texts):
-        counts = bag(text, bits)
-        x[k] = counts * (scale / max(1, counts.sum()))
+        x[k] = np.frombuffer(text, np.float16) if isinstance(text, bytes) else features(text, bits)
     y = np.asarray(labels, np.int64)
     p = [rng.normal(0, 0.1, (1 << bits, dim)).astype(np.float32), rng.normal(0, 0.5, (dim, 2)).astype(np.float32), np.zeros(2, np.float32)]
     m, v, t = [np.zeros_like(a) for a in p], [np.zeros_like(a) for a in p], 0
@@ -124,9 +129,17 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 3 == 1, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", sample: int = SAMPLE, **parameters):
+def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", sample: int = SAMPLE, bits: int = BITS, **parameters):
     """The model of ``train`` from at most ``sample`` labelled rows that are not held
-    out, chosen by a hash of their id; None if a class has no row."""
+    out, chosen by a hash of their id; None if a class has no row. Whole texts are
+    learned from: one of more bytes than its features have is sent to the driver as
+    these (2**bits halves), so the driver gets sample * 2**(bits + 1) bytes at most."""
+    most = 2 << bits
+
+    @F.pandas_udf("binary")
+    def long_text(texts: pd.Series) -> pd.Series:
+        return pd.Series([features(t, bits).tobytes() if t is not None and len(t.encode()) > most else None for t in texts], dtype=object)
+
     known = labels.select(F.col(doc_id).alias("_id"), F.col("toxic").alias("_y")).filter("_y in (0, 1)").filter(~held_out("_id"))
     known = known.groupBy("_id").agg(F.max("_y").cast("int").alias("_y"))
     n = {r["_y"]: r["n"] for r in known.groupBy("_y").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -135,12 +148,14 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     rows = []
     for y in (0, 1):
         take = known.filter(F.col("_y") == y).orderBy(F.xxhash64("_id"), "_id").limit(sample // 2)  # a documented bound
-        got = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_t")).filter(F.coalesce(F.length("_t"), F.lit(0)) <= SAMPLE_CHARS).join(F.broadcast(take), "_id")
-        rows += got.groupBy("_id", "_y").agg(F.min("_t").alias("_t")).collect()
+        got = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_t")).join(F.broadcast(take), "_id")
+        got = got.groupBy("_id", "_y").agg(F.min("_t").alias("_t")).withColumn("_f", long_text("_t"))
+        rows += got.select("_id", "_y", F.when(F.col("_f").isNull(), F.col("_t")).alias("_t"), "_f").collect()
     if len({r["_y"] for r in rows}) < 2:
         return None
     rows.sort(key=lambda r: r["_id"])
-    return train([r["_t"] or "" for r in rows], np.array([r["_y"] for r in rows]), n[1] / (n[0] + n[1]), **parameters)
+    texts = [bytes(r["_f"]) if r["_f"] is not None else r["_t"] or "" for r in rows]
+    return train(texts, np.array([r["_y"] for r in rows]), n[1] / (n[0] + n[1]), bits=bits, **parameters)
 
 
 def score(docs: DataFrame, model, text: str = "text") -> Column:
