@@ -4,8 +4,9 @@ State: an exact reference-count table (line key digest -> number of documents
 that hold it), and one cuckoo filter per shard of the keys that have reached
 the threshold. Inserting a batch of documents adds to the counts, deleting it
 subtracts; keys that cross the threshold enter or leave their shard's filter,
-so deleting a batch brings back the state before it. Each version of the table
-is written to the shared checkpoint folder.
+so deleting a batch brings back the state before it. When the keys outgrow their
+shards, there are more shards, built from the exact counts. Each version of the
+table is written to the shared checkpoint folder.
 
 Dropping lines: the filters (broadcast only if their counted bytes are within
 ``probe_bytes``) name the few lines that may be frequent; those lines alone
@@ -79,8 +80,9 @@ class LineDedupIndex:
                 .agg(F.sum("n").alias("n"), F.sum("was").alias("was"))
             )
         refs = write_table(refs.filter("n <> 0 or was <> 0"), "line-refs")
-        if not self.shards:
-            self.shards = max(1, -(-refs.count() // KEYS_PER_SHARD))
+        keys = refs.count()
+        if keys > 2 * self.shards * KEYS_PER_SHARD or not self.shards:  # outgrown: all filters are built anew
+            self.shards, self.filters = max(1, -(-keys // KEYS_PER_SHARD)), None
         t = self.threshold
         crossed = refs.filter(f"(n >= {t}) <> (was >= {t})")
         changes = self._sharded(crossed).withColumn("sign", F.when(F.col("n") >= t, 1).otherwise(-1))

@@ -76,3 +76,24 @@ def test_cuckoo_filter():
     assert f.contains(keys[:2500]).mean() < 0.01
     assert (CuckooFilter.from_bytes(f.to_bytes()).cells == f.cells).all()
     assert CuckooFilter().contains(keys).sum() == 0
+
+
+def test_shards_grow_with_the_keys(spark, monkeypatch):
+    """A small first batch, a large second one and its deletion: shards stay bounded,
+    and the rows are those of one whole insert."""
+    monkeypatch.setattr(L, "KEYS_PER_SHARD", 20)
+    small = spark.createDataFrame([(i, "x\ny") for i in range(3)], "doc_id long, text string")
+    large = spark.createDataFrame([(100 + i, "\n".join(f"line {j}" for j in range(i % 4, 400))) for i in range(8)], "doc_id long, text string")
+    index = L.LineDedupIndex(spark, threshold=2).insert(small)
+    assert index.shards == 1
+    index.insert(large)
+    assert index.shards >= 20
+    per_shard = [r["n"] for r in index._sharded(index.refs).groupBy("shard").agg({"h": "count"}).withColumnRenamed("count(h)", "n").collect()]
+    assert max(per_shard) < 60
+    both = small.unionByName(large)
+    rows = {r["row"]["doc_id"]: (sorted(r["dropped"]), r["kept"]) for r in index.drop_lines(both).collect()}
+    once = L.LineDedupIndex(spark, threshold=2).insert(both)
+    assert rows == {r["row"]["doc_id"]: (sorted(r["dropped"]), r["kept"]) for r in once.drop_lines(both).collect()}
+    assert all(kept == "" for _, kept in rows.values())
+    index.delete(large)
+    assert {r["row"]["doc_id"]: r["kept"] for r in index.drop_lines(large).collect()} == {r["doc_id"]: r["text"] for r in large.collect()}
