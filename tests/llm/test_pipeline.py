@@ -87,5 +87,5 @@ def test_empty_and_clashing_columns(spark, sf_small):
 
 def test_registered():
     names = set(E.queries())
-    assert "pipeline" in names and {f"op{n}" for n in range(1, 11)} == {n.split("_")[0] for n in names if n.startswith("op") and n[2].isdigit()}
+    assert "pipeline" in names and {f"op{n}" for n in range(1, 14)} == {n.split("_")[0] for n in names if n.startswith("op") and n[2].isdigit()}
     assert set(E.oracle_sql()) <= names
