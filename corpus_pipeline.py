@@ -1,7 +1,9 @@
 """The corpus pipeline over `documents`: each stage calls one operator, works on
 all rows its predecessor kept, and is written as Parquet before the next one.
 
-Every stage but the last returns the columns of its input. SQL cannot express
+Every stage but the last returns the columns of its input. Null, empty and
+very long texts, null ids, ties, repeated rows and extra columns have the results
+that the operators' modules define; an empty table stays empty in every stage. SQL cannot express
 the toxicity model, SimHash or the tokenizer, so ORACLE_SQL is None and the
 pipeline is tested against a brute-force version.
 """
