@@ -51,9 +51,59 @@ def read_ratings_csv(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(RATINGS_SCHEMA).csv(path, header=False)
 
 
-def read_items_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Header CSV of item metadata; free text may span lines inside quotes."""
-    return spark.read.schema(ITEMS_SCHEMA).csv(path, header=True, multiLine=True, escape='"')
+def read_items_csv(spark: SparkSession, path: str, stray_quotes: bool = False) -> DataFrame:
+    """Header CSV of item metadata; free text may span lines inside quotes.
+
+    Files are read by blocks, so one file makes many tasks. A line break ends a
+    record where an even number of quotes stands before it: the quotes of a block
+    are counted, a running sum over one row per block tells each block whether it
+    starts inside quotes, and lines between two breaks of a record are put together
+    within their block. Only the record that crosses a block's border (one a block at
+    most) is joined with its other pieces by a second, small shuffle. Empty lines
+    outside quotes are no records; the first record of each file is its header; line
+    breaks inside quotes stay as they are.
+
+    The count needs quotes inside a field to be doubled and the field quoted, as
+    writers do. For files with lone quotes in unquoted fields, ``stray_quotes`` reads
+    each file whole in one task.
+    """
+    if stray_quotes:
+        return spark.read.schema(ITEMS_SCHEMA).csv(path, header=True, multiLine=True, escape='"')
+    options = {"escape": '"', "multiLine": "true"}
+    record = _quoted_records(spark, path).select(F.from_csv("record", ITEMS_SCHEMA.simpleString()[len("struct<"):-1].replace(":", " "), options).alias("r"))
+    return record.select("r.*")
+
+
+def _quoted_records(spark: SparkSession, path: str) -> DataFrame:
+    """(record): the CSV records of the files under ``path`` but each file's first."""
+    lines = spark.read.text(path, lineSep="\n").select(
+        F.col("value").alias("line"),
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("at"),  # in line order inside a block
+        (F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))).cast("long").alias("quotes"),
+    )
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # one row a block
+    blocks = lines.groupBy("file", "block").agg(F.sum("quotes").alias("in_block"))
+    blocks = blocks.withColumn("carried", F.coalesce(F.sum("in_block").over(before), F.lit(0)))
+    earlier = Window.partitionBy("file", "block").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    upto = Window.partitionBy("file", "block").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    lines = lines.join(blocks, ["file", "block"]).withColumn("outside", (F.col("carried") + F.coalesce(F.sum("quotes").over(earlier), F.lit(0))) % 2 == 0)
+    lines = lines.filter(~F.col("outside") | ~F.col("line").isin("", "\r"))
+    # 0: the rest of a record of an earlier block
+    lines = lines.withColumn("n", F.sum(F.col("outside").cast("long")).over(upto))
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "line"))), lambda x: x["line"]), "\n")
+    open_end = (F.any_value("carried") + F.any_value("in_block")) % 2 == 1
+    pieces = lines.groupBy("file", "block", "n").agg(text.alias("piece"), open_end.alias("block_open"), (F.sum("quotes") % 2 == 1).alias("odd"))
+    # a record left open by its last line ends its block
+    crossing = (F.col("n") == 0) | (F.col("block_open") & F.col("odd"))
+    header = (F.col("block") == 0) & (F.col("n") == 1)
+    whole = pieces.filter(~crossing & ~header).select(F.col("piece").alias("record"))
+    order = Window.partitionBy("file").orderBy("block", "n").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # at most two a block
+    parts = pieces.filter(crossing).withColumn("chain", F.sum((F.col("n") > 0).cast("long")).over(order)).withColumn("head", header)
+    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("block", "n", "piece"))), lambda x: x["piece"]), "\n")
+    stitched = parts.groupBy("file", "chain").agg(joined.alias("record"), F.bool_or("head").alias("head")).filter(~F.col("head")).select("record")
+    return whole.unionByName(stitched).select(F.regexp_replace("record", "\r$", "").alias("record"))
 
 
 def read_reviews_json(spark: SparkSession, path: str) -> DataFrame:

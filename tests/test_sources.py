@@ -4,6 +4,7 @@ import tempfile
 from pyspark.sql import functions as F
 
 from coldsplit import sources
+from coldsplit.session import session_conf
 
 
 def _dir():
@@ -77,3 +78,46 @@ def test_sectioned_pairs_in_one_file_of_several_blocks(spark, tmp_path):
     finally:
         for k, v in old.items():
             spark.conf.set(k, v)
+
+
+def test_items_csv_in_one_file_of_many_blocks(spark, tmp_path):
+    import random
+
+    rng = random.Random(5)
+    bits = ["plain", "a, b", 'said ""so""', "\n", "\n\n", "line\nline", "ünï", '""', " ", "\r\n", "x" * 90]
+    rows = ["asin,description,title,price"]
+    for n in range(400):
+        text = "".join(rng.choice(bits) for _ in range(rng.choice([0, 1, 3, 8])))
+        if n == 200:
+            text = "long\n" * 900  # several blocks inside one pair of quotes
+        rows.append(f'{n},"{text}",{rng.choice(["", "T", chr(34) * 2, chr(34) + "q,t" + chr(34)])},{rng.choice(["", "1.5", "x"])}')
+        if n % 50 == 7:
+            rows.append("")  # an empty line is no record
+    for name, end in (("a.csv", "\n"), ("b.csv", "")):
+        (tmp_path / name).write_bytes(("\n".join(rows) + end).encode())
+    with session_conf(spark, spark__sql__files__maxPartitionBytes="700", spark__sql__files__openCostInBytes="0"):
+        df = sources.read_items_csv(spark, str(tmp_path))
+        got = sorted((tuple(r) for r in df.collect()), key=repr)
+        assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 40
+    want = sources.read_items_csv(spark, str(tmp_path), stray_quotes=True).collect()
+    assert got == sorted((tuple(r) for r in want), key=repr) and len(got) == 800
+
+
+def test_items_csv_with_windows_line_ends_and_empty_files(spark, tmp_path):
+    (tmp_path / "a.csv").write_bytes(b'asin,description,title,price\r\n1,"two\r\nlines",T,2.5\r\n\r\n2,,"",\r\n')
+    (tmp_path / "b.csv").write_bytes(b"asin,description,title,price\n")
+    (tmp_path / "c.csv").write_bytes(b"")
+    got = sorted(tuple(r) for r in sources.read_items_csv(spark, str(tmp_path)).collect())
+    plain = sorted(tuple(r) for r in sources.read_items_csv(spark, str(tmp_path), stray_quotes=True).collect())
+    assert plain == [(i, d and d.replace("\r\n", "\n"), *r) for i, d, *r in got]  # that reader rewrites them
+    assert [r[0] for r in got] == [1, 2] and got[0][1:] == ("two\r\nlines", "T", 2.5)
+
+
+def test_items_csv_moves_the_lines_once(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("asin,description,title,price\n" + "".join(f'{n},"a\nb",T,1.0\n' for n in range(300)))
+    with session_conf(spark, spark__sql__files__maxPartitionBytes="700", spark__sql__files__openCostInBytes="0"):
+        df = sources.read_items_csv(spark, str(tmp_path))
+        assert len(df.collect()) == 300
+    plan = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    # pieces inside a block, and those that cross a border: one shuffle of the lines for both
+    assert plan.count("collect_list(struct(at") >= 2 and "ReusedExchange" in plan
