@@ -72,11 +72,12 @@ def fit(
     model = ColdStartModel(tree, pseudo)
     if predictor == "als":
         if validation is not None and lambdas:
-            t, nf, itf = tune_levels(pseudo, tree.levels, validation, tree.assignment, tree.node_bound(), lambdas, rank, max_iter, seed, num_blocks)
-            model.level_lambda = t
+            model.level_lambda, model.node_factors, model.item_factors = tune_levels(
+                pseudo, tree.levels, validation, tree.assignment, tree.node_bound(), lambdas, rank, max_iter, seed, num_blocks
+            )
         else:
             nf, itf = fit_levels(pseudo, tree.levels, rank, max_iter, reg, seed, num_blocks)
-        model.node_factors, model.item_factors = materialize(nf), materialize(itf)
+            model.node_factors, model.item_factors = materialize(nf), materialize(itf)
     return model
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from coldsplit.functions import dot_product
 from coldsplit.operators.prepare import index_codes
 from coldsplit.operators.skew import salted_join
-from coldsplit.session import bounded_broadcast, write_table
+from coldsplit.session import Scratch, bounded_broadcast, write_table
 
 INT_MAX = 2**31 - 1
 NUM_BLOCKS = 10  # ALS blocks a side; about the number of cores on a cluster
@@ -113,22 +113,50 @@ def fit_levels(
     return node_factors, item_factors
 
 
-def validation_rmse(
-    validation: DataFrame, assignment: DataFrame, node_factors: DataFrame, item_factors: DataFrame, node_bound: int, rank: int = 10
+def grid_rmse(
+    validation: DataFrame, assignment: DataFrame, node_factors: DataFrame, item_factors: DataFrame, node_bound: int, rank: int = 10, grid: int = 1, tmp: Scratch | None = None
 ) -> DataFrame:
-    """Micro RMSE per level of validation cells of training users, each scored
-    at the user's own node of that level. Node factors (``node_bound`` rows at
-    most) are broadcast; a heavy user is spread by item and a hot item by user."""
+    """(level, lambda, rmse, n): micro RMSE of validation cells of training users, each
+    scored at the user's own node of that level by every fit of a grid.
+
+    The factors carry a column ``lambda``, at most ``grid`` values a level. The cells meet
+    the assignment once, however many values there are: a node's and an item's
+    vectors of all fits travel as one map. Node vectors (``node_bound`` rows at most)
+    are broadcast if they fit; a heavy user is spread by item and a hot item by user."""
+    write = tmp.write if tmp else write_table
+
+    def vectors(factors: DataFrame, keys: list[str], name: str) -> DataFrame:  # at most `grid` vectors a row
+        return factors.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("lambda", "features"))).alias(name))
+
+    wide = max(rank, grid)
     # a user has one assignment row a level
-    v = salted_join(validation, assignment.select("level", "node", "user_id"), ["user_id"], ["item_id"])
-    v = v.join(bounded_broadcast(node_factors.withColumnRenamed("features", "u"), node_bound, rank), ["level", "node"])
-    scored = salted_join(v, item_factors.withColumnRenamed("features", "v"), ["level", "item_id"], ["user_id"], array_items=rank)
-    return scored.groupBy("level").agg(
-        F.sqrt(F.avg(F.pow(F.col("rating") - dot_product("u", "v"), 2))).alias("rmse"),
+    cells = salted_join(validation, assignment.select("level", "node", "user_id"), ["user_id"], ["item_id"], tmp=tmp)
+    cells = write(cells.select("level", "node", "user_id", "item_id", "rating"), "validation-cells")
+    scored = salted_join(cells, vectors(item_factors, ["level", "item_id"], "v"), ["level", "item_id"], ["user_id"], array_items=wide, tmp=tmp)
+    scored = scored.join(bounded_broadcast(vectors(node_factors, ["level", "node"], "u"), node_bound, wide), ["level", "node"])
+    each = scored.select("level", "rating", "v", F.explode("u").alias("lambda", "a")).withColumn("b", F.col("v")[F.col("lambda")])
+    return each.filter("b is not null").groupBy("level", "lambda").agg(
+        F.sqrt(F.avg(F.pow(F.col("rating") - dot_product("a", "b"), 2))).alias("rmse"),
         F.count(F.lit(1)).alias("n"),
     )
 
 
+def validation_rmse(
+    validation: DataFrame, assignment: DataFrame, node_factors: DataFrame, item_factors: DataFrame, node_bound: int, rank: int = 10
+) -> DataFrame:
+    """(level, rmse, n): :func:`grid_rmse` of one fit."""
+    one = F.lit(0.0).alias("lambda")
+    return grid_rmse(validation, assignment, node_factors.select("*", one), item_factors.select("*", one), node_bound, rank).drop("lambda")
+
+
+def best_of_grid(curves: DataFrame, grids: dict) -> DataFrame:
+    """(level, lambda, rmse, n, best): marks the least error of each level, the first in
+    grid order on ties."""
+    place = F.coalesce(*[F.when((F.col("level") == lv) & (F.col("lambda") == lam), n) for lv, g in grids.items() for n, lam in enumerate(g)])
+    w = Window.partitionBy("level").orderBy(F.col("rmse").asc(), place.asc())  # one row a lambda
+    return curves.withColumn("best", F.row_number().over(w) == 1).select("level", "lambda", "rmse", "n", "best")
+
+
 def tune_levels(
     pseudo: DataFrame,
     levels: int,
@@ -148,20 +176,17 @@ def tune_levels(
     each level's best lambda."""
     grids = {lv: [float(x) for x in (lambdas[lv] if isinstance(lambdas, dict) else lambdas)] for lv in range(levels + 1)}
     items = index_pseudo_items(pseudo)
-    curves = nfs = ifs = None
-    for lam in sorted({x for g in grids.values() for x in g}):
-        own = [lv for lv, g in grids.items() if lam in g]
-        nf, itf = fit_levels(pseudo.filter(F.col("level").isin(own)), levels, rank, max_iter, lam, seed, num_blocks, items)
-        nf, itf = write_table(nf, "tune-nodes"), write_table(itf, "tune-items")
-        c = validation_rmse(validation, assignment, nf, itf, node_bound, rank).withColumn("lambda", F.lit(lam))
-        nf, itf = nf.withColumn("lambda", F.lit(lam)), itf.withColumn("lambda", F.lit(lam))
-        curves = c if curves is None else curves.unionByName(c)
-        nfs = nf if nfs is None else nfs.unionByName(nf)
-        ifs = itf if ifs is None else ifs.unionByName(itf)
-    place = F.coalesce(*[F.when((F.col("level") == lv) & (F.col("lambda") == lam), n) for lv, g in grids.items() for n, lam in enumerate(g)])
-    w = Window.partitionBy("level").orderBy(F.col("rmse").asc(), place.asc())  # one row a lambda
-    table = write_table(curves.withColumn("best", F.row_number().over(w) == 1).select("level", "lambda", "rmse", "n", "best"), "level-lambda")
-    best = table.filter("best").select("level", "lambda")
-    node_f = nfs.join(F.broadcast(best), ["level", "lambda"]).drop("lambda")  # <= one row per level
-    item_f = ifs.join(F.broadcast(best), ["level", "lambda"]).drop("lambda")
-    return table, node_f, item_f
+    nfs = ifs = None
+    with Scratch(pseudo.sparkSession) as tmp:
+        for lam in sorted({x for g in grids.values() for x in g}):
+            own = [lv for lv, g in grids.items() if lam in g]
+            nf, itf = fit_levels(pseudo.filter(F.col("level").isin(own)), levels, rank, max_iter, lam, seed, num_blocks, items)
+            nf, itf = tmp.write(nf, "tune-nodes").withColumn("lambda", F.lit(lam)), tmp.write(itf, "tune-items").withColumn("lambda", F.lit(lam))
+            nfs = nf if nfs is None else nfs.unionByName(nf)
+            ifs = itf if ifs is None else ifs.unionByName(itf)
+        grid = max(len(set(g)) for g in grids.values())
+        curves = grid_rmse(validation, assignment, nfs, ifs, node_bound, rank, grid, tmp)
+        table = write_table(best_of_grid(curves, grids), "level-lambda")
+        best = table.filter("best").select("level", "lambda")  # <= one row per level
+        node_f, item_f = (f.join(F.broadcast(best), ["level", "lambda"]).drop("lambda") for f in (nfs, ifs))
+        return table, write_table(node_f, "best-nodes"), write_table(item_f, "best-items")

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from coldsplit import sources
 from coldsplit.functions import attitude_branch, attitude_letter, dot_product
 from coldsplit.operators import evaluate, prepare, stats
-from coldsplit.operators.factors import fit_levels, tune_levels
+from coldsplit.operators.factors import best_of_grid, fit_levels, grid_rmse, tune_levels
 from coldsplit.operators.recommend import als_baseline, recommend_items, recommend_users, top_products
 from coldsplit.operators.route import (
     answered_items,
@@ -777,6 +777,46 @@ def q_predict_all_items(spark, sf):
     return predict_all_items(route_users(t, test), node_f, item_f, 10, rank=64)
 
 
+_GRID_SQL = "grid AS (SELECT * FROM (VALUES " + ", ".join(
+    f"({lv}, {place}, CAST({lam} AS DOUBLE))" for lv in range(DEPTH + 1) for place, lam in enumerate(GRIDS.get(lv, DEEP_GRID))
+) + ") v(level, place, \"lambda\"))"
+
+
+@query(
+    "grid_rmse",
+    with_(
+        TREE
+        + [
+            fx.PROBE_SQL,
+            _EMB,
+            "ne AS (SELECT COUNT(*) AS n FROM emb)",
+            _GRID_SQL,
+            "valid AS (SELECT x.level, x.node, t.item_id, t.rating FROM train t JOIN probe p ON t.item_id = p.item_id AND t.user_id = p.user_id"
+            " JOIN assignment x ON x.user_id = t.user_id)",
+            "curve AS (SELECT c.level, g.place, g.\"lambda\", SQRT(AVG(POW(c.rating - list_dot_product(a.v, b.v), 2))) AS rmse, COUNT(*) AS n FROM valid c"
+            " JOIN grid g ON g.level = c.level JOIN emb a ON a.vec_id = (c.node + 7 * c.level + 11 * g.place) % (SELECT n FROM ne)"
+            " JOIN emb b ON b.vec_id = (c.item_id + 3 * c.level + 11 * g.place) % (SELECT n FROM ne) GROUP BY c.level, g.place, g.\"lambda\")",
+        ],
+        "SELECT level, \"lambda\", ROUND(rmse, 6) AS rmse, n, ROW_NUMBER() OVER (PARTITION BY level ORDER BY rmse, place) = 1 AS best FROM curve",
+    ),
+)
+def q_grid_rmse(spark, sf):
+    """The choice of a lambda per level with substitute vectors in place of the fits."""
+    t, train, _ = tree_for(spark, sf)
+    grids = {lv: GRIDS.get(lv, DEEP_GRID) for lv in range(t.levels + 1)}
+    validation = prepare.probe_extract(train, fx.probe_pairs(spark, sf, "supp"))
+    emb, n = _emb(spark, sf)
+    emb = _bcast(emb, n)
+    places = F.explode(F.array(*[F.struct(F.lit(lv).alias("level"), F.lit(p).alias("place"), F.lit(lam).alias("lambda")) for lv, g in grids.items() for p, lam in enumerate(g)]))
+    node_f = t.nodes().select("level", "node").join(spark.range(1).select(places.alias("g")).select("g.*"), "level")
+    node_f = node_f.join(emb, ((F.col("node") + 7 * F.col("level") + 11 * F.col("place")) % n) == F.col("vec_id"))
+    item_f = prepare.rated_items(train).select("item_id", places.alias("g")).select("item_id", "g.*")
+    item_f = item_f.join(emb, ((F.col("item_id") + 3 * F.col("level") + 11 * F.col("place")) % n) == F.col("vec_id"))
+    node_f, item_f = node_f.select("level", "node", "lambda", F.col("v").alias("features")), item_f.select("level", "item_id", "lambda", F.col("v").alias("features"))
+    curves = grid_rmse(validation, t.assignment, node_f, item_f, t.node_bound(), rank=64, grid=max(map(len, grids.values())))
+    return best_of_grid(write_table(curves, "grid-curves"), grids).withColumn("rmse", r6(F.col("rmse")))
+
+
 @query(
     "dot_product",
     with_(

@@ -2,7 +2,7 @@ from pyspark.sql import functions as F
 
 from coldsplit.operators.evaluate import pseudo_users
 from coldsplit.operators.evaluate import ColdStartModel, fit, load_model, save_model, score
-from coldsplit.operators.factors import factorize, fit_levels, tune_levels, validation_rmse
+from coldsplit.operators.factors import factorize, fit_levels, grid_rmse, tune_levels, validation_rmse
 from coldsplit.operators.prepare import probe_remove
 from coldsplit.operators.route import predict_pairs
 from coldsplit.operators.tree import build_tree
@@ -101,3 +101,22 @@ def test_saved_model_scores_alike(spark, sf_small, tmp_path):
     assert sorted(map(key, score(back, test).collect())) == want and want
     model.tree.release()
     assert sorted(map(key, score(back, test).collect())) == want
+
+
+def test_a_grid_reads_the_assignment_once_and_equals_single_fits(spark, sf_small):
+    r = fx.ratings(spark, sf_small, "supp")
+    validation = r.filter("(user_id * 31 + item_id * 17) % 10 = 0")
+    t = build_tree(probe_remove(r, validation), depth=2, k=50)
+    p = pseudo_users(t)
+    single, nfs, ifs = {}, [], []
+    for lam in (0.01, 0.3):
+        nf, itf = fit_levels(p.filter("level < 2") if lam == 0.3 else p, t.levels, rank=3, max_iter=2, reg=lam)
+        nfs.append(nf.withColumn("lambda", F.lit(lam)))
+        ifs.append(itf.withColumn("lambda", F.lit(lam)))
+        single |= {(x.level, lam): (round(x.rmse, 9), x.n) for x in validation_rmse(validation, t.assignment, nf, itf, t.node_bound(), 3).collect()}
+    grid = grid_rmse(validation, t.assignment, nfs[0].unionByName(nfs[1]), ifs[0].unionByName(ifs[1]), t.node_bound(), 3, 2)
+    got = {(x.level, x["lambda"]): (round(x.rmse, 9), x.n) for x in grid.collect()}
+    assert got == single and len(got) == 5
+    # what is left to run after the one join of the assignment reads the written cells
+    own = set(t.assignment.inputFiles())
+    assert own and not own & set(grid.inputFiles())

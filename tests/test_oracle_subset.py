@@ -17,7 +17,7 @@ NAMES = [
     "pseudo_user_ratings", "predict_pairs", "index_items", "read_sectioned_pairs", "read_reviews_json",
     "load_tree", "load_model", "fit_levels", "validation_held_out", "user_rating_map", "random_split",
     "rating_count_histogram", "user_bias", "matrix_vector", "probe_remove", "restrict_items_to_rated",
-    "predict_all_items", "recommend_items", "recommend_users", "histogram_items", "histogram_users",
+    "predict_all_items", "grid_rmse", "recommend_items", "recommend_users", "histogram_items", "histogram_users",
 ]
 
 
