@@ -7,9 +7,10 @@ each round of sequential reads a candidate has a lower bound (what was read of
 it, and the worst value of each list not read) and an upper bound (the value
 where each list now stands instead). Reading stops for a query when no
 candidate outside its survivors can reach the k-th best lower bound, and the
-survivors are few; their scores are then resolved. A list read to its end
-makes both bounds the score itself, so every query ends with exact scores.
-Bounds of a block of queries are matrix products, exact in doubles while they
+survivors are few (8 k, or a 32nd of the block: how many are resolved changes the
+work, never the result); their scores are then resolved. A block of 4 k rows or
+fewer is read to the end at once. A list read to its end makes both bounds the
+score itself, so every query ends with exact scores. Bounds of a block of queries are matrix products, exact in doubles while they
 stay under 2**53 (checked; beyond that the arithmetic is in int64).
 
 Every query meets every block of candidates, in blocks of both: a task holds
@@ -38,7 +39,9 @@ K = 5
 SCALE = 256
 BLOCK = 4096  # candidates in a block
 QUERY_BLOCK = 1024
-ROUNDS = (0.25, 0.5, 0.75)  # depth after each round of reads, as a share of the lists
+# Depth after each round of reads, as a share of the lists. Vectors without heavy
+# candidates (hundreds of like components) are decided late, skewed ones early.
+ROUNDS = (0.25, 0.8, 0.9, 0.95)
 
 
 def _vectors(df: DataFrame, id_col: str, vector: str, scale: int) -> DataFrame:
@@ -48,28 +51,30 @@ def _vectors(df: DataFrame, id_col: str, vector: str, scale: int) -> DataFrame:
     return df.filter(F.col(id_col).isNotNull() & F.col(vector).isNotNull() & (F.size(vector) > 0) & F.coalesce(ok, F.lit(False))).select(F.col(id_col).alias("id"), whole.alias("v"), F.size(vector).alias("dim"))
 
 
-def nra_block(ids: np.ndarray, x: np.ndarray, qids: np.ndarray, q: np.ndarray, k: int) -> list[tuple[int, int, int]]:
+def nra_block(ids: np.ndarray, x: np.ndarray, qids: np.ndarray, q: np.ndarray, k: int, stops: dict | None = None) -> list[tuple[int, int, int]]:
     """(query row, candidate row, score): for each query its k best of the block,
-    ties to smaller ids, rows with the query's id left out."""
+    ties to smaller ids, rows with the query's id left out. ``stops`` collects for
+    each query the depth its reads stopped at and the number of survivors."""
     n, m, d = len(x), len(q), x.shape[1]
     most = float(np.abs(x).max()) * float(np.abs(q).max()) * d
     kind = np.float64 if most < 2**53 else np.int64
     xs, qs = x.astype(kind), q.astype(kind)
-    up, down = np.maximum(qs, 0), np.minimum(qs, 0)
+    signed = np.concatenate([np.maximum(qs, 0), np.minimum(qs, 0)], axis=1)  # lists read from the top, from the bottom
     order = np.argsort(x, axis=0, kind="stable")  # the sorted lists
     rank = np.empty_like(order)
     np.put_along_axis(rank, order, np.broadcast_to(np.arange(n)[:, None], (n, d)), axis=0)
     low, high = xs[order[0], np.arange(d)], xs[order[-1], np.arange(d)]
-    worst = up @ low + down @ high  # of a candidate no list has shown
     own = qids[:, None] == ids[None, :]
     kth = min(k, n)
     out: list[tuple[int, int, int]] = []
     todo = np.arange(m)
 
-    def resolve(rows: np.ndarray, alive: np.ndarray) -> None:
+    def resolve(rows: np.ndarray, alive: np.ndarray, share: float) -> None:
         """Final scores of the survivors."""
         for i, keep in zip(rows, alive, strict=True):
             c = np.flatnonzero(keep)
+            if stops is not None:
+                stops[int(i)] = (share, len(c))
             scores = x[c] @ q[i] if kind is np.int64 else (xs[c] @ qs[i]).astype(np.int64)
             best = np.lexsort((ids[c], -scores))[:k]
             out.extend((int(i), int(c[b]), int(scores[b])) for b in best)
@@ -80,18 +85,18 @@ def nra_block(ids: np.ndarray, x: np.ndarray, qids: np.ndarray, q: np.ndarray, k
             break
         from_top, from_bottom = rank >= n - depth, rank < depth
         at_top, at_bottom = xs[order[n - depth], np.arange(d)], xs[order[depth - 1], np.arange(d)]
-        u, w = up[todo], down[todo]
-        seen = u @ (xs * from_top).T + w @ (xs * from_bottom).T
-        lower = seen + worst[todo, None] - u @ (low * from_top).T - w @ (high * from_bottom).T
-        upper = seen + (u @ at_top + w @ at_bottom)[:, None] - u @ (at_top * from_top).T - w @ (at_bottom * from_bottom).T
+        # a value not read is at least the list's worst and at most where the list stands
+        least = np.concatenate([np.where(from_top, xs, low), np.where(from_bottom, xs, high)], axis=1)
+        best = np.concatenate([np.where(from_top, xs, at_top), np.where(from_bottom, xs, at_bottom)], axis=1)
+        lower, upper = signed[todo] @ least.T, signed[todo] @ best.T
         lower = np.where(own[todo], -np.inf, lower) if kind is np.float64 else np.where(own[todo], np.iinfo(np.int64).min, lower)
         bar = np.partition(lower, n - kth, axis=1)[:, n - kth]
         alive = (upper >= bar[:, None]) & ~own[todo]
         done = alive.sum(axis=1) <= max(8 * k, n // 32)
-        resolve(todo[done], alive[done])
+        resolve(todo[done], alive[done], share)
         todo = todo[~done]
     if len(todo):  # read to the end: both bounds are the score
-        resolve(todo, ~own[todo])
+        resolve(todo, ~own[todo], 1.0)
     return out
 
 

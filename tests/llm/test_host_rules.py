@@ -44,6 +44,17 @@ def test_hosts_are_shrunk_towards_the_prior(spark):
     assert all(r["kept"] for r in out if r["host"] is None or r["host"].startswith("h"))
 
 
+def test_the_prior_decides_for_small_hosts(spark):
+    """Where most hosts have three bad pages of ten, two of three are no verdict on a
+    host; the same share of a large host is. Without the prior both hosts would go."""
+    good, bad = " ".join(f"u{i}" for i in range(60)), "short"
+    rows = [(f"h{h}", bad if i < 3 else good) for h in range(30) for i in range(10)]
+    rows += [("small", bad), ("small", bad), ("small", good + " s")] + [("large", bad), ("large", bad), ("large", good + " l")] * 100
+    docs = spark.createDataFrame([(i, s, t) for i, (s, t) in enumerate(rows)], "doc_id long, source string, text string")
+    out = H.judge(docs).filter("not base_failed and host in ('small', 'large')").select("host", "kept").distinct().collect()
+    assert {(r["host"], r["kept"]) for r in out} == {("small", True), ("large", False)}
+
+
 def test_only_sql_functions(spark, sf_small):
     plan = H.op5_query(spark, sf_small)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Pandas" not in plan

@@ -42,6 +42,19 @@ def test_reads_stop_early_on_skewed_lists():
     assert {c for _, c, _ in got} == set(range(5))
 
 
+def test_bounds_decide_on_the_given_vectors(spark, sf_small):
+    """Most queries stop before the lists end, with few survivors to resolve."""
+    rows = spark.read.parquet(f"{sf_small}/../sf0.1/embeddings.parquet").select("vec_id", "embedding").collect()
+    ids = np.array([r["vec_id"] for r in rows])
+    x = np.floor(256 * np.array([r["embedding"] for r in rows], dtype=float)).astype(np.int64)
+    asked = np.flatnonzero(ids % 50 == 0)
+    stops: dict = {}
+    got = sorted((i, int(ids[c]), s) for i, c, s in T.nra_block(ids, x, ids[asked], x[asked], 5, stops))
+    assert got == brute(ids, x, ids[asked], x[asked], 5)
+    early = [n for share, n in stops.values() if share < 1]
+    assert len(stops) == len(asked) and len(early) > 0.9 * len(asked) and max(early) <= max(40, len(ids) // 32)
+
+
 def test_edge_cases(spark, monkeypatch):
     monkeypatch.setattr(T, "BLOCK", 4)
     monkeypatch.setattr(T, "QUERY_BLOCK", 2)
