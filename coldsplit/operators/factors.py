@@ -19,7 +19,7 @@ from coldsplit.operators.skew import salted_join
 from coldsplit.session import Scratch, bounded_broadcast, write_table
 
 INT_MAX = 2**31 - 1
-NUM_BLOCKS = 10  # ALS blocks a side; about the number of cores on a cluster
+NUM_BLOCKS = 10  # ALS blocks a side, at least; by default as many as the session has cores
 
 
 def _node_key(level, node):
@@ -36,10 +36,11 @@ def factorize(
     user_col: str = "user_id",
     item_col: str = "item_id",
     rating_col: str = "rating",
-    num_blocks: int = NUM_BLOCKS,
+    num_blocks: int | None = None,
     cold_start: str = "nan",
 ):
     """Fit ALS; returns (model, user factors (id, features), item factors)."""
+    num_blocks = num_blocks or max(NUM_BLOCKS, ratings.sparkSession.sparkContext.defaultParallelism)
     als = ALS(
         rank=rank,
         maxIter=max_iter,
@@ -77,7 +78,7 @@ def fit_levels(
     max_iter: int = 15,
     reg: float | dict = 0.01,
     seed: int = 10,
-    num_blocks: int = NUM_BLOCKS,
+    num_blocks: int | None = None,
     items: DataFrame | None = None,
 ):
     """Factorise the pseudo-user ratings of every level in one stacked fit (one
@@ -167,7 +168,7 @@ def tune_levels(
     rank: int = 10,
     max_iter: int = 15,
     seed: int = 10,
-    num_blocks: int = NUM_BLOCKS,
+    num_blocks: int | None = None,
 ):
     """Grid over lambda, the same for all levels or a dict level -> grid; per level
     keep the lambda with the least validation RMSE (first in grid order on ties).

@@ -198,8 +198,8 @@ def q_save_ratings(spark, sf):
 def q_shards(spark, sf):
     path = scratch_path(spark, "shards")
     sources.save_user_shards(fx.ratings(spark, sf, "supp"), path, 24)
-    # every shard, read by the list of its number
-    shards = [r[0] for r in spark.read.parquet(path).select("shard").distinct().collect()]
+    # every shard, read by a table of their numbers
+    shards = spark.read.parquet(path).select("shard")
     back = sources.load_user_shards(spark, path, shards=shards)
     return back.groupBy(F.floor(F.col("user_id") / 24).cast("int").alias("shard")).agg(F.count(F.lit(1)).alias("n"), F.sum("rating").alias("total"))
 

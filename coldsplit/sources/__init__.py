@@ -186,19 +186,32 @@ def load_ratings(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(RATINGS_SCHEMA).parquet(path)
 
 
+SHARDS_PER_FOLDER = 1000
+
+
 def save_user_shards(df: DataFrame, path: str, users_per_shard: int = 24, mode: str = "overwrite") -> None:
-    """One folder per shard ``floor(user_id / users_per_shard)``."""
-    df.withColumn("shard", F.floor(F.col("user_id") / F.lit(users_per_shard)).cast("int")).write.mode(
-        mode
-    ).partitionBy("shard").parquet(path)
+    """Shards ``floor(user_id / users_per_shard)``, a folder for each thousand of them.
+
+    Rows are dealt by ranges of (folder, shard, item), so that there are about as many
+    files as tasks and folders together, however many the shards, and a heavy shard
+    is spread by item; inside a file they are sorted, and a reader skips row groups of
+    other shards. Rows without user form a shard of their own, without a number."""
+    shard = F.floor(F.col("user_id") / F.lit(users_per_shard)).cast("int")
+    df = df.withColumn("shard", shard).withColumn("folder", F.floor(F.col("shard") / F.lit(SHARDS_PER_FOLDER)).cast("int"))
+    dealt = df.repartitionByRange("folder", "shard", "item_id").sortWithinPartitions("folder", "shard", "user_id")
+    dealt.write.mode(mode).partitionBy("folder").parquet(path)
 
 
 def load_user_shards(spark: SparkSession, path: str, shards=None) -> DataFrame:
-    """Union of all (or the listed) shards; shard pruning via the partition column."""
+    """Union of all shards, or of the listed ones: a list of numbers (folders are
+    pruned, row groups skipped) or a table with a column ``shard`` (any number of them)."""
     df = spark.read.parquet(path)
-    if shards is not None:
-        df = df.filter(F.col("shard").isin(list(shards)))
-    return df.drop("shard")
+    if isinstance(shards, DataFrame):
+        df = df.join(shards.select("shard").distinct(), "shard", "left_semi")
+    elif shards is not None:
+        numbers = sorted(set(shards))
+        df = df.filter(F.col("folder").isin(sorted({n // SHARDS_PER_FOLDER for n in numbers})) & F.col("shard").isin(numbers))
+    return df.drop("shard", "folder")
 
 
 def save_tables(tables: dict[str, DataFrame], path: str, partition_by_level: bool = True) -> None:

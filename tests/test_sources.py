@@ -121,3 +121,24 @@ def test_items_csv_moves_the_lines_once(spark, tmp_path):
     plan = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
     # pieces inside a block, and those that cross a border: one shuffle of the lines for both
     assert plan.count("collect_list(struct(at") >= 2 and "ReusedExchange" in plan
+
+
+def test_user_shards_in_few_files_and_pruned(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sources, "SHARDS_PER_FOLDER", 10)
+    rows = [(u, i, 1.0) for u in range(1200) for i in range(1 + u % 3)] + [(600, i, 2.0) for i in range(10, 4000)]  # 50 shards of 24 users, one heavy
+    df = spark.createDataFrame(rows, sources.RATINGS_SCHEMA)
+    path = str(tmp_path / "shards")
+    with session_conf(spark, spark__sql__adaptive__coalescePartitions__enabled="false"):  # tiny data would be one task
+        sources.save_user_shards(df, path)
+    back = sources.load_user_shards(spark, path)
+    assert sorted(map(tuple, back.collect())) == sorted(rows)
+    assert len(back.inputFiles()) <= 5 + int(spark.conf.get("spark.sql.shuffle.partitions"))
+    some = sources.load_user_shards(spark, path, [0, 25, 49, 999])
+    want = sorted(r for r in rows if r[0] // 24 in (0, 25, 49))
+    assert sorted(map(tuple, some.collect())) == want
+    plan = some._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [folder" in plan and "PushedFilters: [In(shard" in plan
+    table = spark.createDataFrame([(0,), (25,), (49,), (49,)], "shard int")
+    assert sorted(map(tuple, sources.load_user_shards(spark, path, table).collect())) == want
+    heavy = {f.input_file for f in back.filter("user_id = 600").selectExpr("input_file_name() as input_file").distinct().collect()}
+    assert len(heavy) > 1  # a third and more of the rows, not one task
