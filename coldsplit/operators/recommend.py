@@ -3,10 +3,12 @@ pruned inner-product search."""
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,6 +17,8 @@ from coldsplit.operators.factors import factorize
 from coldsplit.operators.prepare import random_split
 from coldsplit.session import Scratch, write_table
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # the search travels with its job
+
 
 def als_baseline(
     ratings: DataFrame,
@@ -60,8 +64,11 @@ def _factors(table: DataFrame, name: str) -> DataFrame:
 
 # ------------------------------------------------ exact pruned inner products
 GROUP_BYTES = 64 << 20  # candidate vectors sent to the executors at a time
-BLOCK = 64  # candidates between two looks at the bounds
+BLOCK = 64  # candidates met first; blocks double from there
+WIDEST = 4096  # candidates of a block, at most
 QUERIES = 1024  # queries answered at a time: one bound for each of them and each block
+OPEN_PAIRS = 1 << 18  # pairs scored at a time; a block that leaves more open is halved
+TASK_PAIRS = 1 << 33  # pairs a task meets, about: some seconds each 2^30
 SLACK = 1e-9  # relative: bounds and scores are rounded sums of doubles
 
 
@@ -76,12 +83,12 @@ def top_products(queries: DataFrame, candidates: DataFrame, n: int = 10, group_b
     groups the queries are written with what they have found, so neither side is
     ever whole in one place, and most queries never meet the later groups.
 
-    Inside a group the vectors are turned to the candidates' principal axes. For a
-    pair only the products of the leading half of the coordinates are summed; by
-    Cauchy-Schwarz the others add at most the product of the two remaining norms.
-    Pairs whose sum of both is under the n-th score are left there, the rest are
-    scored. Rows without id or vector take no part; vectors of all
-    rows have one length.
+    Inside a group the candidates come in blocks. The products of a block in single
+    precision, on vectors scaled to length 1 and less, are wrong by no more than a
+    known rounding error; pairs under the n-th score by more than it are left there,
+    the rest are scored in doubles. Queries are dealt to tasks by the number of
+    pairs, whatever the bytes of their table. Rows without id or vector take no part;
+    vectors of all rows have one length.
     """
     found, _ = search_products(queries, candidates, n, group_bytes)
     return found
@@ -105,16 +112,19 @@ def search_products(queries: DataFrame, candidates: DataFrame, n: int = 10, grou
             F.col(q_id).cast("long").alias("q"), vec.alias("u"), F.array().cast("array<long>").alias("ids"), F.array().cast("array<double>").alias("scores"), F.lit(0).cast("long").alias("n_scored"), F.lit(False).alias("done")
         )
         state = tmp.write(state, "product-queries")
-        finished = None
+        n_left, finished = state.count(), None
         for group, below in parts:
-            state = tmp.write(_search_group(spark, state, group, n, below), "product-state")
-            part = state.filter("done")
-            finished = part if finished is None else finished.unionByName(part)
-            state = state.filter("not done")
-            if not state.limit(1).count():
+            if not n_left:
                 break
-        out = state if finished is None else finished.unionByName(state)
-        out = write_table(out.drop("u"), "products")
+            before, state = state, tmp.write(_search_group(spark, state.filter("not done"), n_left, group, n, below), "product-state")
+            tmp.drop(before)
+            n_done = state.filter("done").count()
+            if n_done:
+                part = tmp.write(state.filter("done").drop("u"), "product-done")
+                finished = part if finished is None else finished.unionByName(part)
+            n_left = n_left - n_done
+        out = state.drop("u") if finished is None else finished
+        out = write_table(out, "products")
     hits = out.select("q", F.posexplode(F.arrays_zip("ids", "scores")).alias("at", "hit"))
     kinds = dict(queries.dtypes)[q_id], dict(candidates.dtypes)[c_id]
     hits = hits.select(F.col("q").cast(kinds[0]).alias(q_id), (F.col("at") + 1).alias("rank"), F.col("hit.ids").cast(kinds[1]).alias(c_id), F.col("hit.scores").alias("score"))
@@ -141,59 +151,85 @@ def _norm_parts(ordered: DataFrame, total: int, per_group: int) -> list[tuple[Da
     return out
 
 
-def _search_group(spark, state: DataFrame, group: DataFrame, n: int, below: float) -> DataFrame:
-    rows = group.orderBy(F.desc("norm"), "c").toPandas()  # bounded by the group's bytes
-    v = np.stack(rows["v"].to_list()) if len(rows) else np.empty((0, 1))
-    axes = np.linalg.eigh(v.T @ v)[1][:, ::-1]  # of falling weight
-    lead = axes[:, : -(-v.shape[1] // 2)]
-    rest = np.linalg.norm(v @ axes[:, lead.shape[1] :], axis=1)
-    sent = spark.sparkContext.broadcast((rows["c"].to_numpy(np.int64), v, rows["norm"].to_numpy(np.float64), axes, v @ lead, rest))
+def _task_count(spark, n_queries: int, n_candidates: int) -> int:
+    """Tasks for queries that meet a group: two a core at least, more if each would
+    meet over ``TASK_PAIRS`` pairs, never more than queries."""
+    return max(1, min(n_queries, max(2 * spark.sparkContext.defaultParallelism, -(-n_queries * n_candidates // TASK_PAIRS))))
 
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for at in range(0, len(pdf), QUERIES):
-                yield answers(pdf.iloc[at : at + QUERIES])
 
-    def answers(pdf: pd.DataFrame) -> pd.DataFrame:
-        c, v, norm, axes, lead, rest = sent.value
-        u = np.stack(pdf["u"].to_list()).astype(np.float64)
-        reach = np.sqrt((u * u).sum(axis=1)) * (1 + SLACK)
+def _flat(column: pa.Array) -> np.ndarray:
+    """The rows of a list column, all of one length, as a matrix."""
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(len(column), -1)
+
+
+def _search_group(spark, state: DataFrame, n_queries: int, group: DataFrame, n: int, below: float) -> DataFrame:
+    rows = group.select("c", "v", "norm").toArrow().combine_chunks()  # bounded by the group's bytes
+    c, norm = rows["c"].to_numpy(), rows["norm"].to_numpy().astype(np.float64, copy=False)
+    order = np.lexsort((c, -norm))
+    v = _flat(rows["v"].combine_chunks())[order] if len(c) else np.empty((0, 1))
+    sent = spark.sparkContext.broadcast((c[order], v, norm[order]))
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, QUERIES):
+                yield answers(batch.slice(at, QUERIES))
+
+    def answers(batch: pa.RecordBatch) -> pa.RecordBatch:
+        c, v, norm = sent.value
+        u = _flat(batch["u"])
         ids = np.full((len(u), n), NONE, np.int64)
         best = np.full((len(u), n), -np.inf)
-        for i, (a, b) in enumerate(zip(pdf["ids"], pdf["scores"], strict=True)):
-            ids[i, : len(a)], best[i, : len(b)] = a, b
-        scored = pdf["n_scored"].to_numpy(np.int64).copy()
-        if len(c):
-            turned = u @ axes
-            u_lead, u_rest = turned[:, : lead.shape[1]], np.linalg.norm(turned[:, lead.shape[1] :], axis=1)
-        for at in range(0, len(c), BLOCK):
-            block = slice(at, at + BLOCK)
-            live = np.flatnonzero(reach * norm[at] >= best[:, -1])
-            if not len(live):
-                break
-            most = u_lead[live] @ lead[block].T + u_rest[live, None] * rest[block] + SLACK * reach[live, None] * norm[block]
-            open_ = most >= best[live, -1:]
-            i, j = np.nonzero(open_)
-            score = np.full(open_.shape, -np.inf)
-            score[i, j] = np.einsum("ij,ij->i", u[live[i]], v[block][j])
-            scored[live] += open_.sum(axis=1)
-            both = np.concatenate([best[live], score], axis=1)
-            names = np.concatenate([ids[live], np.where(open_, c[block], NONE)], axis=1)
-            order = np.lexsort((names, -both), axis=1)[:, :n]
-            best[live], ids[live] = np.take_along_axis(both, order, 1), np.take_along_axis(names, order, 1)
+        known = np.arange(n) < batch["ids"].value_lengths().to_numpy()[:, None]
+        ids[known], best[known] = batch["ids"].flatten().to_numpy(), batch["scores"].flatten().to_numpy()
+        scored = batch["n_scored"].to_numpy().copy()
+        _best_of(u, c, v, norm, ids, best, scored)
+        reach = np.sqrt((u * u).sum(axis=1)) * (1 + SLACK)
         found = best > -np.inf
-        return pd.DataFrame(
-            {
-                "q": pdf["q"],
-                "u": pdf["u"],
-                "ids": [row[f] for row, f in zip(ids, found, strict=True)],
-                "scores": [row[f] for row, f in zip(best, found, strict=True)],
-                "n_scored": scored,
-                "done": (reach * max(below, 0.0) < best[:, -1]) | (below < 0),
-            }
-        )
-
-    return state.mapInPandas(search, "q long, u array<double>, ids array<long>, scores array<double>, n_scored long, done boolean")
+        ends = np.concatenate([[0], np.cumsum(found.sum(axis=1))]).astype(np.int32)
+        lists = [pa.ListArray.from_arrays(ends, x[found]) for x in (ids, best)]
+        done = (reach * max(below, 0.0) < best[:, -1]) | (below < 0)
+        return pa.RecordBatch.from_arrays([batch["q"], batch["u"], *lists, pa.array(scored), pa.array(done)], names=["q", "u", "ids", "scores", "n_scored", "done"])
+
+    dealt = state.repartition(_task_count(spark, n_queries, len(c)), "q")
+    return dealt.mapInArrow(search, "q long, u array<double>, ids array<long>, scores array<double>, n_scored long, done boolean")
+
+
+def _best_of(u: np.ndarray, c: np.ndarray, v: np.ndarray, norm: np.ndarray, ids: np.ndarray, best: np.ndarray, scored: np.ndarray) -> None:
+    """Puts the candidates (falling ``norm``) that belong there into ``ids`` and ``best``,
+    the queries' best so far, and adds the pairs scored to ``scored``."""
+    n = best.shape[1]
+    long = np.sqrt((u * u).sum(axis=1))
+    reach = long * (1 + SLACK)
+    unit = (u / np.where(long > 0, long, 1.0)[:, None]).astype(np.float32)
+    slack = (u.shape[1] + 8) * 2.0**-23  # twice the rounding error of a product of unit vectors, and more
+    at, width = 0, BLOCK
+    while at < len(c):
+        live = np.flatnonzero(reach * norm[at] >= best[:, -1])
+        if not len(live):
+            break
+        block, top = slice(at, at + width), norm[at] or 1.0
+        with np.errstate(divide="ignore", invalid="ignore"):
+            least = best[live, -1] / (long[live] * top) - slack
+        least[long[live] == 0] = -np.inf  # all products are 0
+        about = unit[live] @ (v[block] / top).astype(np.float32).T
+        flat = np.flatnonzero(about >= least.astype(np.float32)[:, None])
+        if len(flat) > OPEN_PAIRS and width > BLOCK:
+            width = max(BLOCK, width // 4)
+            continue
+        i, j = np.divmod(flat, about.shape[1])
+        i, j = live[i], j + at
+        scored += np.bincount(i, minlength=len(scored))
+        score = np.concatenate([np.einsum("ij,ij->i", u[i[k : k + OPEN_PAIRS]], v[j[k : k + OPEN_PAIRS]]) for k in range(0, len(i), OPEN_PAIRS)] or [np.empty(0)])
+        better = score >= best[i, -1]
+        i, j, score = i[better], j[better], score[better]
+        who = np.unique(i)
+        row = np.concatenate([np.repeat(who, n), i])
+        names, scores = np.concatenate([ids[who].ravel(), c[j]]), np.concatenate([best[who].ravel(), score])
+        order = np.lexsort((names, -scores, row))
+        row = row[order]
+        order = order[np.arange(len(row)) - np.searchsorted(row, row) < n]  # n of each row, at least, are there
+        ids[who], best[who] = names[order].reshape(-1, n), scores[order].reshape(-1, n)
+        at, width = at + width, min(2 * width, WIDEST)
 
 
 NONE = np.iinfo(np.int64).max

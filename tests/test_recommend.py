@@ -91,3 +91,33 @@ def test_node_lists_equal_scores_of_every_user(spark, node_bytes):
     assert got == sorted(want)
     lists = node_rankings(routed, nf, itf, 8, 3, node_bytes).collect()
     assert len(lists) == len({(u[1], u[2]) for u in users}) and all(len(r["ranking"]) == 8 for r in lists)
+
+
+def test_few_pairs_are_scored_and_few_queries_make_many_tasks(spark):
+    """Random directions, where norms rule nothing out; queries in one small file."""
+    rng = np.random.default_rng(6)
+    c = [(j, np.round(rng.normal(size=24) * 100).tolist()) for j in range(3000)]
+    q = [(i, np.round(rng.normal(size=24) * 100).tolist()) for i in range(60)]
+    qs, cs = spark.createDataFrame(q, "user_id int, features array<float>").coalesce(1), spark.createDataFrame(c, "item_id int, features array<float>")
+    found, work = R.search_products(qs, cs, 5)
+    assert sorted(tuple(r) for r in found.collect()) == brute(q, c, 5)
+    assert sum(r["n_scored"] for r in work.collect()) < 0.1 * len(q) * len(c)
+    cores = spark.sparkContext.defaultParallelism
+    assert R._task_count(spark, 60_000, 100_000) == max(2 * cores, 1) and R._task_count(spark, 3, 10**6) == 3
+    assert R._task_count(spark, 5_000_000, 100_000) >= 5_000_000 * 100_000 // R.TASK_PAIRS
+
+
+def test_equal_candidates_and_vectors_of_unlike_length():
+    """Many equal scores and tiny, huge and zero vectors: the block search keeps ties to the smaller id."""
+    rng = np.random.default_rng(7)
+    v = np.concatenate([np.repeat(rng.integers(-3, 4, (1, 4)), 9000, axis=0), rng.integers(-3, 4, (500, 4)) * 1e-30, np.zeros((50, 4)), rng.integers(-3, 4, (500, 4)) * 1e15])
+    c = rng.permutation(len(v)).astype(np.int64)
+    norm = np.sqrt((v * v).sum(axis=1))
+    order = np.lexsort((c, -norm))
+    u = np.concatenate([rng.integers(-3, 4, (20, 4)), np.zeros((1, 4)), rng.integers(-3, 4, (9, 4)) * 1e-20])
+    ids, best, scored = np.full((len(u), 3), R.NONE, np.int64), np.full((len(u), 3), -np.inf), np.zeros(len(u), np.int64)
+    R._best_of(u, c[order], v[order], norm[order], ids, best, scored)
+    for row, x in enumerate(u):
+        s = np.einsum("j,ij->i", x, v)
+        want = np.lexsort((c, -s))[:3]
+        assert ids[row].tolist() == c[want].tolist() and best[row].tolist() == s[want].tolist()
