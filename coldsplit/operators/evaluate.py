@@ -17,7 +17,7 @@ from coldsplit.operators.route import (
     predict_pairs,
     route_users,
 )
-from coldsplit.operators.tree import InterviewTree, build_tree
+from coldsplit.operators.tree import InterviewTree, build_tree, rating_rows
 from coldsplit.session import materialize, write_table
 
 
@@ -34,10 +34,13 @@ def pseudo_users(tree: InterviewTree) -> DataFrame:
     """Mean raw rating per (level, node, item). The ratings are scanned once: sums
     by each user's deepest node, on the salted layout so that a heavy user's rows
     are spread, then rolled up the tree on that small table (the ancestor of node
-    n, d levels up, is floor(n / 3^d))."""
-    deep = tree.salted_assignment.groupBy("user_id", "salt").agg(F.max(F.struct("level", "node")).alias("d"))
+    n, d levels up, is floor(n / 3^d)). The user rows stay in their buckets; only
+    the nodes are dealt to them, before the ratings are unpacked."""
+    keys = ["user_id", "salt"]
+    nodes = tree.salted_assignment.repartition(tree.buckets, *keys) if tree.buckets else tree.salted_assignment
+    deep = nodes.groupBy(*keys).agg(F.max(F.struct("level", "node")).alias("d")).select(*keys, "d.level", "d.node")
     sums = (
-        tree.residuals.join(deep.select("user_id", "salt", "d.level", "d.node"), ["user_id", "salt"])
+        rating_rows(tree.user_rows.join(deep.hint("shuffle_hash"), keys))
         .groupBy("level", "node", "item_id")
         .agg(F.sum("rating").alias("s"), F.count(F.lit(1)).alias("n"))
     )
