@@ -95,7 +95,8 @@ def score(model: ColdStartModel, test: DataFrame, train: DataFrame | None = None
     fitted on."""
     if routed is None:
         routed = route_users(model.tree, test, max_questions)
-    pairs = evaluation_pairs(routed, test, known_items(model) if train is None else prepare.rated_items(train))
+    # counted and joined by every step below: written once
+    pairs = write_table(evaluation_pairs(routed, test, known_items(model) if train is None else prepare.rated_items(train)), "eval-pairs")
     if model.node_factors is None:
         return predict_node_mean(pairs, model.pseudo)
     n_nodes = model.tree.node_bound()
