@@ -13,7 +13,7 @@ from coldsplit.operators.skew import salted_join
 from coldsplit.plans import fixtures as fx
 from coldsplit.plans.oracle import CELLS, RATINGS, base_ctes, with_
 from coldsplit.plans.queries import DEPTH, ROUTE, TREE, query, r6, split_data, tree_for
-from coldsplit.session import scratch_path
+from coldsplit.session import bucket_count, scratch_path, write_table
 
 PART = [CELLS, RATINGS["part"]]
 SUPP = [CELLS, RATINGS["supp"]]
@@ -111,7 +111,9 @@ def q_read_delimited(spark, sf):
 def _write_sectioned(spark, sf, which="supp"):
     """One folder per item with a file whose first line is '<item>:'."""
     path = scratch_path(spark, "sectioned")
-    r = fx.ratings(spark, sf, which)
+    r = write_table(fx.ratings(spark, sf, which), "sectioned-ratings")  # read for headers and lines
+    # the time goes by files, not by bytes: a few tasks a core even them out
+    tasks = max(4 * spark.sparkContext.defaultParallelism, bucket_count(spark, r.count(), fx.ROWS_PER_TASK))
     head = r.select("item_id").distinct().select(
         "item_id", F.lit(0).alias("ord"), F.concat(F.col("item_id").cast("string"), F.lit(":")).alias("value")
     )
@@ -122,7 +124,7 @@ def _write_sectioned(spark, sf, which="supp"):
     )
     (
         head.unionByName(body)
-        .repartition("item_id")
+        .repartition(tasks, "item_id")
         .sortWithinPartitions("item_id", "ord")
         .select("item_id", "value")
         .write.partitionBy("item_id")

@@ -12,6 +12,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from coldsplit.session import session_conf
+
+LISTERS_PER_CORE = 4
+
 RATINGS_SCHEMA = T.StructType(
     [
         T.StructField("user_id", T.IntegerType()),
@@ -124,9 +128,11 @@ def read_sectioned_ratings(spark: SparkSession, path: str, id_pattern: str = r"(
 
     The item id comes from the file path (last number in it by default).
     """
-    lines = spark.read.text(path).select(
-        "value", F.col("_metadata.file_path").alias("file_path")
-    )
+    # one file per item: they are listed by a few tasks a core, not by a task per folder
+    listers = str(LISTERS_PER_CORE * spark.sparkContext.defaultParallelism)
+    with session_conf(spark, spark__sql__sources__parallelPartitionDiscovery__parallelism=listers):
+        files = spark.read.text(path)
+    lines = files.select("value", F.col("_metadata.file_path").alias("file_path"))
     body = lines.filter(~F.col("value").rlike(r":\s*$") & (F.length(F.trim("value")) > 0))
     parts = F.split(F.col("value"), ",")
     return body.select(

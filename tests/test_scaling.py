@@ -5,9 +5,11 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
+from coldsplit import sources
 from coldsplit.operators import evaluate, stats
 from coldsplit.operators import tree as T
 from coldsplit.plans import fixtures as fx
+from coldsplit.plans import queries_data
 
 
 @pytest.fixture(scope="module")
@@ -93,3 +95,40 @@ def test_squares_of_large_ratings(spark):
     e = T.prepare_residuals(spark.createDataFrame(rows, "user_id int, item_id int, rating double"))[0]
     for r in e.collect():
         assert int(r.square) == sum(int(Decimal(repr((x / T.SCALE) * (x / T.SCALE) * T.SCALE))) for x in r.residuals)
+
+
+def test_item_folders_are_listed_by_few_tasks(spark, tmp_path):
+    cores = spark.sparkContext.defaultParallelism
+    n = sources.LISTERS_PER_CORE * cores + 40 if hasattr(sources, "LISTERS_PER_CORE") else 8 * cores + 40
+    for i in range(n):
+        d = tmp_path / f"item_id={i}"
+        d.mkdir()
+        (d / "part.txt").write_text(f"{i}:\n{i + 1},3,2005-01-01\n")
+    spark.sparkContext.setJobGroup("item-folders", "")
+    got = sources.read_sectioned_ratings(spark, str(tmp_path), id_pattern=r"item_id=(\d+)")
+    track = spark.sparkContext.statusTracker()
+    stages = [s for j in track.getJobIdsForGroup("item-folders") for s in track.getJobInfo(j).stageIds]
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert stages and max(track.getStageInfo(s).numTasks for s in stages) < n - 30
+    assert sorted((r.user_id, r.item_id, r.rating) for r in got.collect()) == [(i + 1, i, 3.0) for i in range(n)]
+
+
+def test_sectioned_ratings_are_built_once(spark, sf_small, monkeypatch):
+    built = []
+    ratings = fx.ratings
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(s, sf, which="supp"):
+        built.append(which)
+
+        def rows(batches):
+            for b in batches:
+                seen.add(len(b))
+                yield b
+
+        r = ratings(s, sf, which)
+        return r.mapInPandas(rows, r.schema)
+
+    monkeypatch.setattr(fx, "ratings", counted)
+    queries_data._write_sectioned(spark, sf_small)
+    assert built and seen.value == ratings(spark, sf_small).count()
