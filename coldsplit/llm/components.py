@@ -40,15 +40,15 @@ def _small_star(e: DataFrame) -> DataFrame:
     )
 
 
-def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
+def connected_components(edges: DataFrame, a: str, b: str, write=write_table) -> DataFrame:
     """(node, component) for every node of ``edges``; component is the smallest
     node that can be reached. Null ends and self-links are ignored; an empty
-    edge table gives an empty result."""
+    edge table gives an empty result. ``write`` writes the edge tables."""
     e = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u <> v").distinct()
-    e = write_table(e, "edges")
+    e = write(e, "edges")
     seen = _signature(e)
     while seen[0]:
-        e = write_table(_small_star(_large_star(e)), "edges")
+        e = write(_small_star(_large_star(e)), "edges")
         now = _signature(e)
         if now == seen:
             break

@@ -1,5 +1,9 @@
+import os
 import random
 
+import numpy as np
+import xxhash
+
 from coldsplit.llm import paragraph_dedup as P
 
 from .helpers import edge_docs, empty_docs
@@ -184,3 +188,46 @@ def test_null_and_repeated_doc_ids_in_lines(spark):
     needed = P._reread(P.paragraphs(docs, "doc_id", "text", 40, 1, 50), needed, docs, "doc_id", "text").filter("key is not null").select("key", "t")
     got = {r["doc_id"]: r["low"] for r in lines.join(P._line_classes(texts, groups, needed, 0.8), "key").collect()}
     assert got == {None: 5, 5: 5, 7: 7, 8: 7}
+
+
+def test_words_are_cut_at_texts_and_spaces_and_have_their_xxh64():
+    rnd = random.Random(12)
+    words = [bytes(rnd.choice([*range(33, 256)]) for _ in range(n)) for n in [*range(1, 70)] * 2]
+    raw, joint = b" \n\x0b".join(words), b"ab" + b"cd e"  # the second text ends without a space
+    at = np.array([0, 0, len(raw), len(raw) + 2, len(raw) + 6])
+    w, begin, end, doc = P._cut(np.frombuffer(raw + joint, np.uint8), at)
+    assert w.tolist() == [xxhash.xxh64_intdigest(x) for x in [*words, b"ab", b"cd", b"e"]]
+    assert [(raw + joint)[a:b] for a, b in zip(begin, end, strict=True)] == [*words, b"ab", b"cd", b"e"]
+    assert doc.tolist() == [1] * len(words) + [2, 3, 3]
+
+
+def test_slices_change_nothing(spark, monkeypatch):
+    rows, planted = corpus()
+    docs = spark.createDataFrame([*rows, (500, None), (501, "")], "doc_id long, text string").coalesce(1)
+    want = {r["doc_id"]: r for r in P.repeats(docs).collect()}
+    assert set(want) == planted
+    monkeypatch.setattr(P, "SLICE", 1)
+    assert {r["doc_id"]: r for r in P.repeats(docs).collect()} == want
+
+
+def test_runs_travel_only_for_seeds_that_stand_in_different_groups(spark):
+    rnd = random.Random(13)
+    copy, part = prose(rnd, 400), prose(rnd, 80)
+    rows = [(i, copy) for i in range(20)] + [(20 + i, f"{prose(rnd, 60)} {part} {prose(rnd, 60)}") for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    units = P.paragraphs(docs, "doc_id", "text", 4, 2, 10**6)
+    found = P._reread(units, units.filter("kind = 'line'"), docs, "doc_id", "text")
+    assert found.filter("doc_id < 20 and run is not null").count() == 0  # one range a copy
+    assert found.filter("doc_id < 20").select("c0", "c1", "low").distinct().collect() == [(0, len(copy), 0)]
+    # at the edges of the passage, at most the groups that reach over them
+    assert 0 < found.filter("run is not null").count() <= 5 * 4 * 17
+    out = {r["doc_id"]: r for r in P.repeats(docs, min_words=10**6).collect()}
+    text = dict(rows)
+    assert {i: in_spans(text[i], out[i]["spans"]) for i in text} == shared_words(rows, 25)
+
+
+def test_only_the_result_is_left_of_the_scratch_tables(spark):
+    folder = spark.sparkContext.getCheckpointDir().removeprefix("file:")
+    before = set(os.listdir(folder))
+    P.repeats(spark.createDataFrame(corpus()[0], "doc_id long, text string")).collect()
+    assert [x.split("-")[1] for x in set(os.listdir(folder)) - before] == ["repeats"]
